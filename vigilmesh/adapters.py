@@ -61,6 +61,35 @@ class Tables:
             "CAST(round(value * 100) AS BIGINT) AS amount",
         )
 
+    @cached_property
+    def obs_metrics(self) -> DataFrame:
+        """Observations with the counters of their kind; columns of other kinds are null."""
+        a, voice, sms, node = "amount", "service = 'VOLTE'", "service = 'SMS'", "kind = 'NODE'"
+
+        def only(condition: str, value: str, name: str) -> str:
+            return f"CASE WHEN {condition} THEN {value} END AS {name}"
+
+        return self.obs.selectExpr(
+            "*",
+            only(voice, f"100 + {a} % 900", "attempts"),
+            only(voice, f"({a} % 11) * (1 + {a} % 4)", "technical_failures"),
+            only(voice, f"{a} % 7", "user_outcomes"),
+            only(voice, f"100 + {a} % 900 - ({a} % 11) * (1 + {a} % 4) - {a} % 7", "technical_successes"),
+            only(voice, f"(({a} % 11) * (1 + {a} % 4)) DIV 2", "sip503_count"),
+            only(voice, f"105 + {a} % 900", "rrc_attempts"),
+            only(voice, f"105 + {a} % 900 - {a} % 4", "rrc_successes"),
+            only(voice, f"103 + {a} % 900", "bearer_attempts"),
+            only(voice, f"103 + {a} % 900 - {a} % 3", "bearer_successes"),
+            only(sms, f"60 + {a} % 300", "delivery_attempts"),
+            only(sms, f"60 + {a} % 300 - {a} % 13", "delivery_successes"),
+            only(sms, f"1 + {a} % 47", "delivered_messages"),
+            only(sms, f"transform(sequence(1L, 1 + {a} % 47), i -> ({a} * i * 31) % 60000)", "delivery_delay_ms"),
+            only(node, f"CAST({a} % 101 AS DOUBLE)", "cpu_pct"),
+            only(node, f"({a} % 50) / 1000D", "packet_loss_ratio"),
+            only(node, f"{a} % 1500", "queue_depth"),
+            only(node, f"CASE WHEN {a} % 1500 = 0 THEN 0 ELSE {a} % 400 END", "oldest_pending_seconds"),
+        )
+
     @cached_property
     def obs_dup(self) -> DataFrame:
         """Deliveries: originals, exact copies and altered copies. ``arrival`` is the topic offset."""

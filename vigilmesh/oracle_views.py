@@ -28,6 +28,31 @@ SELECT event_id, 'S' || (user_id % 10) AS scope_id, 'src' || (user_id % 3) AS so
   CASE WHEN event_id % 13 = 0 THEN 'INCOMPLETE' ELSE 'COMPLETE' END AS quality,
   CAST(round(value * 100) AS BIGINT) AS amount
 FROM events""",
+    ),
+    "obs_metrics": (
+        ["obs"],
+        """
+SELECT *,
+  CASE WHEN service = 'VOLTE' THEN 100 + amount % 900 END AS attempts,
+  CASE WHEN service = 'VOLTE' THEN (amount % 11) * (1 + amount % 4) END AS technical_failures,
+  CASE WHEN service = 'VOLTE' THEN amount % 7 END AS user_outcomes,
+  CASE WHEN service = 'VOLTE' THEN 100 + amount % 900 - (amount % 11) * (1 + amount % 4) - amount % 7 END
+    AS technical_successes,
+  CASE WHEN service = 'VOLTE' THEN ((amount % 11) * (1 + amount % 4)) // 2 END AS sip503_count,
+  CASE WHEN service = 'VOLTE' THEN 105 + amount % 900 END AS rrc_attempts,
+  CASE WHEN service = 'VOLTE' THEN 105 + amount % 900 - amount % 4 END AS rrc_successes,
+  CASE WHEN service = 'VOLTE' THEN 103 + amount % 900 END AS bearer_attempts,
+  CASE WHEN service = 'VOLTE' THEN 103 + amount % 900 - amount % 3 END AS bearer_successes,
+  CASE WHEN service = 'SMS' THEN 60 + amount % 300 END AS delivery_attempts,
+  CASE WHEN service = 'SMS' THEN 60 + amount % 300 - amount % 13 END AS delivery_successes,
+  CASE WHEN service = 'SMS' THEN 1 + amount % 47 END AS delivered_messages,
+  CASE WHEN service = 'SMS' THEN list_transform(range(1, 2 + amount % 47), lambda i: (amount * i * 31) % 60000) END
+    AS delivery_delay_ms,
+  CASE WHEN kind = 'NODE' THEN CAST(amount % 101 AS DOUBLE) END AS cpu_pct,
+  CASE WHEN kind = 'NODE' THEN (amount % 50) / 1000.0::DOUBLE END AS packet_loss_ratio,
+  CASE WHEN kind = 'NODE' THEN amount % 1500 END AS queue_depth,
+  CASE WHEN kind = 'NODE' THEN CASE WHEN amount % 1500 = 0 THEN 0 ELSE amount % 400 END END AS oldest_pending_seconds
+FROM obs""",
     ),
     "obs_dup": (
         ["obs"],

@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ["rollups"]
+GROUPS = ["rollups", "aggregates", "joins", "selections", "ingestion"]
 
 
 def load_all() -> None:
