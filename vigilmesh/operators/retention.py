@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vigilmesh.operators.intervals import interval_join
+
 
 def expired_receipts(tables: dict[str, DataFrame], cutoff: Column) -> DataFrame:
     """Receipts past the horizon whose window is final, evaluated, delivered, and used by nothing else.
@@ -25,7 +27,9 @@ def expired_receipts(tables: dict[str, DataFrame], cutoff: Column) -> DataFrame:
     kept = kept.join(final, window, "left_semi").join(delivered, window, "left_semi")
     kept = kept.join(t["source_state"].select(F.col("last_event_id").alias("event_id")), "event_id", "left_anti")
     for name in ("unpublished_scopes", "active_episodes"):
-        kept = kept.join(F.broadcast(t[name].select("scope_id").distinct()), "scope_id", "left_anti")
-    protected = F.broadcast(t["protected_ranges"])
-    inside = (F.col("r.window_start") >= protected["range_from"]) & (F.col("r.window_start") < protected["range_to"])
-    return kept.alias("r").join(protected, inside, "left_anti")
+        kept = kept.join(t[name].select("scope_id"), "scope_id", "left_anti")
+    instant = F.col("window_start")
+    after = instant + F.expr("INTERVAL 1 MICROSECOND")
+    return interval_join(
+        kept, t["protected_ranges"], [], instant, after, "range_from", "range_to", "left_anti", contain=False
+    )

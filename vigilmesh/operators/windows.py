@@ -13,9 +13,7 @@ KEY = ["scope_id", "window_start", "window_end"]
 
 def approve_nodes(receipts: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Receipts with ``approved``: the node and source are a configured dependency of the scope."""
-    pairs = F.broadcast(
-        catalogue.where("role = 'NODE'").select("scope_id", "node_id", "source_id", F.lit(True).alias("approved"))
-    )
+    pairs = catalogue.where("role = 'NODE'").select("scope_id", "node_id", "source_id", F.lit(True).alias("approved"))
     return receipts.join(pairs, ["scope_id", "node_id", "source_id"], "left").withColumn(
         "approved", F.coalesce("approved", F.lit(False))
     )
@@ -138,7 +136,7 @@ def coverage_snapshot(receipts: DataFrame, catalogue: DataFrame) -> DataFrame:
         receipts.where(F.col("kind") != "HEARTBEAT")
         .groupBy("scope_id", "window_start", "source_id")
         .agg(F.min_by("quality", "event_id").alias("quality"))
-        .join(F.broadcast(catalogue.select("scope_id", "source_id").distinct()), ["scope_id", "source_id"], "left_semi")
+        .join(catalogue.select("scope_id", "source_id"), ["scope_id", "source_id"], "left_semi")
     )
     issue = F.when(F.col("quality") == "MISSING", "REPORTED_MISSING").when(F.col("quality") == "INCOMPLETE", "INCOMPLETE")
     sets = per_source.groupBy("scope_id", "window_start").agg(
@@ -146,7 +144,7 @@ def coverage_snapshot(receipts: DataFrame, catalogue: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.when(issue.isNull(), F.col("source_id")))).alias("usable"),
         F.collect_list(F.when(issue.isNotNull(), F.struct("source_id", issue.alias("reason")))).alias("reported"),
     )
-    joined = sets.join(F.broadcast(expected), "scope_id", "left")
+    joined = sets.join(expected, "scope_id", "left")
     absent = F.transform(
         F.array_except("expected", "received"),
         lambda s: F.struct(s.alias("source_id"), F.lit("NOT_RECEIVED").alias("reason")),

@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ["rollups", "aggregates", "joins", "selections", "ingestion"]
+GROUPS = ["rollups", "aggregates", "joins", "selections", "ingestion", "detection", "lifecycles"]
 
 
 def load_all() -> None:

@@ -69,12 +69,10 @@ def parse(envelopes: DataFrame) -> DataFrame:
 
 def authorise(parsed: DataFrame, catalogue: DataFrame) -> DataFrame:
     """``known_scope`` and ``authorised`` from the catalogue, whose rows are the configured sources."""
-    approved = F.broadcast(
-        catalogue.groupBy("scope_id").agg(
-            F.collect_set(F.when(F.col("role") == "SERVICE", F.concat_ws("|", "service", "source_id"))).alias("services"),
-            F.collect_set(F.when(F.col("role") == "NODE", F.concat_ws("|", "node_id", "source_id"))).alias("nodes"),
-            F.collect_set("source_id").alias("sources"),
-        )
+    approved = catalogue.groupBy("scope_id").agg(
+        F.collect_set(F.when(F.col("role") == "SERVICE", F.concat_ws("|", "service", "source_id"))).alias("services"),
+        F.collect_set(F.when(F.col("role") == "NODE", F.concat_ws("|", "node_id", "source_id"))).alias("nodes"),
+        F.collect_set("source_id").alias("sources"),
     )
     o = F.col("o")
     joined = parsed.join(approved, o["scopeId"] == F.col("scope_id"), "left")
