@@ -1,8 +1,7 @@
 """Cause attribution: eligible, supported, uncontradicted and unambiguous dependency evidence.
 
-Relations are configured topology: several validity ranges per (scope, target, path). All joins are
-equi joins on symptom or relation keys; a candidate never meets another candidate of its symptom
-before both have been reduced to verdicts.
+All joins are equi joins on symptom or relation keys; a candidate never meets another candidate of
+its symptom before both have been reduced to verdicts.
 """
 
 from __future__ import annotations
@@ -41,36 +40,43 @@ def crosses(total: Column, population: Column, is_ratio: Column, baseline: Colum
     )
 
 
-def relation_counts(items: DataFrame, relations: DataFrame, key: list[str]) -> DataFrame:
-    """Per item: relations of its scope, target and path; of its source too; and valid over its overlap."""
-    r = relations.select(
-        "relation_id", F.col("scope_id").alias("r_scope"), F.col("target_scope").alias("r_target"),
-        F.col("path_id").alias("r_path"), F.col("source_id").alias("r_source"), F.col("topology").alias("r_topology"),
-        "valid_from", "valid_to",
-    )
-    lo, hi = F.greatest("e_from", "from_ts"), F.least("e_to", "to_ts")
+def relation_counts(items: DataFrame, relations: DataFrame) -> DataFrame:
+    """Items with: relations of their scope, target and path; of their source too; valid over the overlap.
+
+    A (scope, target, path) has a few configured ranges; they travel as one array, so an item meets
+    its topology in a single equi join and is never multiplied or grouped.
+    """
+    ranges = relations.groupBy(
+        F.col("scope_id").alias("r_scope"), F.col("target_scope").alias("r_target"), F.col("path_id").alias("r_path")
+    ).agg(F.collect_list(F.struct("relation_id", "source_id", "topology", "valid_from", "valid_to")).alias("known"))
     joined = items.join(
-        r, (F.col("scope_id") == F.col("r_scope")) & (F.col("e_scope") == F.col("r_target")) & (F.col("path_id") == F.col("r_path")),
+        ranges,
+        (F.col("scope_id") == F.col("r_scope")) & (F.col("e_scope") == F.col("r_target")) & (F.col("path_id") == F.col("r_path")),
         "left",
     )
-    source = F.col("r_source") == F.col("source_id")
-    valid = source & (F.col("r_topology") == F.col("topology")) & (F.col("valid_from") <= lo) & (F.col("valid_to") >= hi)
-    return joined.groupBy(*key).agg(
-        F.count("relation_id").alias("scope_matches"),
-        F.count_if(source).alias("source_matches"),
-        F.count_if(source & (F.col("r_topology") != F.col("topology"))).alias("other_topology"),
-        F.count_if(valid).alias("valid_matches"),
-        F.min(F.when(valid, F.col("relation_id"))).alias("selected_relation"),
-    )
+    lo, hi = F.greatest("e_from", "from_ts"), F.least("e_to", "to_ts")
+    own = F.filter("known", lambda r: r["source_id"] == F.col("source_id"))
+    valid = F.filter(
+        own, lambda r: (r["topology"] == F.col("topology")) & (r["valid_from"] <= lo) & (r["valid_to"] >= hi))
+
+    def size(x) -> Column:
+        return F.coalesce(F.size(x), F.lit(0)).cast("bigint")
+
+    return joined.select(
+        "*", size("known").alias("scope_matches"), size(own).alias("source_matches"),
+        size(F.filter(own, lambda r: r["topology"] != F.col("topology"))).alias("other_topology"),
+        size(valid).alias("valid_matches"),
+        F.array_min(F.transform(valid, lambda r: r["relation_id"])).alias("selected_relation"),
+    ).drop("known", "r_scope", "r_target", "r_path")
 
 
-def eligibility(items: DataFrame, relations: DataFrame, key: list[str]) -> DataFrame:
+def eligibility(items: DataFrame, relations: DataFrame) -> DataFrame:
     """Candidates or controls with ``reason`` (null when eligible) and ``impaired``.
 
     ``items`` carries its symptom's dataset, scope_id, topology, baseline_version, from_ts, to_ts and
-    evaluated_at besides the evidence columns. ``key`` identifies an item.
+    evaluated_at besides the evidence columns.
     """
-    counted = items.join(relation_counts(items, relations, key), key)
+    counted = relation_counts(items, relations)
     judged = counted.join(F.broadcast(support_policy(items.sparkSession)), "metric_id", "left")
     c = F.col
     age = seconds_between(c("observed_at"), c("evaluated_at"))

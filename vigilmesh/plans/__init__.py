@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ["rollups", "aggregates", "joins", "selections", "ingestion", "detection", "lifecycles"]
+GROUPS = ["rollups", "aggregates", "joins", "selections", "ingestion", "detection", "lifecycles", "causes"]
 
 
 def load_all() -> None:
