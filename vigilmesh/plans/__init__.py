@@ -2,7 +2,7 @@
 
 import importlib
 
-GROUPS = ["rollups", "aggregates", "joins", "selections", "ingestion", "detection", "lifecycles", "causes"]
+GROUPS = ["rollups", "aggregates", "joins", "selections", "ingestion", "detection", "lifecycles", "causes", "modelling"]
 
 
 def load_all() -> None:
