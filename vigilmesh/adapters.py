@@ -35,6 +35,15 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, name: str, *keys: str) -> DataFrame:
+        """The table, redistributed only if its files give fewer splits than half the cores.
+
+        A table of many files or row groups is left alone, so at scale this costs nothing.
+        """
+        df = self.raw(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df if 2 * df.rdd.getNumPartitions() > cores else df.repartition(cores, *keys)
+
     # -- one-minute observations -------------------------------------------------------------
 
     @cached_property
@@ -147,7 +156,7 @@ class Tables:
         """City primitives per five-minute slot, with nine-bin voice and SMS histograms."""
         price = "l_extendedprice"
         branches = " ".join(f"WHEN {price} < {edge} THEN {i}" for i, edge in enumerate(PRICE_EDGES))
-        lines = self.raw("lineitem").selectExpr(
+        lines = self.spread("lineitem", "l_orderkey", "l_linenumber").selectExpr(
             "concat('C', l_suppkey % 10) AS city_id",
             f"(l_orderkey * 7 + l_linenumber) % {ARCHIVE_SLOTS} AS slot",
             "CAST(l_quantity AS BIGINT) AS q",

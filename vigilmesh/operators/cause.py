@@ -105,41 +105,51 @@ def eligibility(items: DataFrame, relations: DataFrame) -> DataFrame:
     return judged.withColumn("reason", reason).withColumn("impaired", impaired)
 
 
-def control_effects(controls: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Each eligible control against its candidate: opposite seen, contradicts, or rejected.
+def control_effects(candidates: DataFrame, controls: DataFrame, how: str = "inner") -> DataFrame:
+    """Candidates beside each of their controls (``ctl``), with what the control says.
 
     An impaired opposite direction contradicts, as does a healthy reading of the same scope.
     """
     k = ["symptom_id", "candidate_id"]
-    base = candidates.select(
-        *k, F.col("metric_id").alias("c_metric"), F.col("e_scope").alias("c_scope"), F.col("e_direction").alias("c_direction"))
-    joined = controls.join(base, k)
-    opposite = F.col("kind") == "OPPOSITE_DIRECTION"
-    same_place = (F.col("e_scope") == F.col("c_scope")) & (F.col("metric_id") == F.col("c_metric"))
-    compatible = same_place & F.when(opposite, F.col("e_direction") != F.col("c_direction")).otherwise(
-        F.col("e_direction") == F.col("c_direction"))
-    reason = F.when(F.col("reason").isNotNull(), F.col("reason")).when(~compatible, "WRONG_SCOPE_OR_PATH")
-    return joined.withColumn("control_reason", reason).withColumn(
-        "opposite_seen", reason.isNull() & opposite
-    ).withColumn("contradicts", reason.isNull() & F.when(opposite, F.col("impaired")).otherwise(~F.col("impaired")))
+    beside = controls.select(
+        *k, F.struct("kind", "metric_id", "e_scope", "e_direction", "reason", "impaired").alias("ctl"))
+    joined = candidates.join(beside, k, how)
+    ctl = F.col("ctl")
+    opposite = ctl["kind"] == "OPPOSITE_DIRECTION"
+    turned = F.when(opposite, ctl["e_direction"] != F.col("e_direction")).otherwise(ctl["e_direction"] == F.col("e_direction"))
+    compatible = (ctl["e_scope"] == F.col("e_scope")) & (ctl["metric_id"] == F.col("metric_id")) & turned
+    reason = F.when(ctl["reason"].isNotNull(), ctl["reason"]).when(~compatible, "WRONG_SCOPE_OR_PATH")
+    sound = ctl.isNotNull() & reason.isNull()
+    return joined.withColumns({
+        "control_reason": reason,
+        "opposite_seen": sound & opposite,
+        "contradicts": sound & F.when(opposite, ctl["impaired"]).otherwise(~ctl["impaired"]),
+    })
 
 
 def candidate_verdicts(candidates: DataFrame, controls: DataFrame) -> DataFrame:
-    """Final reason of each candidate after support threshold and controls; null means supported."""
+    """Final reason of each candidate after support threshold and controls; null means supported.
+
+    One join and one grouping per candidate; a candidate has a handful of configured controls.
+    """
     k = ["symptom_id", "candidate_id"]
-    effects = control_effects(controls, candidates).groupBy(*k).agg(
-        F.bool_or("opposite_seen").alias("opposite_seen"), F.bool_or("contradicts").alias("contradicted"))
-    joined = candidates.join(effects, k, "left")
+    rest = [c for c in candidates.columns if c not in k]
+    grouped = control_effects(candidates, controls, "left").groupBy(*k).agg(
+        F.any_value(F.struct(*rest)).alias("r"),
+        F.bool_or("opposite_seen").alias("opposite_seen"),
+        F.bool_or("contradicts").alias("contradicted"),
+        F.collect_set("control_reason").alias("control_reasons"),
+    ).select(*k, "r.*", "opposite_seen", "contradicted", "control_reasons")
     needs_opposite = (F.col("domain") == "ROAMING") | F.col("metric_id").startswith("roaming.")
     final = (
         F.when(F.col("hypothesis") != F.concat("domain", F.lit("_DEPENDENCY_HYPOTHESIS")), "UNSUPPORTED_HYPOTHESIS")
         .when(F.col("conflicting"), "CONFLICTING_DUPLICATE")
         .when(F.col("reason").isNotNull(), F.col("reason"))
         .when(~F.col("impaired"), "BELOW_SUPPORT_THRESHOLD")
-        .when(F.coalesce("contradicted", F.lit(False)), "CONTRADICTORY_CONTROL")
-        .when(needs_opposite & ~F.coalesce("opposite_seen", F.lit(False)), "MISSING_REQUIRED_CONTROL")
+        .when(F.col("contradicted"), "CONTRADICTORY_CONTROL")
+        .when(needs_opposite & ~F.col("opposite_seen"), "MISSING_REQUIRED_CONTROL")
     )
-    return joined.withColumn("final_reason", final)
+    return grouped.withColumn("final_reason", final)
 
 
 def mark_conflicts(offers: DataFrame, key: list[str], content: Column) -> DataFrame:
@@ -150,20 +160,17 @@ def mark_conflicts(offers: DataFrame, key: list[str], content: Column) -> DataFr
     return grouped.select(*key, "r.*", "conflicting")
 
 
-def outcomes(symptoms: DataFrame, verdicts: DataFrame, control_reasons: DataFrame | None = None) -> DataFrame:
+def outcomes(symptoms: DataFrame, verdicts: DataFrame) -> DataFrame:
     """One result per symptom: exactly one distinct supported hypothesis is a cause, several are ambiguous."""
     physical = F.concat_ws("|", "evidence_id", "source_id", "path_id", "hypothesis")
     supported = F.col("final_reason").isNull()
     per = verdicts.groupBy("symptom_id").agg(
         F.collect_set(F.when(supported, physical)).alias("supported"),
-        F.collect_set("final_reason").alias("reasons"),
+        F.collect_set("final_reason").alias("own_reasons"),
+        F.flatten(F.collect_list("control_reasons")).alias("more_reasons"),
         F.min(F.when(supported, F.col("evidence_id"))).alias("supporting_evidence"),
         F.min(F.when(supported, F.col("selected_relation"))).alias("relation_id"),
-    )
-    if control_reasons is not None:
-        more = control_reasons.groupBy("symptom_id").agg(F.collect_set("control_reason").alias("more"))
-        per = per.join(more, "symptom_id", "left").withColumn(
-            "reasons", F.array_union("reasons", F.coalesce("more", F.array().cast("array<string>"))))
+    ).withColumn("reasons", F.array_union("own_reasons", "more_reasons"))
     joined = symptoms.join(per, "symptom_id", "left")
     n = F.coalesce(F.size("supported"), F.lit(0))
     breach = F.col("verdict") == "BREACH"

@@ -26,21 +26,21 @@ _LINK_PATH = "'src' || (slot % 2) AS source_id, 'p' || (slot % 3) AS path_id"
 _HYPOTHESIS = "CASE WHEN slot % 31 = 0 THEN 'OTHER' ELSE 'ROAMING_DEPENDENCY_HYPOTHESIS' END AS hypothesis"
 _RATE_A = """'roaming.registration.success' AS metric_id, reg_success AS total, reg_attempts AS population, TRUE AS is_ratio, CASE WHEN slot % 67 = 0 THEN NULL ELSE 99 END AS e_baseline,
   CASE WHEN slot % 71 = 0 THEN 'other' ELSE 'seasonal-v1' END AS e_baseline_version"""
-_RTT = "'transport.rtt.mean' AS metric_id, {total} AS total, {pop} AS population, FALSE AS is_ratio, NULL AS e_baseline, NULL AS e_baseline_version"
+_RTT = "'transport.rtt.mean' AS metric_id, {total} AS total, {pop} AS population, FALSE AS is_ratio, CAST(NULL AS INT) AS e_baseline, CAST(NULL AS VARCHAR(20)) AS e_baseline_version"
 _OPPOSITE = "CASE WHEN direction = 'in' THEN 'out' ELSE 'in' END"
 
 CANDIDATE_PARTS = [
-    f"SELECT 'a' AS candidate_id, 'a-' || partner_id || direction || slot AS evidence_id, {_HYPOTHESIS}, {_LINK_PATH}, partner_id AS e_scope, direction AS e_direction, {_SYMPTOM}, {_COMMON}, {_RATE_A} FROM roam5m",
-    f"SELECT 'b' AS candidate_id, 'b-' || partner_id || direction || slot AS evidence_id, {_HYPOTHESIS}, {_LINK_PATH}, 'L' || (slot % 12) AS e_scope, 'a-to-b' AS e_direction, {_SYMPTOM}, {_COMMON}, {_RTT.format(total='(20 + slot % 40) * (60 + slot % 90)', pop='20 + slot % 40')} FROM roam5m",
+    (f"'a' AS candidate_id, 'a-' || partner_id || direction || slot AS evidence_id, {_HYPOTHESIS}, {_LINK_PATH}, partner_id AS e_scope, direction AS e_direction, {_SYMPTOM}, {_COMMON}, {_RATE_A}", "TRUE"),
+    (f"'b' AS candidate_id, 'b-' || partner_id || direction || slot AS evidence_id, {_HYPOTHESIS}, {_LINK_PATH}, 'L' || (slot % 12) AS e_scope, 'a-to-b' AS e_direction, {_SYMPTOM}, {_COMMON}, {_RTT.format(total='(20 + slot % 40) * (60 + slot % 90)', pop='20 + slot % 40')}", "TRUE"),
 ]
 CONTROL_PARTS = [
-    f"SELECT 'a' AS candidate_id, 'OPPOSITE_DIRECTION' AS kind, 'ca-' || partner_id || direction || slot AS evidence_id, {_LINK_PATH}, partner_id AS e_scope, {_OPPOSITE} AS e_direction, {_SYMPTOM}, {_CLEAN}, "
-    f"'roaming.registration.success' AS metric_id, CASE WHEN slot % 5 = 0 THEN 900 ELSE 990 END AS total, 1000 AS population, TRUE AS is_ratio, 99 AS e_baseline, 'seasonal-v1' AS e_baseline_version FROM roam5m WHERE slot % 7 <> 0",
-    f"SELECT 'b' AS candidate_id, CASE WHEN slot % 2 = 0 THEN 'CONTRADICTORY' ELSE 'OPPOSITE_DIRECTION' END AS kind, 'cb-' || partner_id || direction || slot AS evidence_id, {_LINK_PATH}, 'L' || (slot % 12) AS e_scope, "
-    f"CASE WHEN slot % 2 = 0 THEN 'a-to-b' ELSE 'b-to-a' END AS e_direction, {_SYMPTOM}, {_CLEAN}, {_RTT.format(total='CASE WHEN slot % 4 = 0 OR slot % 3 = 1 THEN 5000 ELSE 15000 END', pop='100')} FROM roam5m",
+    (f"'a' AS candidate_id, 'OPPOSITE_DIRECTION' AS kind, 'ca-' || partner_id || direction || slot AS evidence_id, {_LINK_PATH}, partner_id AS e_scope, {_OPPOSITE} AS e_direction, {_SYMPTOM}, {_CLEAN}, "
+    f"'roaming.registration.success' AS metric_id, CASE WHEN slot % 5 = 0 THEN 900 ELSE 990 END AS total, 1000 AS population, TRUE AS is_ratio, 99 AS e_baseline, 'seasonal-v1' AS e_baseline_version", "slot % 7 <> 0"),
+    (f"'b' AS candidate_id, CASE WHEN slot % 2 = 0 THEN 'CONTRADICTORY' ELSE 'OPPOSITE_DIRECTION' END AS kind, 'cb-' || partner_id || direction || slot AS evidence_id, {_LINK_PATH}, 'L' || (slot % 12) AS e_scope, "
+    f"CASE WHEN slot % 2 = 0 THEN 'a-to-b' ELSE 'b-to-a' END AS e_direction, {_SYMPTOM}, {_CLEAN}, {_RTT.format(total='CASE WHEN slot % 4 = 0 OR slot % 3 = 1 THEN 5000 ELSE 15000 END', pop='100')}", "TRUE"),
 ]
-CAND_SQL = " UNION ALL ".join(CANDIDATE_PARTS)
-CTL_SQL = " UNION ALL ".join(CONTROL_PARTS)
+CAND_SQL, CTL_SQL = (
+    " UNION ALL ".join(f"SELECT {fields} FROM roam5m WHERE {keep}" for fields, keep in parts) for parts in (CANDIDATE_PARTS, CONTROL_PARTS))
 SYM_SQL = f"SELECT {_SYMPTOM}, {_VERDICT} FROM roam5m"
 REL_SQL = f"""
 SELECT 'r-' || p.scope_id || '-' || g.t || '-' || w.path || '-' || w.src || '-' || c.k AS relation_id, p.scope_id, CASE WHEN g.t = 12 THEN p.partner_id ELSE 'L' || g.t END AS target_scope, 'p' || w.path AS path_id, 'src' || w.src AS source_id, 't1' AS topology,
@@ -48,18 +48,14 @@ SELECT 'r-' || p.scope_id || '-' || g.t || '-' || w.path || '-' || w.src || '-'
 FROM partners p, range(13) g(t), (SELECT unnest([0, 1, 1, 2]) AS path, unnest([0, 0, 1, 1]) AS src) w, range(2) c(k) WHERE g.t <> 5 AND (c.k = 0 OR g.t = 4)"""
 
 
-def frame(t: Tables, parts: list[str]):
-    """The shared input expressions over the roaming table."""
-    t.roam5m.createOrReplaceTempView("roam5m")
-    out = None
-    for part in parts:
-        one = t.spark.sql(part)
-        out = one if out is None else out.unionByName(one)
-    return out
+def frame(t: Tables, parts: list[tuple[str, str]]):
+    """Several evidence rows per roaming slot, all from one pass over the slots."""
+    rows = ", ".join(f"struct({fields}, {keep} AS kept)" for fields, keep in parts)
+    return t.roam5m.selectExpr(f"inline(array({rows}))").where("kept").drop("kept")
 
 
 def symptoms(t: Tables):
-    return frame(t, [SYM_SQL])
+    return frame(t, [(f"{_SYMPTOM}, {_VERDICT}", "TRUE")])
 
 
 def relations(t: Tables):
@@ -136,13 +132,11 @@ def support_threshold(t: Tables):
 
 @query("cau_03_control_effects", cause_sql("SELECT symptom_id, candidate_id, control_reason, seen AS opposite_seen, contra AS contradicts FROM effects"))
 def control_effects(t: Tables):
-    return cause.control_effects(controls(t), candidates(t)).select("symptom_id", "candidate_id", "control_reason", "opposite_seen", "contradicts")
+    return cause.control_effects(candidates(t), controls(t)).select("symptom_id", "candidate_id", "control_reason", "opposite_seen", "contradicts")
 
 
 def results(t: Tables):
-    judged, checked = candidates(t), controls(t)
-    verdicts = cause.candidate_verdicts(judged, checked)
-    return cause.outcomes(symptoms(t), verdicts, cause.control_effects(checked, judged))
+    return cause.outcomes(symptoms(t), cause.candidate_verdicts(candidates(t), controls(t)))
 
 
 @query("cau_04_cause_outcomes", cause_sql("SELECT * FROM outcome", outcome=OUTCOME_SQL))
