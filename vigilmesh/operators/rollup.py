@@ -74,8 +74,11 @@ def bucket_primitives(
     """
     b = request.bounds
     seconds = b["seconds"]
-    wanted = {f for m in (metrics or [m for m, d, *_ in METRICS if kind_of(d) == kind])
-              for f in definition(m)["fields"]}
+    wanted = set()
+    for metric in metrics or [m for m, d, *_ in METRICS if kind_of(d) == kind]:
+        d = definition(metric)
+        # A snapshot metric reads its own field only; the others document where it comes from.
+        wanted |= set(d["fields"][:1] if d["aggregation"].startswith("SNAPSHOT") else d["fields"])
     lo, hi = ts_lit(request.start), ts_lit(request.end)
     snapshot_needed = bool(wanted & set(SNAPSHOTS[kind]))
     facts = facts.where(F.col("ts") < hi)
