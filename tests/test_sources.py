@@ -63,3 +63,19 @@ def test_truncated_dead_letter(spark, tables):
     big = spark.createDataFrame([("S0", "{" + "x" * 70000, 1)], "key string, payload string, arrival bigint").withColumn("received_at", F.current_timestamp())
     r = observations.dead_letters(observations.validate(big, tables.catalogue)).first()
     assert (r.reason_code, len(r.raw_payload), r.payload_size, r.payload_truncated) == ("MALFORMED_JSON", 65536, 70001, True)
+
+
+def test_known_archive_row(spark):
+    """Golden values of one published row: 7957 attempts, 7900 successes."""
+    line = (
+        '2026-09-10T09:00:00.000Z,chi,7957,7900,28,1034167.194308,3274.817784,6598.184313,"{3559,1955,1665,503,198,19,1,0,0}",'
+        '3979,4139,0,0,0,"{2471,996,628,44,0,0,0,0,0}",1358,1348,10864,10842,45.584172,557,554'
+    )
+    from vigilmesh.functions.arithmetic import percent
+
+    rows = archive.parse_lines(spark.createDataFrame([(line,)], "line string"), "line", "city_kpi_5m.csv")
+    r = rows.select(
+        "ts", "_corrupt", F.aggregate("voice_setup_hist", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("cohort"),
+        percent(F.col("voice_success"), F.col("voice_attempts")).alias("rate")).first()
+    assert (r.ts.isoformat(), r["_corrupt"], r.cohort) == ("2026-09-10T09:00:00", None, 7900)
+    assert abs(r.rate - 99.28364961668971) < 1e-9

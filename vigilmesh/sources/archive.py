@@ -39,17 +39,22 @@ LAYOUT = {
 HISTOGRAM_COLUMNS = ["voice_setup_hist", "sms_delay_hist"]
 
 
+def header_of(name: str) -> str:
+    return ",".join(f.strip().split()[0] for f in LAYOUT[name].split(", "))
+
+
 def read_file(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One archive file, header checked against the layout, bad records kept in ``_corrupt``."""
-    rows = (
-        spark.read.schema(LAYOUT[name] + ", _corrupt string")
-        .option("header", True)
-        .option("enforceSchema", False)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt")
-        .csv(f"{folder}/{name}")
-    )
-    return with_histograms(rows)
+    """One archive file (or a folder of parts): header checked, bad records kept in ``_corrupt``.
+
+    Records are single lines, so the file is read as lines and each line is typed whole. The CSV
+    reader types only the columns a query reads, which would let the set of corrupt records depend
+    on the query.
+    """
+    lines = spark.read.text(f"{folder}/{name}").withColumnRenamed("value", "line")
+    first = lines.head(1)
+    if first and first[0]["line"].strip() != header_of(name):
+        raise ValueError(f"header of {name} differs from its layout")
+    return parse_lines(lines.where(F.trim("line") != header_of(name)), "line", name)
 
 
 def with_histograms(rows: DataFrame) -> DataFrame:
@@ -61,7 +66,7 @@ def with_histograms(rows: DataFrame) -> DataFrame:
 
 def parse_lines(lines: DataFrame, text: str, name: str) -> DataFrame:
     """Rows of one layout from a column of CSV lines; the same typing as ``read_file``."""
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", "timestampFormat": "yyyy-MM-dd HH:mm:ss"}
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     parsed = lines.withColumn("r", F.from_csv(text, F.lit(LAYOUT[name] + ", _corrupt string"), options))
     return with_histograms(parsed.select("r.*"))
 
