@@ -54,20 +54,23 @@ def relation_counts(items: DataFrame, relations: DataFrame) -> DataFrame:
         (F.col("scope_id") == F.col("r_scope")) & (F.col("e_scope") == F.col("r_target")) & (F.col("path_id") == F.col("r_path")),
         "left",
     )
+    # Two steps, so that each filtered array is computed once and then only measured.
+    own = joined.withColumn("own", F.filter("known", lambda r: r["source_id"] == F.col("source_id")))
     lo, hi = F.greatest("e_from", "from_ts"), F.least("e_to", "to_ts")
-    own = F.filter("known", lambda r: r["source_id"] == F.col("source_id"))
-    valid = F.filter(
-        own, lambda r: (r["topology"] == F.col("topology")) & (r["valid_from"] <= lo) & (r["valid_to"] >= hi))
+    fit = own.withColumns({
+        "other": F.filter("own", lambda r: r["topology"] != F.col("topology")),
+        "valid": F.filter(
+            "own", lambda r: (r["topology"] == F.col("topology")) & (r["valid_from"] <= lo) & (r["valid_to"] >= hi)),
+    })
 
-    def size(x) -> Column:
-        return F.coalesce(F.size(x), F.lit(0)).cast("bigint")
+    def size(name: str) -> Column:
+        return F.coalesce(F.size(name), F.lit(0)).cast("bigint")
 
-    return joined.select(
-        "*", size("known").alias("scope_matches"), size(own).alias("source_matches"),
-        size(F.filter(own, lambda r: r["topology"] != F.col("topology"))).alias("other_topology"),
-        size(valid).alias("valid_matches"),
-        F.array_min(F.transform(valid, lambda r: r["relation_id"])).alias("selected_relation"),
-    ).drop("known", "r_scope", "r_target", "r_path")
+    return fit.select(
+        *items.columns, size("known").alias("scope_matches"), size("own").alias("source_matches"),
+        size("other").alias("other_topology"), size("valid").alias("valid_matches"),
+        F.array_min("valid.relation_id").alias("selected_relation"),
+    )
 
 
 def eligibility(items: DataFrame, relations: DataFrame) -> DataFrame:
