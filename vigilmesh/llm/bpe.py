@@ -32,7 +32,7 @@ LEAF = 4096
 SEGMENT = 65536
 
 # White_Space of Unicode, as the pattern's \s has it.
-_WS = "\t-\r \x85\xa0  -     　"
+_WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PUNCT = r"!-/:-@\[-`{-~"
 _SETTLED = re.compile(
     rf"(?<=[^{_WS}])(?=[{_WS}])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z0-9])(?=[{_PUNCT}])"
