@@ -7,8 +7,8 @@ SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session(shuffle_partitions=4, memory="8g")
+def spark(tmp_path_factory):
+    return local_session(shuffle_partitions=4, memory="8g", checkpoint=str(tmp_path_factory.mktemp("checkpoint")))
 
 
 @pytest.fixture(scope="session")

@@ -31,7 +31,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "12g") -> SparkSession:
+def local_session(
+    cores: str = "8", shuffle_partitions: int = 8, memory: str = "12g", checkpoint: str | None = None
+) -> SparkSession:
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("vigilmesh")
@@ -40,6 +42,8 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
+    if checkpoint:
+        builder = builder.config("spark.checkpoint.dir", checkpoint)
     for key, value in {**RUNTIME, **STATIC}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
@@ -47,19 +51,19 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
-def cut_lineage(df):
-    """Truncate a long plan through reliable storage, so that a lost executor costs no recompute.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share for cut lineage and intermediate tables.
 
-    The checkpoint folder is the one the cluster names; a temporary folder stands in only when no
-    folder is configured, as in tests.
+    The cluster names it in spark.checkpoint.dir. Where nobody did, a folder in the warehouse stands in, which is
+    shared as well; never a temporary folder of one machine.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            import tempfile
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    return (folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_lineage").rstrip("/")
+
 
-            folder = tempfile.mkdtemp(prefix="vigilmesh-checkpoint-")
-        context.setCheckpointDir(folder)
+def cut_lineage(df):
+    """Truncate a long plan through reliable storage, so that a lost executor costs no recompute."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
