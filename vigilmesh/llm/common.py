@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilmesh.session import cut_lineage
+from vigilmesh.session import cut_lineage, shared_folder
 
 #: White space that separates words, as listed by the contracts.
 SPACE = r"\x20\x09-\x0D"
@@ -72,3 +75,50 @@ def concat(arrays: list[np.ndarray], dtype) -> np.ndarray:
 
 def long_array(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64) if values.dtype == np.uint64 else values.astype(np.int64))
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The frame written once, as a table in the shared folder, and read back: columnar, and safe from lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def meet_in_cells(rows: DataFrame, key: list[str], id_column: str, block: int) -> DataFrame:
+    """Rows of keys with two or more of them, dealt so that each two rows of a key share exactly one or, within a block, one cell.
+
+    A key with n rows is cut into ceil(n / block) blocks by a hash of the id; a row goes to the cell (lo, hi) of its
+    own block, `sub`, with every block of the key. Pairs within a block belong to the cell lo = hi.
+    """
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
+    blocks = F.ceil(F.col("n_rows") / block).cast("int")
+    cells = (
+        rows.join(sizes, key)
+        .withColumn("sub", F.pmod(F.xxhash64(id_column), blocks).cast("int"))
+        .withColumn("with_block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .withColumns({"lo": F.least("sub", "with_block"), "hi": F.greatest("sub", "with_block")})
+        .drop("with_block", "n_rows")
+    )
+    return cells.repartition(*key, "lo", "hi").sortWithinPartitions(*key, "lo", "hi")
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[pa.Table]:
+    """The stretches of equal keys in sorted batches, each as one table of two rows or more."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        whole = pa.Table.from_batches(held).combine_chunks()
+        changes = np.zeros(len(whole), bool)
+        for name in key:
+            values = whole.column(name).to_numpy()
+            changes[1:] |= values[1:] != values[:-1]
+        starts = [0, *np.flatnonzero(changes).tolist()]
+        for start, end in zip(starts[:-1], starts[1:]):
+            if end - start > 1:
+                yield whole.slice(start, end - start).combine_chunks()
+        held = whole.slice(starts[-1]).to_batches()
+    if held and (last := pa.Table.from_batches(held)).num_rows > 1:
+        yield last.combine_chunks()

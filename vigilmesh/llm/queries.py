@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilmesh.llm import bpe, topk, vectors
+from vigilmesh.llm import bpe, jaccard, topk, vectors
 from vigilmesh.llm.common import table
 from vigilmesh.session import prepare
 
@@ -80,3 +80,8 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 @query("op8_exact_top_k", TOP_K)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(table(spark, folder, "embeddings"), lambda vec_id: vec_id % 100 == 0)
+
+
+@query("op9_ngram_jaccard_join")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, folder, "documents"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilmesh.llm.common import cut_lineage
+from vigilmesh.llm.common import cut_lineage, meet_in_cells, runs
 from vigilmesh.llm.components import components
 from vigilmesh.llm.topk import finite, matrix
 
@@ -152,17 +152,8 @@ def near_duplicates(
     keyed = classes.mapInArrow(hashed, head + ", buckets array<bigint>").select(
         "label", F.length("vector").alias("dims"), "rep", "members", "vector", "codes", F.posexplode("buckets").alias("pos", "code")
     ).withColumn("table", F.floor(F.col("pos") / probes).cast("int")).drop("pos")
-    bucket = ["label", "dims", "table", "code"]
-    live = keyed.groupBy(*bucket).agg(F.count("*").alias("n")).where("n > 1")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    cells = (
-        keyed.join(live, bucket)
-        .withColumn("sub", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-        .withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .withColumns({"lo": F.least("sub", "with"), "hi": F.greatest("sub", "with")})
-        .drop("with", "n")
-    )
-    key = [*bucket, "lo", "hi"]
+    key = ["label", "dims", "table", "code"]
+    cells = meet_in_cells(keyed, key, "rep", BLOCK)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def finish(run: pa.Table):
@@ -187,22 +178,8 @@ def near_duplicates(
             hit = links > 0
             return run.column("label").combine_chunks().filter(pa.array(hit)), reps[hit], links[hit], root[hit]
 
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            run = pa.Table.from_batches(held).combine_chunks()
-            changes = np.zeros(len(run), bool)
-            for c in key:
-                values = run.column(c).to_numpy()
-                changes[1:] |= values[1:] != values[:-1]
-            starts = [0, *np.flatnonzero(changes)]
-            for s, e in zip(starts[:-1], starts[1:]):
-                if e - s > 1 and (found := finish(run.slice(s, e - s))):
-                    yield _batch(found)
-            held = run.slice(starts[-1]).to_batches()
-        if held:
-            run = pa.Table.from_batches(held)
-            if len(run) > 1 and (found := finish(run)):
+        for run in runs(batches, [*key, "lo", "hi"]):
+            if found := finish(run):
                 yield _batch(found)
 
     def _batch(found):
@@ -212,7 +189,7 @@ def near_duplicates(
             [label, pa.array(reps), pa.array(links), pa.array(root)], names=["label", "rep", "links", "root"]
         )
 
-    found = cells.repartition(*key).sortWithinPartitions(*key).mapInArrow(settle, f"label {label_type}, rep long, links long, root long")
+    found = cells.mapInArrow(settle, f"label {label_type}, rep long, links long, root long")
     found = cut_lineage(found)
     links = found.groupBy("label", "rep").agg(F.sum("links").alias("links"))
     group = components(found.select(F.col("rep").alias("u"), F.col("root").alias("v")))
