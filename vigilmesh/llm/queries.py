@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilmesh.llm import bpe, jaccard, topk, vectors
+from vigilmesh.llm import bpe, jaccard, passages, topk, vectors
 from vigilmesh.llm.common import table
 from vigilmesh.session import prepare
 
@@ -85,3 +85,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_ngram_jaccard_join")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, folder, "documents"))
+
+
+@query("op6_substring_dedup")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, folder, "documents"))
