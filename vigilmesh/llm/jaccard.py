@@ -28,8 +28,13 @@ from vigilmesh.llm.shingles import by_slice
 
 #: Percent of the union that two linked sets share at least.
 PERCENT = 80
-GROUPS = 32
+#: Coordinates of a point. Sets of 500 shingles that share 70 percent of the union differ by more than the bound in 110 of them.
+GROUPS = 128
+#: A count from which a point is unknown: no bound is drawn from it.
+UNKNOWN = 255
 BLOCK = 512
+#: Smallest trees that a point names, so that a pair which meets in several of them is passed on once.
+NAMED = 16
 LEAF = 16
 #: Entries of the filter that thins out texts before they are shuffled: bounds its broadcast to 8 MB.
 FILTER = 1 << 20
@@ -40,7 +45,8 @@ def size_classes(limit: int, percent: int = PERCENT) -> tuple[np.ndarray, np.nda
     """First sizes of the classes up to the limit, and the number of groups of each.
 
     Sets of sizes a and b that share percent of their union differ in at most (a + b) * (100 - percent) / (100 + percent).
-    Beyond one group more than the largest difference there are some spare ones, for groups that are empty.
+    Beyond one group more than the largest difference there are spare ones, for groups with fewer than two shingles:
+    those are alike by chance too often to be trees.
     """
     first = [1]
     while first[-1] <= limit:
@@ -48,7 +54,7 @@ def size_classes(limit: int, percent: int = PERCENT) -> tuple[np.ndarray, np.nda
     first = np.array(first)
     largest = first[1:] - 1
     groups = 2 * largest * (100 - percent) // (100 + percent) + 1
-    spare = np.where(groups > 1, 2 + np.ceil(0.011 * groups + 4 * np.sqrt(0.011 * groups)), 0).astype(np.int64)
+    spare = np.where(groups > 1, 1 + np.ceil(0.085 * groups + 2.5 * np.sqrt(0.085 * groups)), 0).astype(np.int64)
     return first, groups + spare
 
 
@@ -71,19 +77,20 @@ def tree_keys(doc: np.ndarray, value: np.ndarray, rows: int, percent: int = PERC
         order = np.argsort(cell, kind="stable")
         cell, content = cell[order], mix(v[order] ^ _SECOND)
         starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
-        filled = cell[starts]
+        filled, heavy = cell[starts], np.diff(np.append(starts, len(cell))) > 1
         content = np.add.reduceat(content, starts) if len(starts) else content
         row = np.searchsorted(offset, filled, "right") - 1
-        # If both sets have more empty groups than are sure to agree, the agreeing ones may all be empty.
+        # If both sets have as many light groups as are sure to agree, the agreeing ones may all be light.
         last = np.minimum(first[np.minimum(kind + 1, len(first) - 1)] - 1, sizes * 100 // percent)
         differ = (sizes + last) * (100 - percent) // (100 + percent)
-        empty = m - np.bincount(row, minlength=rows)
-        unsafe = np.flatnonzero(enters & (empty >= m - differ))
-        if len(unsafe):
-            bare = np.concatenate([np.setdiff1d(np.arange(offset[r], offset[r + 1]), filled) for r in unsafe])
-            filled = np.concatenate([filled, bare])
-            row = np.concatenate([row, np.searchsorted(offset, bare, "right") - 1])
-            content = np.concatenate([content, np.zeros(len(bare), np.uint64)])
+        light = m - np.bincount(row[heavy], minlength=rows)
+        unsafe = enters & (light >= m - differ)
+        bare = [np.setdiff1d(np.arange(offset[r], offset[r + 1]), filled) for r in np.flatnonzero(unsafe)]
+        chosen = heavy | unsafe[row]
+        bare = np.concatenate([*bare, np.zeros(0, np.int64)]).astype(np.int64)
+        filled = np.concatenate([filled[chosen], bare])
+        row = np.concatenate([row[chosen], np.searchsorted(offset, bare, "right") - 1])
+        content = np.concatenate([content[chosen], np.zeros(len(bare), np.uint64)])
         place = (kind[row].astype(np.uint64) << np.uint64(40)) + (filled - offset[row]).astype(np.uint64)
         out_rows.append(row)
         out_keys.append(mix(content + mix(place + np.uint64(1))))
@@ -105,11 +112,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = end - start
             with np.errstate(over="ignore"):
                 sizes, prints = fingerprints(sets, rows)
-            group = (sets.hash >> np.uint64(59)).astype(np.int64)
-            counts = np.bincount(sets.doc * GROUPS + group, minlength=rows * GROUPS).astype(np.int32)
+            group = (sets.hash >> np.uint64(57)).astype(np.int64)
+            counts = np.bincount(sets.doc * GROUPS + group, minlength=rows * GROUPS).reshape(rows, GROUPS)
+            counts[(counts >= UNKNOWN).any(1)] = UNKNOWN
+            points = [c.tobytes() for c in counts.astype(np.uint8)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(start, rows), long_array(sizes), long_array(prints),
-                 pa.ListArray.from_arrays(np.arange(rows + 1, dtype=np.int32) * GROUPS, pa.array(counts))],
+                [batch.column("doc_id").slice(start, rows), long_array(sizes), long_array(prints), pa.array(points, pa.binary())],
                 names=["doc_id", "n", "print", "counts"],
             )
 
@@ -131,22 +139,32 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def _surviving(counts: np.ndarray, sizes: np.ndarray, group: np.ndarray, across: np.ndarray | None):
-    """Pairs of points of different components whose summed minima reach the bound, leaf by leaf."""
+def _points(column) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of each point, and which points are unknown."""
+    counts = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, GROUPS)
+    return counts, counts[:, 0] == UNKNOWN
+
+
+def _may_link(shared, sizes):
+    return shared * (100 + PERCENT) >= PERCENT * sizes
+
+
+def _surviving(counts: np.ndarray, unknown: np.ndarray, sizes: np.ndarray, apart: np.ndarray):
+    """Pairs of points whose summed minima reach the bound, leaf by leaf; apart[0] and others: columns in which both must differ."""
     order = np.lexsort((counts[:, 0], counts.argmax(1), sizes))
     leaves = [order[i : i + LEAF] for i in range(0, len(order), LEAF)]
     upper = np.stack([counts[x].max(0) for x in leaves])
     least = np.array([sizes[x].min() for x in leaves])
+    open_leaf = np.array([unknown[x].any() for x in leaves])
     a, b = [], []
     for i, leaf in enumerate(leaves):
-        shared = np.minimum(upper[i], upper[i:]).sum(1)
-        for j in i + np.flatnonzero(shared * (100 + PERCENT) >= PERCENT * (least[i] + least[i:])):
+        shared = np.minimum(upper[i], upper[i:]).sum(1, dtype=np.int64)
+        for j in i + np.flatnonzero(_may_link(shared, least[i] + least[i:]) | open_leaf[i] | open_leaf[i:]):
             other = leaves[j]
-            shared = np.minimum(counts[leaf][:, None], counts[other][None]).sum(2)
-            near = shared * (100 + PERCENT) >= PERCENT * (sizes[leaf][:, None] + sizes[other][None])
-            near &= group[leaf][:, None] != group[other][None]
-            if across is not None:
-                near &= across[leaf][:, None] != across[other][None]
+            shared = np.minimum(counts[leaf][:, None], counts[other][None]).sum(2, dtype=np.int64)
+            near = _may_link(shared, sizes[leaf][:, None] + sizes[other][None]) | unknown[leaf][:, None] | unknown[other][None]
+            for column in apart:
+                near &= column[leaf][:, None] != column[other][None]
             if i == j:
                 near = np.triu(near, 1)
             x, y = np.nonzero(near)
@@ -157,14 +175,30 @@ def _surviving(counts: np.ndarray, sizes: np.ndarray, group: np.ndarray, across:
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for run in runs(batches, ["key", "lo", "hi"]):
-        counts = run.column("counts").combine_chunks().flatten().to_numpy().reshape(len(run), GROUPS)
-        across = run.column("sub").to_numpy() if run.column("lo")[0].as_py() != run.column("hi")[0].as_py() else None
+        counts, unknown = _points(run.column("counts"))
+        apart = [run.column("component").to_numpy()]
+        if run.column("lo")[0].as_py() != run.column("hi")[0].as_py():
+            apart.append(run.column("sub").to_numpy())
         prints = run.column("print").to_numpy()
-        a, b = _surviving(counts, run.column("n").to_numpy(), run.column("component").to_numpy(), across)
-        if len(a):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(prints[a], prints[b])), pa.array(np.maximum(prints[a], prints[b]))], names=["u", "v"]
-            )
+        a, b = _surviving(counts, unknown, run.column("n").to_numpy(), apart)
+        if not len(a):
+            continue
+        # Of the trees that both points name, the smallest passes the pair on; without one, every tree does.
+        key, named = run.column("key")[0].as_py(), [set(x) for x in run.column("named").to_pylist()]
+        both = [named[x] & named[y] for x, y in zip(a, b)]
+        mine = np.array([not x or min(x) == key for x in both])
+        a, b = prints[a[mine]], prints[b[mine]]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["u", "v"])
+
+
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keep the pairs that may link by the summed minima of their points."""
+    for batch in batches:
+        if batch.num_rows:
+            (x, x_unknown), (y, y_unknown) = _points(batch.column("u_counts")), _points(batch.column("v_counts"))
+            sizes = batch.column("u_n").to_numpy() + batch.column("v_n").to_numpy()
+            near = _may_link(np.minimum(x, y).sum(1, dtype=np.int64), sizes) | x_unknown | y_unknown
+            yield batch.select(["u", "v", "u_id", "v_id"]).filter(pa.array(near))
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,16 +220,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """Links among candidate pairs (u, v) of fingerprints. Only texts of candidates are shuffled, but for chance hits of the filter."""
-    # The pairs that remain possible by their points are a fraction; each is read twice below.
-    named = stored(
-        pairs.join(sets.select(F.col("print").alias("u"), F.col("doc_id").alias("u_id"), F.col("n").alias("u_n"), F.col("counts").alias("u_counts")), "u")
-        .join(sets.select(F.col("print").alias("v"), F.col("doc_id").alias("v_id"), F.col("n").alias("v_n"), F.col("counts").alias("v_counts")), "v")
-        .where(
-            F.aggregate(F.zip_with("u_counts", "v_counts", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x) * (100 + PERCENT)
-            >= PERCENT * (F.col("u_n") + F.col("v_n"))
-        )
-        .select("u", "v", "u_id", "v_id")
-    )
+    named = pairs
+    for side in ("u", "v"):
+        named = named.join(sets.select(F.col("print").alias(side), *(F.col(a).alias(f"{side}_{b}") for a, b in (("doc_id", "id"), ("n", "n"), ("counts", "counts")))), side)
+    # Stored, as it is read three times below.
+    named = stored(named.select("u", "v", "u_id", "v_id", "u_n", "v_n", "u_counts", "v_counts").mapInArrow(_bounded, "u long, v long, u_id long, v_id long"))
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER))
     wanted = named.select(slot(F.col("u_id")).alias("slot")).unionAll(named.select(slot(F.col("v_id")).alias("slot"))).distinct()
     texts = docs.withColumn("slot", slot(F.col("doc_id"))).join(F.broadcast(wanted), "slot", "left_semi").drop("slot")
@@ -214,12 +243,14 @@ def jaccard_components(documents: DataFrame, id_column="doc_id", text_column="te
     64-bit hashes.
     """
     docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    sketch = stored(docs.mapInArrow(_sketch, "doc_id long, n long, print long, counts array<int>"))
+    sketch = stored(docs.mapInArrow(_sketch, "doc_id long, n long, print long, counts binary"))
     sets = sketch.where("n > 0 AND doc_id IS NOT NULL").groupBy("print").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("counts").alias("counts")
     )
     # One shuffle of the entries serves both the trees' sizes and their members.
-    entries = docs.where("doc_id IS NOT NULL").mapInArrow(_trees, "key long, print long").repartition("key")
+    entries = docs.where("doc_id IS NOT NULL").mapInArrow(_trees, "key long, print long")
+    # Said outright, else it would be inferred for one of the two uses only and part them.
+    entries = entries.where("key IS NOT NULL AND print IS NOT NULL").repartition("key")
     trees = entries.groupBy("key").agg(F.min("print").alias("pivot"), F.max("print").alias("top"), F.count("*").alias("members"))
     trees = trees.where("pivot < top").drop("top")
     members = stored(entries.join(trees.hint("shuffle_hash"), "key").where("print <> pivot"))
@@ -238,7 +269,9 @@ def jaccard_components(documents: DataFrame, id_column="doc_id", text_column="te
     ).where("a < b")
     # Trees with the same members are one tree.
     unsettled = unsettled.groupBy("a", "b", "sum", "n").agg(F.min("key").alias("key")).select("key")
-    points = labelled.join(unsettled, "key", "left_semi").join(sets.select("print", "n", "counts"), "print")
+    points = stored(labelled.join(unsettled, "key", "left_semi"))
+    named = points.groupBy("print").agg(F.slice(F.sort_array(F.collect_list("key")), 1, NAMED).alias("named"))
+    points = points.join(named, "print").join(sets.select("print", "n", "counts"), "print")
     met = meet_in_cells(points, ["key"], "print", BLOCK).mapInArrow(_meet, "u long, v long").distinct()
     links = links.unionAll(cut_lineage(_verified(met, sets, docs)))
 
