@@ -198,7 +198,9 @@ def repeated_passages(documents: DataFrame, least_words: int = LEAST, id_column=
     """
     docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).where("doc_id IS NOT NULL")
     # One shuffle of the entries serves both the buckets and their members.
-    entries = docs.mapInArrow(_entries, "key long, print long, times int").repartition("key")
+    entries = docs.mapInArrow(_entries, "key long, print long, times int")
+    # Said outright, else it would be inferred for one of the two uses only and part them.
+    entries = entries.where("key IS NOT NULL AND print IS NOT NULL").repartition("key")
     buckets = entries.groupBy("key").agg(F.min("print").alias("a"), F.max("print").alias("b"), F.sum("times").alias("times"))
     live = buckets.where("a < b OR times > 1").select("key", (F.col("a") < F.col("b")).alias("mixed"))
     members = stored(entries.join(live.hint("shuffle_hash"), "key").select("key", "print", "mixed").distinct())
