@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilmesh.llm import bpe, jaccard, mixing, passages, topk, vectors
+from vigilmesh.llm import bpe, jaccard, mixing, passages, topk, toxicity, vectors
 from vigilmesh.llm.common import table
 from vigilmesh.session import prepare
 
@@ -95,3 +95,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_mixing")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))

@@ -45,13 +45,30 @@ class Words(NamedTuple):
     hash: np.ndarray
 
 
-def words(flat: np.ndarray, offsets: np.ndarray) -> Words:
-    """All words of a slice of texts laid end to end."""
+class Places(NamedTuple):
+    doc: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    total: np.ndarray
+    down: np.ndarray
+
+    def of(self, end: np.ndarray) -> np.ndarray:
+        """Hash of the bytes from each word's start to the given ends, yet to be mixed. An end past the text counts as its end."""
+        return (self.total[np.minimum(end, len(self.total) - 1)] - self.total[self.start]) * self.down[self.start]
+
+
+#: Bytes outside words of letters and digits.
+MARKS = np.zeros(256, bool)
+MARKS[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
+
+
+def word_places(flat: np.ndarray, offsets: np.ndarray, letters_only: bool = False) -> Places:
+    """Where the words of a slice of texts are: runs of other bytes than white space, or of letters, digits and non-ASCII."""
     n = len(flat)
     if not n:
         empty = np.zeros(0, np.int64)
-        return Words(empty, empty, empty, empty.astype(np.uint64))
-    inside = ~SPACES[flat]
+        return Places(empty, empty, empty, np.zeros(1, np.uint64), np.ones(1, np.uint64))
+    inside = ~(MARKS if letters_only else SPACES)[flat]
     border = np.zeros(n + 1, bool)
     border[offsets] = True
     before, after = np.zeros(n, bool), np.zeros(n, bool)
@@ -61,8 +78,13 @@ def words(flat: np.ndarray, offsets: np.ndarray) -> Words:
     up, down = _powers(1 << int(n).bit_length())
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_byte_values()[flat] * up[:n], out=total[1:])
-    hashes = mix((total[end] - total[start]) * down[start])
-    return Words(np.searchsorted(offsets, start, "right") - 1, start, end, hashes)
+    return Places(np.searchsorted(offsets, start, "right") - 1, start, end, total, down)
+
+
+def words(flat: np.ndarray, offsets: np.ndarray) -> Words:
+    """All words of a slice of texts laid end to end."""
+    places = word_places(flat, offsets)
+    return Words(places.doc, places.start, places.end, mix(places.of(places.end)))
 
 
 class Sets(NamedTuple):
