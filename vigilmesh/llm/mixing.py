@@ -107,8 +107,8 @@ def targets(sized: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (5,
         .withColumn("ratio", F.col("limit") / F.col("weight"))
         .withColumn("wanted", F.sum("source_size").over(whole) * share)
         .withColumn("level", level)
-        # The first source, in this order, that the level does not fill sets it for all.
-        .withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(whole))
+        # The level rises up to the first source that it does not fill and falls behind it: that one sets it for all.
+        .withColumn("level", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(whole))
         .withColumn("target", F.least("limit", F.coalesce(F.col("level") * F.col("weight"), F.col("limit"))))
         .select("source", "source_size", "target")
     )
