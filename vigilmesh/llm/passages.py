@@ -207,7 +207,7 @@ def repeated_passages(documents: DataFrame, least_words: int = LEAST, id_column=
 
     mixed = members.where("mixed").select("key", "print")
     sets = _thinned(docs.mapInArrow(_contents, "print long, shingles binary"), mixed).dropDuplicates(["print"])
-    cells = meet_in_cells(mixed.join(sets, "print"), ["key"], "print", BLOCK)
+    cells = meet_in_cells(mixed.join(sets, "print"), ["key"], "print", BLOCK, mixed)
     group = cut_lineage(components(cut_lineage(cells.mapInArrow(_verify, "u long, v long"))))
 
     kind = "doc_id long, index int, word int, words int, start int, end int, print long"
