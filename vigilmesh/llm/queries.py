@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilmesh.llm import bpe, jaccard, mixing, passages, topk, toxicity, vectors
-from vigilmesh.llm.common import table
+from vigilmesh.llm import bpe, jaccard, licenses, mixing, passages, topk, toxicity, urls, vectors
+from vigilmesh.llm.common import LOWER, UPPER, table
 from vigilmesh.session import prepare
 
 # Batches for Python stay small whatever the rows: texts may be very long.
@@ -100,3 +100,45 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_toxicity")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+URL_HOST = r"translate(regexp_extract(coalesce(url, ''), '" + urls.HOST + "', 1), '" + UPPER + "', '" + LOWER + "')"
+URL_PATH = r"translate(regexp_extract(coalesce(url, ''), '" + urls.PATH + "', 1), '" + UPPER + "', '" + LOWER + "')"
+URL_VERDICTS = rf"""
+WITH p AS (SELECT page_id, page_id * 7919 % 1000 AS day, {URL_HOST} AS host, {URL_PATH} AS path,
+                  row_number() OVER () AS row FROM pages),
+names AS (
+  SELECT DISTINCT rule FROM (
+    SELECT unnest([host, host || '/' || split_part(path, '/', 2), regexp_extract(host, '([^.]+\.[^.]+)$', 1)]) AS rule FROM p)
+  WHERE rule <> '' AND rule NOT LIKE '%/'),
+n AS (SELECT rule, CAST('0x' || substr(md5(rule), 1, 8) AS BIGINT) AS n FROM names),
+log AS (
+  SELECT rule, CASE WHEN n % 4 = 0 THEN 'allow' ELSE 'block' END AS list, unnest([true, false, true, true, false]) AS adds,
+         unnest([n % 500, n % 500 + 20 + n % 200, n % 500 + 200 + n % 90, n % 500 + 230 + n % 90, n % 500 + 500]) AS day FROM n),
+days AS (SELECT rule, list, day, bool_and(adds) AS listed FROM log GROUP BY ALL),
+held AS (
+  SELECT rule, list, day AS since, until FROM (
+    SELECT *, lead(day) OVER (PARTITION BY rule, list ORDER BY day) AS until FROM (
+      SELECT *, coalesce(lag(listed) OVER (PARTITION BY rule, list ORDER BY day), false) AS before FROM days)
+    WHERE listed <> before) WHERE listed),
+matched AS (
+  SELECT p.row, h.rule, h.list FROM p JOIN held h
+    ON p.host <> '' AND h.since <= p.day AND (h.until IS NULL OR p.day < h.until)
+   AND (p.host = h.rule OR (NOT contains(h.rule, '/') AND ends_with(p.host, '.' || h.rule))
+        OR (contains(h.rule, '/') AND (p.host || p.path = h.rule OR starts_with(p.host || p.path, h.rule || '/')))))
+SELECT page_id, host, day, count(rule) AS n_active,
+       arg_max(rule, (length(rule), CASE WHEN list = 'allow' THEN 1 ELSE 0 END, rule)) AS rule,
+       coalesce(arg_max(list, (length(rule), CASE WHEN list = 'allow' THEN 1 ELSE 0 END, rule)), 'none') AS verdict
+FROM p LEFT JOIN matched USING (row) GROUP BY row, page_id, host, day
+"""
+
+
+@query("op1_url_filters", URL_VERDICTS)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return urls.verdicts(urls.captures_of(pages), urls.sample_log(pages))
+
+
+@query("op4_license_scan")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
