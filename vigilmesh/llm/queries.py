@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilmesh.llm import bpe, jaccard, licenses, mixing, passages, topk, toxicity, urls, vectors
+from vigilmesh.llm import bpe, jaccard, licenses, mixing, passages, quality, topk, toxicity, urls, vectors
 from vigilmesh.llm.common import LOWER, UPPER, table
 from vigilmesh.session import prepare
 
@@ -142,3 +142,8 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op4_license_scan")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
+
+
+@query("op5_quality_classifier")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
