@@ -147,3 +147,10 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_quality_classifier")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline  # at the repository top; it uses this module
+
+    return corpus_pipeline.run(spark, folder)
