@@ -33,7 +33,8 @@ def rate_samples(rows: DataFrame, metric: str, scope: Column, numerator: str, de
 def drop_excluded(samples: DataFrame, exclusions: DataFrame) -> DataFrame:
     """Samples that overlap no declared exclusion."""
     return interval_join(
-        samples, exclusions, [], F.col("from_ts"), F.col("to_ts"), "e_from", "e_to", "left_anti", contain=False
+        samples, exclusions, [], F.col("from_ts"), F.col("to_ts"), "e_from", "e_to", "left_anti", contain=False,
+        piece=policies.SLOT_SECONDS,
     )
 
 
@@ -105,6 +106,7 @@ def sample_accounting(samples: DataFrame, exclusions: DataFrame, start: str, end
         samples.where((F.col("from_ts") >= ts_lit(start)) & (F.col("to_ts") <= ts_lit(end))).withColumn(
             "_one", F.lit(1)),
         exclusions, [], F.col("from_ts"), F.col("to_ts"), "e_from", "e_to", "left", contain=False,
+        piece=policies.SLOT_SECONDS,
     )
     # Overlapping exclusions may match a sample twice, so the match collapses to one row per sample.
     flagged = overlap.groupBy(*KEY, "from_ts").agg(

@@ -1,8 +1,8 @@
 """Valid-time joins against interval dimensions.
 
-Interval dimensions here are inventories and declared exclusions: their row count is the number of
-configured validity ranges, independent of the fact volume. ``interval_join`` still checks the size
-before it broadcasts; beyond the bound it cuts every range into day pieces and joins on (key, day).
+There is one algorithm at every size. Time is cut into pieces of equal length; a range stands once for each piece
+it touches and a fact for the pieces that it touches (the first one is enough where a range has to contain it),
+so the join is a plain equality on keys and piece, which shuffles, spills and splits like any other.
 """
 
 from __future__ import annotations
@@ -10,17 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
 DAY = 86_400
-
-
-def is_small(dim: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when the dimension has at most ``rows`` rows; reads no more than one row beyond that."""
-    return dim.limit(rows + 1).count() <= rows
-
-
-def day_of(ts: Column) -> Column:
-    return F.floor(F.unix_seconds(ts) / DAY)
+_PIECE, _PIECES, _FROM, _TO = "_piece", "_pieces", "_fact_from", "_fact_to"
 
 
 def interval_join(
@@ -33,47 +24,64 @@ def interval_join(
     dim_to: str,
     how: str = "inner",
     contain: bool = True,
-    small: bool | None = None,
+    piece: int = DAY,
+    open_end: bool = False,
 ) -> DataFrame:
-    """Facts with the dimension rows whose range contains (or overlaps) the fact's interval.
+    """Facts with the dimension rows of their keys whose range contains (or overlaps) the fact's interval.
 
-    The day-piece form matches containment on the day the fact starts in, and overlap on the first
-    day the two share. Overlap semi and anti joins take the ranges of the fact's first and last day,
-    so they serve facts of at most one day.
+    ``how`` is inner, left, left_semi or left_anti; inner and left add the dimension's columns other than the
+    keys. Intervals are half open and of any length. A null bound matches nothing, but with ``open_end`` a
+    range without an end lasts as long as the facts do. ``piece`` is the length of a piece in seconds: near the
+    length of the facts it makes many short keys, near that of the ranges few copies.
     """
-    d = dim.alias("d")
-    f = facts
-    equal = [F.col(f"d.{k}") == f[k] for k in keys]
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"no such join: {how}")
+
+    def piece_of(instant: Column) -> Column:
+        return F.floor(F.unix_seconds(instant) / piece)
+
+    if open_end:  # one row, the latest end of a fact
+        latest = facts.agg(F.max(fact_to).alias("_latest"))
+        dim = dim.crossJoin(F.broadcast(latest)).withColumn(dim_to, F.coalesce(dim_to, F.greatest("_latest", dim_from))).drop("_latest")
     lo, hi = F.col(f"d.{dim_from}"), F.col(f"d.{dim_to}")
-    inside = ((lo <= fact_from) & (hi >= fact_to)) if contain else ((lo < fact_to) & (fact_from < hi))
-    small = is_small(dim) if small is None else small
-    if small:
-        condition = inside
-        for e in equal:
-            condition = condition & e
-        return f.join(F.broadcast(d), condition, how)
-    pieces = dim.withColumn(
-        "_day", F.explode(F.sequence(day_of(F.col(dim_from)), day_of(F.col(dim_to) - F.expr("INTERVAL 1 MICROSECOND"))))
+    ranges = dim.where(F.col(dim_from) <= F.col(dim_to)).withColumn(
+        _PIECE, F.explode(F.sequence(piece_of(F.col(dim_from)), piece_of(F.col(dim_to))))
     ).alias("d")
-    last = day_of(fact_to - F.expr("INTERVAL 1 MICROSECOND"))
+    first = piece_of(F.col(_FROM))
+    last = first if contain else F.greatest(first, piece_of(F.col(_TO) - F.expr("INTERVAL 1 MICROSECOND")))
+    cut = (
+        facts.withColumns({_FROM: fact_from, _TO: fact_to})
+        .withColumn(_PIECES, last - first + 1)
+        .withColumn(_PIECE, first if contain else F.explode_outer(F.sequence(first, last)))
+    )
+    meets = (F.col(f"d.{_PIECE}") == cut[_PIECE]) & (
+        ((lo <= F.col(_FROM)) & (hi >= F.col(_TO))) if contain else ((lo < F.col(_TO)) & (F.col(_FROM) < hi))
+    )
+    for key in keys:
+        meets = meets & (F.col(f"d.{key}") == cut[key])
+    columns = [cut[c] for c in facts.columns]
+    added = [F.col(f"d.{c}") for c in dim.columns if c not in keys]
     if contain:
-        condition = inside & (F.col("d._day") == day_of(fact_from))
-        for e in equal:
-            condition = condition & e
-        joined = f.join(pieces, condition, how)
-        return joined.drop("_day")
-    if how in ("left_anti", "left_semi"):
-        condition = inside & ((F.col("d._day") == day_of(fact_from)) | (F.col("d._day") == last))
-        for e in equal:
-            condition = condition & e
-        return f.join(pieces, condition, how)
-    # One fact may touch several days: keep the pair only on the first day both share.
-    touched = f.withColumn("_fday", F.explode(F.sequence(day_of(fact_from), last)))
-    first = F.greatest(day_of(fact_from), day_of(lo))
-    condition = inside & (F.col("d._day") == F.col("_fday")) & (F.col("_fday") == first)
-    for e in equal:
-        condition = condition & e
-    return touched.join(pieces, condition, how).drop("_fday", "_day")
+        joined = cut.join(ranges, meets, how)
+        return joined.select(*columns, *(added if how in ("inner", "left") else []))
+    # A pair that shares several pieces counts on the first.
+    once = cut[_PIECE] == F.greatest(first, piece_of(lo))
+    if how == "inner":
+        return cut.join(ranges, meets & once).select(*columns, *added)
+    if how == "left":
+        apart = interval_join(facts, dim, keys, fact_from, fact_to, dim_from, dim_to, "left_anti", False, piece)
+        both = cut.join(ranges, meets & once).select(*columns, *added)
+        return both.unionByName(apart, allowMissingColumns=True)
+    # The pieces of a fact that met a range, or those that did not, folded back to facts. Equal facts fold
+    # into one row: each has every piece in question, so pieces over distinct pieces is their number.
+    kept = cut.join(ranges, meets, how).withColumn(_PIECE, F.coalesce(cut[_PIECE], F.lit(0)))
+    folded = kept.groupBy(*facts.columns, F.coalesce(_PIECES, F.lit(1)).alias(_PIECES)).agg(
+        F.count("*").alias("_rows"), F.size(F.collect_set(_PIECE)).alias("_distinct")
+    )
+    if how == "left_anti":
+        folded = folded.where(F.col("_distinct") == F.col(_PIECES))
+    times = F.sequence(F.lit(1).cast("long"), F.expr("_rows DIV _distinct"))
+    return folded.select(*facts.columns, F.explode(times).alias("_time")).drop("_time")
 
 
 def coverage_of_ranges(ranges: DataFrame, keys: list[str], start: Column, end: Column) -> DataFrame:
