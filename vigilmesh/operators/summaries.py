@@ -19,12 +19,12 @@ CITY_SUMS = [
 def city_summary(rows: DataFrame, period: Column, expected_rows: int) -> DataFrame:
     """Per period: counters over all cities, eleven rates, and the newest queue of each city.
 
-    The first aggregation is per (period, city), the second per period; distinct slots travel as a
-    bitmap, so no distinct count needs its own shuffle.
+    One shuffle of partial sums per (period, city, bitmap of slots) serves both the sums over cities and
+    the distinct slots; a bitmap holds 32,768 slots, so a period of any length has as many as it needs.
     """
-    per_city = (
+    parts = (
         rows.withColumn("period", period)
-        .groupBy("period", "city_id")
+        .groupBy("period", "city_id", F.bitmap_bucket_number(F.col("slot") + 1).alias("bucket"))
         .agg(
             *[F.sum(c).alias(c) for c in CITY_SUMS],
             *[F.sum(F.col("voice_setup_hist")[i]).alias(f"v{i}") for i in range(9)],
@@ -34,17 +34,25 @@ def city_summary(rows: DataFrame, period: Column, expected_rows: int) -> DataFra
             F.max_by(F.struct("ts", "sms_queue", "sms_oldest_seconds"), "ts").alias("newest"),
         )
     )
+    slots = (
+        parts.groupBy("period", "bucket").agg(F.bitmap_count(F.bitmap_or_agg("slots")).alias("slot_count"))
+        .groupBy("period").agg(F.sum("slot_count").alias("slot_count"))
+    )
+    bins = [f"{kind}{i}" for kind in "vs" for i in range(9)]
+    per_city = parts.groupBy("period", "city_id").agg(
+        *[F.sum(c).alias(c) for c in [*CITY_SUMS, *bins, "row_count"]],
+        F.max_by("newest", F.col("newest.ts")).alias("newest"),
+    )
     total = per_city.groupBy("period").agg(
         *[F.sum(c).alias(c) for c in CITY_SUMS],
         F.array(*[F.sum(f"v{i}") for i in range(9)]).alias("voice"),
         F.array(*[F.sum(f"s{i}") for i in range(9)]).alias("sms"),
         F.sum("row_count").alias("row_count"),
-        F.bitmap_count(F.bitmap_or_agg("slots")).alias("slot_count"),
         F.sum("newest.sms_queue").alias("queue"),
         F.max("newest.sms_oldest_seconds").alias("oldest"),
         F.max("newest.ts").alias("snapshot_at"),
         (F.min("newest.ts") != F.max("newest.ts")).alias("misaligned"),
-    )
+    ).join(slots, "period")
     c = F.col
     coverage = c("row_count") / F.lit(expected_rows)
     return total.select(
