@@ -318,19 +318,21 @@ class Tables:
 
     @cached_property
     def link_inventory(self) -> DataFrame:
-        """Capacity validity per link: two consecutive ranges, links 9–11 with a hole, 11 with an overlap."""
-        mid = slot_ts("4320")
-        rows = self.spark.range(24).selectExpr("concat('L', id % 12) AS link_id", "id % 12 AS l", "id DIV 12 AS part")
+        """Capacity validity per link: one version per customer, each up to the next, some with a hole or an overlap."""
+        starts = self.raw("customer").selectExpr(
+            "c_custkey AS k", "c_custkey % 12 AS l", "c_nationkey AS n", "c_custkey * 104729 % 2592000 AS s"
+        )
+        rows = starts.selectExpr("*", "coalesce(lead(s) OVER (PARTITION BY l ORDER BY s, k), 2592000) AS e").selectExpr(
+            "*", "CASE WHEN k % 9 = 0 THEN greatest(s, e - 600) WHEN k % 11 = 0 THEN e + 900 ELSE e END AS until"
+        )
         return rows.selectExpr(
-            "link_id",
+            "concat('L', l) AS link_id",
             "'a-to-b' AS direction_id",
-            f"CASE WHEN part = 0 THEN {slot_ts('0')} WHEN l = 9 THEN {slot_ts('4400')} "
-            f"WHEN l = 11 THEN {slot_ts('4300')} ELSE {mid} END AS valid_from",
-            f"CASE WHEN part = 0 THEN {mid} WHEN l = 10 THEN {slot_ts('8000')} "
-            f"ELSE {slot_ts('8640')} END AS valid_to",
-            "20 + 10 * part AS nominal_gbps",
-            "concat('C', l % 10) AS a",
-            "concat('C', (l + 3) % 10) AS b",
+            f"timestamp_seconds({ARCHIVE_START_EPOCH} + s) AS valid_from",
+            f"timestamp_seconds({ARCHIVE_START_EPOCH} + until) AS valid_to",
+            "20 + 10 * (k % 3) AS nominal_gbps",
+            "concat('C', n % 10) AS a",
+            "concat('C', (n + 3) % 10) AS b",
         )
 
     @cached_property

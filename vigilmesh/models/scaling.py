@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS = 4096
+from vigilmesh.operators.ranks import equi_depth_cells
 
 
 def long_form(rows: DataFrame, features: list[str]) -> DataFrame:
@@ -16,14 +16,13 @@ def long_form(rows: DataFrame, features: list[str]) -> DataFrame:
 def exact_quantiles(values: DataFrame, keys: list[str], quantile: float = 0.5, value: str = "value") -> DataFrame:
     """Interpolated quantile per key without sorting a key anywhere.
 
-    Values are counted in equal-width cells between the key's extremes; only the one or two cells that
-    hold the wanted order statistics are ordered, and equal values count as one row there.
+    Equal values count as one row. Distinct values are dealt into cells of about equal depth; only the one or
+    two cells that hold the wanted order statistics are ordered, whatever the distribution.
     """
     v = values.where(F.col(value).isNotNull() & ~F.isnan(value))
-    span = v.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.count("*").alias("n"))
-    counted = v.groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c")).join(span, keys)
-    width = F.when(F.col("hi") > F.col("lo"), (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
-    placed = counted.withColumn("cell", F.least(F.floor(width * CELLS), F.lit(CELLS - 1)))
+    counted = v.groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    totals = counted.groupBy(*keys).agg(F.sum("c").alias("n"))
+    placed = equi_depth_cells(counted, keys, "v").join(totals, keys)
     cells = placed.groupBy(*keys, "cell").agg(F.sum("c").alias("m"))
     run = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
     cells = cells.withColumn("before", F.sum("m").over(run) - F.col("m"))

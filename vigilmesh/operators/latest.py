@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigilmesh.operators.ranks import equi_depth_cells
+
 
 def newest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row of each key that is greatest by ``order``."""
@@ -28,22 +30,23 @@ def unambiguous(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def empirical_rank(
-    scored: DataFrame, calibration: DataFrame, value: str, cells: int = 4096, keys: list[str] | None = None
+    scored: DataFrame, calibration: DataFrame, value: str, keys: list[str] | None = None
 ) -> DataFrame:
     """``rank`` = share of calibration values not above each scored value, per key.
 
-    Equal values collapse first. Values fall into ``cells`` per unit; whole cells below contribute
-    their totals, and only one cell's distinct values are ever ordered together.
+    Equal values collapse first. Distinct values fall into cells of about equal depth; whole cells below
+    contribute their totals, and only one cell's distinct values are ever ordered together.
     """
-    from pyspark.sql import Window
-
-    keys = keys or []
+    if not keys:
+        one = F.lit(1)
+        ranked = empirical_rank(scored.withColumn("_all", one), calibration.withColumn("_all", one), value, ["_all"])
+        return ranked.drop("_all")
     distinct = (
         calibration.groupBy(*keys, value).agg(F.count("*").alias("c"))
         .unionByName(scored.select(*keys, value).distinct().withColumn("c", F.lit(0)))
         .groupBy(*keys, value).agg(F.sum("c").alias("c"))
-        .withColumn("cell", F.floor(F.col(value) * cells))
     )
+    distinct = equi_depth_cells(distinct, keys, value)
     group = Window.partitionBy(*keys)
     totals = distinct.groupBy(*keys, "cell").agg(F.sum("c").alias("n"))
     below = totals.select(

@@ -48,3 +48,18 @@ def nearest_ranks(df: DataFrame, keys: list[str], value: str, percents: list[int
     return hits.groupBy(*keys).agg(
         F.max("samples").alias("samples"), F.min("min").alias("min"), F.max("max").alias("max"), *picks
     )
+
+
+CELLS = 512
+
+
+def equi_depth_cells(distinct: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """The distinct values with ``cell``, rising with the value and holding about as many of them each per key.
+
+    Bounds come from an approximate percentile sketch, so neither an outlier nor values that nearly agree
+    crowd one cell; a value's cell is exact, as it is found by comparing with the bounds.
+    """
+    shares = F.array(*[F.lit(i / CELLS) for i in range(1, CELLS)])
+    bounds = distinct.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, shares, F.lit(10 * CELLS))).alias("_bounds"))
+    placed = distinct.join(bounds, keys)
+    return placed.withColumn("cell", F.size(F.filter("_bounds", lambda b: b < F.col(value)))).drop("_bounds")

@@ -9,6 +9,10 @@ def slot_ts(slot: str) -> str:
     return f"(TIMESTAMP '{ARCHIVE_START}' + to_seconds(CAST(({slot}) * 300 AS BIGINT)))"
 
 
+def second_ts(second: str) -> str:
+    return f"(TIMESTAMP '{ARCHIVE_START}' + to_seconds(CAST({second} AS BIGINT)))"
+
+
 _bins = " ".join(f"WHEN l_extendedprice < {edge} THEN {i}" for i, edge in enumerate(PRICE_EDGES))
 _voice = ", ".join(f"CAST(sum(CASE WHEN bin = {i} THEN q - fail ELSE 0 END) AS BIGINT)" for i in range(9))
 _sms = ", ".join(f"CAST(sum(CASE WHEN (p + bin) % 9 = {i} THEN q - q // 20 ELSE 0 END) AS BIGINT)" for i in range(9))
@@ -176,12 +180,11 @@ UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey, 'DISTRICT' FROM nation"
     "link_inventory": (
         [],
         f"""
-SELECT 'L' || l AS link_id, 'a-to-b' AS direction_id,
-  CASE WHEN part = 0 THEN {slot_ts("0")} WHEN l = 9 THEN {slot_ts("4400")} WHEN l = 11 THEN {slot_ts("4300")}
-    ELSE {slot_ts("4320")} END AS valid_from,
-  CASE WHEN part = 0 THEN {slot_ts("4320")} WHEN l = 10 THEN {slot_ts("8000")} ELSE {slot_ts("8640")} END AS valid_to,
-  20 + 10 * part AS nominal_gbps, 'C' || (l % 10) AS a, 'C' || ((l + 3) % 10) AS b
-FROM (SELECT id % 12 AS l, id // 12 AS part FROM range(24) t(id))""",
+SELECT 'L' || l AS link_id, 'a-to-b' AS direction_id, {second_ts("s")} AS valid_from, {second_ts("until")} AS valid_to,
+  20 + 10 * (k % 3) AS nominal_gbps, 'C' || (n % 10) AS a, 'C' || ((n + 3) % 10) AS b
+FROM (SELECT *, CASE WHEN k % 9 = 0 THEN greatest(s, e - 600) WHEN k % 11 = 0 THEN e + 900 ELSE e END AS until
+  FROM (SELECT *, coalesce(lead(s) OVER (PARTITION BY l ORDER BY s, k), 2592000) AS e
+    FROM (SELECT c_custkey AS k, c_custkey % 12 AS l, c_nationkey AS n, c_custkey * 104729 % 2592000 AS s FROM customer)))""",
     ),
     "exclusions": (
         [],

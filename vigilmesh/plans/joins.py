@@ -168,10 +168,11 @@ def violations(t: Tables):
 SELECT d.lang IS NULL AS no_feature, count(*) AS pairs,
   count(*) FILTER (WHERE l.doc_id IS NULL) AS unlabelled_features, count(*) FILTER (WHERE d.doc_id IS NULL) AS labels_without_features,
   count(*) FILTER (WHERE l.doc_id IS NOT NULL AND d.doc_id IS NOT NULL) AS joined
-FROM labels l FULL JOIN (SELECT doc_id, lang FROM documents WHERE doc_id % 3 <> 0) d ON d.doc_id = l.doc_id GROUP BY 1""",
+FROM labels l FULL JOIN (SELECT CASE WHEN doc_id % 3 = 0 THEN -1 - doc_id ELSE doc_id END AS doc_id, lang FROM documents) d ON d.doc_id = l.doc_id GROUP BY 1""",
 )
 def labels_features(t: Tables):
-    features = t.raw("documents").where("doc_id % 3 <> 0").select(F.col("doc_id").alias("d_id"), "lang")
+    # Every row takes part: a third has its key shifted out of the labels' range.
+    features = t.raw("documents").selectExpr("CASE WHEN doc_id % 3 = 0 THEN -1 - doc_id ELSE doc_id END AS d_id", "lang")
     labels = t.raw("labels").select(F.col("doc_id").alias("l_id"))
     j = labels.join(features, labels.l_id == features.d_id, "full")
     return j.groupBy(F.col("lang").isNull().alias("no_feature")).agg(

@@ -321,12 +321,14 @@ def union_domains(t: Tables):
     return voice.unionByName(transport).unionByName(roaming)
 
 
-_A = "SELECT doc_id FROM documents WHERE doc_id % 3 <> 0"
+# Every row takes part: a third of the documents has its key shifted out of the labels' range.
+_KEY = "CASE WHEN doc_id % 3 = 0 THEN -1 - doc_id ELSE doc_id END AS doc_id"
+_A = f"SELECT {_KEY} FROM documents"
 _B = "SELECT doc_id FROM labels"
 
 
 def _docs(t: Tables):
-    return t.raw("documents").where("doc_id % 3 <> 0").select("doc_id"), t.raw("labels").select("doc_id")
+    return t.raw("documents").selectExpr(_KEY), t.raw("labels").select("doc_id")
 
 
 @query(
