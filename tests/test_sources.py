@@ -35,10 +35,10 @@ def test_observation_files(spark, tables, tmp_path):
 
 
 def test_metric_csv_export(spark, tmp_path):
-    df = spark.createDataFrame([(1, 'a "q"', [1, 2]), (2, None, [])], "n int, s string, a array<int>")
+    df = spark.createDataFrame([(1, 'a "q"', [1, 2]), (2, None, []), (3, "", [3])], "n int, s string, a array<int>")
     sinks.write_csv(df.coalesce(1), str(tmp_path / "out"))
-    text = next((tmp_path / "out").glob("part-*.csv")).read_bytes().decode()
-    assert text.split("\r\n")[1:3] == ['"1","a ""q""","[1,2]"', '"2","","[]"']
+    text = next((tmp_path / "out").glob("part-*")).read_bytes().decode()
+    assert text.split("\r\n") == ['"n","s","a"', '"1","a ""q""","[1,2]"', '"2",,"[]"', '"3","","[3]"', ""]
     with pytest.raises(Exception, match="(?i)exists"):
         sinks.write_csv(df, str(tmp_path / "out"))
 

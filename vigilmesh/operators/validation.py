@@ -27,51 +27,79 @@ def _total(bins: Column) -> Column:
     return F.aggregate(bins, F.lit(0).cast("bigint"), lambda a, x: a + x)
 
 
+#: Fixed value: the largest integer that every JSON reader keeps exactly.
+MAX_COUNTER = 9_007_199_254_740_991
+
+
+def unless(good: Column) -> Column:
+    """The failed check of a condition that has to hold: a null condition has not held."""
+    return ~F.coalesce(good, F.lit(False))
+
+
 def bad_time(start: Column, end: Column) -> list[tuple[Column, str]]:
     ts = F.col("ts")
     return [
         (ts.isNull(), "MALFORMED"),
         (F.pmod(F.unix_seconds(ts), F.lit(policies.SLOT_SECONDS)) != 0, "UNALIGNED"),
-        ((ts < start) | (ts >= end), "OUT_OF_BOUNDS"),
+        (unless((ts >= start) & (ts < end)), "OUT_OF_BOUNDS"),
     ]
 
 
+def bad_counters(*names: str) -> list[tuple[Column, str]]:
+    return [(unless(F.col(n).between(0, MAX_COUNTER)), f"COUNTER_RANGE:{n}") for n in names]
+
+
+def bad_amounts(*names: str) -> list[tuple[Column, str]]:
+    return [(unless(F.col(n) >= 0), f"NEGATIVE:{n}") for n in names]
+
+
 def subset(numerator: str, denominator: str) -> Column:
-    return F.coalesce(F.col(numerator) > F.col(denominator), F.lit(True))
+    return unless(F.col(numerator) <= F.col(denominator))
+
+
+def bad_histogram(name: str, cohort: str, label: str) -> list[tuple[Column, str]]:
+    bins = F.col(name)
+    return [
+        (unless(F.size(bins) == 9), f"HISTOGRAM_WIDTH:{label}"),
+        (unless(F.forall(bins, lambda n: F.coalesce(n.between(0, MAX_COUNTER), F.lit(False)))), f"HISTOGRAM_COUNT:{label}"),
+        (unless(_total(bins) == F.col(cohort)), f"HISTOGRAM_COHORT:{label}"),
+    ]
 
 
 def native_city_reason(start: Column, end: Column) -> Column:
-    checks = bad_time(start, end)
-    checks += [(subset(f"{p}_success", f"{p}_attempts"), f"SUCCESS_EXCEEDS_ATTEMPTS:{p}")
-               for p in ("voice", "data", "dns", "ho")]
-    checks += [
+    pairs = ("voice", "data", "dns", "ho")
+    counters = [f"{p}_{part}" for p in pairs for part in ("attempts", "success")]
+    return first_reason([
+        *bad_time(start, end),
+        *bad_counters(*counters, "voice_drops", "sms_submitted", "sms_delivered", "sms_expired", "sms_queue"),
+        *bad_amounts("voice_holding_seconds", "voice_setup_elapsed_seconds", "sms_oldest_seconds", "user_throughput_mbps"),
+        *[(subset(f"{p}_success", f"{p}_attempts"), f"SUCCESS_EXCEEDS_ATTEMPTS:{p}") for p in pairs],
         (subset("voice_drops", "voice_success"), "DROPS_EXCEED_SUCCESS"),
-        (F.size("voice_setup_hist") != 9, "HISTOGRAM_WIDTH:voice"),
-        (F.size("sms_delay_hist") != 9, "HISTOGRAM_WIDTH:sms"),
-        (_total(F.col("voice_setup_hist")) != F.col("voice_success"), "HISTOGRAM_COHORT:voice"),
-        (_total(F.col("sms_delay_hist")) != F.col("sms_delivered"), "HISTOGRAM_COHORT:sms"),
-        ((F.col("sms_queue") < 0) | (F.col("sms_oldest_seconds") < 0), "NEGATIVE"),
-    ]
-    return first_reason(checks)
+        *bad_histogram("voice_setup_hist", "voice_success", "voice"),
+        *bad_histogram("sms_delay_hist", "sms_delivered", "sms"),
+    ])
 
 
 def native_link_reason(start: Column, end: Column) -> Column:
-    return first_reason(bad_time(start, end) + [
-        (F.coalesce(F.col("effective_capacity_gbps") <= 0, F.lit(True)), "ABSENT_CAPACITY"),
-        (F.col("loss_pct") > 100, "INVALID_LOSS"),
-        ((F.col("traffic_gbps") < 0) | (F.col("rtt_ms") < 0) | (F.col("jitter_ms") < 0), "NEGATIVE"),
+    return first_reason([
+        *bad_time(start, end),
+        (unless(F.col("effective_capacity_gbps") > 0), "ABSENT_CAPACITY"),
+        (unless(F.col("loss_pct") <= 100), "INVALID_LOSS"),
+        *bad_amounts("traffic_gbps", "loss_pct", "rtt_ms", "jitter_ms"),
+        *bad_counters("interface_errors", "queue_drops"),
     ])
 
 
 def native_roaming_reason(start: Column, end: Column) -> Column:
-    checks = bad_time(start, end)
-    checks += [
-        (~F.col("direction").isin("in", "out"), "UNKNOWN_DIRECTION"),
-        (F.col("partner_id") != F.concat("country_id", F.lit("-DEMO-01")), "UNKNOWN_PARTNER"),
-    ]
-    checks += [(subset(f"{p}_success", f"{p}_attempts"), f"SUCCESS_EXCEEDS_ATTEMPTS:{p}")
-               for p in ("reg", "data", "voice", "sms")]
-    return first_reason(checks)
+    pairs = ("reg", "data", "voice", "sms")
+    return first_reason([
+        *bad_time(start, end),
+        (unless(F.col("direction").isin("in", "out")), "UNKNOWN_DIRECTION"),
+        (unless(F.col("partner_id") == F.concat("country_id", F.lit("-DEMO-01"))), "UNKNOWN_PARTNER"),
+        *bad_counters("active_users", *[f"{p}_{part}" for p in pairs for part in ("attempts", "success")]),
+        *bad_amounts("rtt_ms"),
+        *[(subset(f"{p}_success", f"{p}_attempts"), f"SUCCESS_EXCEEDS_ATTEMPTS:{p}") for p in pairs],
+    ])
 
 
 def against_dictionary(claims: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -106,8 +134,11 @@ def measurement_reason() -> Column:
         (F.array_sort("field_names") != F.array_sort("primitive_fields"), "PRIMITIVE_FIELDS"),
         (missing & (c("coverage") != 0), "MISSING_COVERAGE"),
         (missing & ~nothing, "MISSING_WITH_EVIDENCE"),
-        (seen & (c("coverage") <= 0), "NO_COVERAGE"),
-        ((c("quality") == "VALID") & (c("coverage") != 1), "VALID_NEEDS_FULL_COVERAGE"),
+        (seen & unless(c("coverage") > 0), "NO_COVERAGE"),
+        (seen & ~unavailable & nothing, "NO_PRIMITIVES"),
+        (seen & (c("numerator").isNull() != c("denominator").isNull()), "HALF_A_RATIO"),
+        (seen & ((c("numerator") < 0) | (c("denominator") < 0)), "NEGATIVE"),
+        (c("quality").isNull() | ((c("quality") == "VALID") & (c("coverage") != 1)), "VALID_NEEDS_FULL_COVERAGE"),
         ((c("quality") == "PARTIAL") & (c("coverage") >= 1), "PARTIAL_NEEDS_PARTIAL_COVERAGE"),
         (seen & (c("numerator") > c("denominator")), "SUCCESS_EXCEEDS_ATTEMPTS"),
         (seen & (c("denominator") == 0) & ~unavailable, "ZERO_DENOMINATOR"),

@@ -115,54 +115,109 @@ def manifest_counts(t: Tables):
     return archive.manifest_check(counts, manifest)
 
 
+MAX = validation.MAX_COUNTER
+_PAIRS = {"city": ("voice", "data", "dns", "ho"), "roam": ("reg", "data", "voice", "sms")}
+
+
+def _time_rules() -> str:
+    return f"WHEN ts IS NULL THEN 'MALFORMED' WHEN epoch(ts)::BIGINT % 300 <> 0 THEN 'UNALIGNED' WHEN ts < {LO} OR ts >= {HI} THEN 'OUT_OF_BOUNDS'"
+
+
+def _counter_rules(*names: str) -> str:
+    return " ".join(f"WHEN {n} IS NULL OR {n} < 0 OR {n} > {MAX} THEN 'COUNTER_RANGE:{n}'" for n in names)
+
+
+def _amount_rules(*names: str) -> str:
+    return " ".join(f"WHEN {n} IS NULL OR {n} < 0 THEN 'NEGATIVE:{n}'" for n in names)
+
+
+def _subset_rules(pairs) -> str:
+    return " ".join(f"WHEN {p}_success > {p}_attempts THEN 'SUCCESS_EXCEEDS_ATTEMPTS:{p}'" for p in pairs)
+
+
+def _both(pairs) -> list[str]:
+    return [f"{p}_{part}" for p in pairs for part in ("attempts", "success")]
+
+
+def _histogram_rules(name: str, cohort: str, label: str) -> str:
+    return f"""WHEN {name} IS NULL OR len({name}) <> 9 THEN 'HISTOGRAM_WIDTH:{label}'
+  WHEN len([n FOR n IN {name} IF n IS NULL OR n < 0 OR n > {MAX}]) > 0 THEN 'HISTOGRAM_COUNT:{label}'
+  WHEN list_sum({name}) <> {cohort} THEN 'HISTOGRAM_COHORT:{label}'"""
+
+
+# Faults are injected in both engines by the same expressions; the rules below do not know where.
+CITY_FAULTS = {
+    "voice_success": "CASE WHEN slot % 71 = 0 THEN voice_attempts + 1 ELSE voice_success END",
+    "data_success": "CASE WHEN slot % 73 = 0 THEN data_attempts + 1 WHEN slot % 101 = 0 THEN NULL ELSE data_success END",
+    "sms_delivered": "CASE WHEN slot % 79 = 0 THEN sms_delivered + 1 ELSE sms_delivered END",
+    "dns_attempts": "CASE WHEN slot % 103 = 0 THEN -10 ELSE dns_attempts END",
+    "sms_queue": f"CASE WHEN slot % 107 = 0 THEN {MAX + 1} ELSE sms_queue END",
+    "voice_setup_hist": "CASE WHEN slot % 109 = 0 THEN NULL ELSE voice_setup_hist END",
+    "sms_oldest_seconds": "CASE WHEN slot % 113 = 0 THEN -1 WHEN slot % 127 = 0 THEN NULL ELSE sms_oldest_seconds END",
+}
+LINK_FAULTS = {
+    "effective_capacity_gbps": "CASE WHEN slot % 83 = 0 THEN 0 WHEN slot % 97 = 0 THEN NULL ELSE effective_capacity_gbps END",
+    "loss_pct": "CASE WHEN slot % 89 = 0 THEN 101 WHEN slot % 101 = 0 THEN NULL ELSE loss_pct END",
+    "rtt_ms": "CASE WHEN slot % 103 = 0 THEN -1 ELSE rtt_ms END",
+    "queue_drops": "CASE WHEN slot % 107 = 0 THEN NULL ELSE queue_drops END",
+}
+ROAM_FAULTS = {
+    "country_id": "CASE WHEN slot % 83 = 0 THEN 'XX' WHEN slot % 97 = 0 THEN NULL ELSE country_id END",
+    "direction": "CASE WHEN slot % 101 = 0 THEN NULL ELSE direction END",
+    "reg_success": "CASE WHEN slot % 89 = 0 THEN reg_attempts + 1 ELSE reg_success END",
+    "voice_attempts": "CASE WHEN slot % 103 = 0 THEN -1 WHEN slot % 107 = 0 THEN NULL ELSE voice_attempts END",
+}
+
+
+def _with_faults(faults: dict[str, str], table: str, time: str = "ts") -> str:
+    replaced = ", ".join(f"{e} AS {c}" for c, e in ({"ts": time} | faults).items())
+    return f"SELECT * REPLACE ({replaced}) FROM {table}"
+
+
+def _time_faults(second: str, day: str) -> str:
+    return f"CASE WHEN slot % 61 = 0 THEN ts + {second} WHEN slot % 67 = 0 THEN ts + {day} ELSE ts END"
+
+
 @query(
     "src_05_native_city_rules",
     sql(
         f"""
-SELECT city_id, slot, CASE WHEN (epoch(ts)::BIGINT % 300) <> 0 THEN 'UNALIGNED' WHEN ts >= {HI} THEN 'OUT_OF_BOUNDS'
-  WHEN voice_success > voice_attempts THEN 'SUCCESS_EXCEEDS_ATTEMPTS:voice' WHEN data_success > data_attempts THEN 'SUCCESS_EXCEEDS_ATTEMPTS:data'
-  WHEN dns_success > dns_attempts THEN 'SUCCESS_EXCEEDS_ATTEMPTS:dns' WHEN ho_success > ho_attempts THEN 'SUCCESS_EXCEEDS_ATTEMPTS:ho'
-  WHEN voice_drops > voice_success THEN 'DROPS_EXCEED_SUCCESS' WHEN list_sum(voice_setup_hist) <> voice_success THEN 'HISTOGRAM_COHORT:voice'
-  WHEN list_sum(sms_delay_hist) <> sms_delivered THEN 'HISTOGRAM_COHORT:sms' END AS reason FROM faulty""",
+SELECT city_id, slot, CASE {_time_rules()} {_counter_rules(*_both(_PAIRS["city"]), "voice_drops", "sms_submitted", "sms_delivered", "sms_expired", "sms_queue")}
+  {_amount_rules("voice_holding_seconds", "voice_setup_elapsed_seconds", "sms_oldest_seconds", "user_throughput_mbps")}
+  {_subset_rules(_PAIRS["city"])} WHEN voice_drops > voice_success THEN 'DROPS_EXCEED_SUCCESS'
+  {_histogram_rules("voice_setup_hist", "voice_success", "voice")}
+  {_histogram_rules("sms_delay_hist", "sms_delivered", "sms")} END AS reason FROM faulty""",
         "city5m",
-        faulty="""
-SELECT * REPLACE (CASE WHEN slot % 61 = 0 THEN ts + INTERVAL 7 SECOND WHEN slot % 67 = 0 THEN ts + INTERVAL 60 DAY ELSE ts END AS ts,
-  CASE WHEN slot % 71 = 0 THEN voice_attempts + 1 ELSE voice_success END AS voice_success,
-  CASE WHEN slot % 73 = 0 THEN data_attempts + 1 ELSE data_success END AS data_success,
-  CASE WHEN slot % 79 = 0 THEN sms_delivered + 1 ELSE sms_delivered END AS sms_delivered) FROM city5m""",
+        faulty=_with_faults(CITY_FAULTS, "city5m", _time_faults("INTERVAL 7 SECOND", "INTERVAL 60 DAY")),
     ),
 )
 def city_rules(t: Tables):
     faulty = t.city5m.withColumns({
-        "ts": F.expr("CASE WHEN slot % 61 = 0 THEN ts + interval 7 seconds WHEN slot % 67 = 0 THEN ts + interval 60 days ELSE ts END"),
-        "voice_success": F.expr("CASE WHEN slot % 71 = 0 THEN voice_attempts + 1 ELSE voice_success END"),
-        "data_success": F.expr("CASE WHEN slot % 73 = 0 THEN data_attempts + 1 ELSE data_success END"),
-        "sms_delivered": F.expr("CASE WHEN slot % 79 = 0 THEN sms_delivered + 1 ELSE sms_delivered END"),
-    })
+        "ts": F.expr(_time_faults("interval 7 seconds", "interval 60 days")), **{c: F.expr(e) for c, e in CITY_FAULTS.items()}})
     return faulty.select("city_id", "slot", validation.native_city_reason(ts_lit(ARCHIVE_START), ts_lit(ARCHIVE_END)).alias("reason"))
 
 
 @query(
     "src_05_native_link_and_roaming_rules",
     sql(
-        """
-SELECT link_id AS scope_id, slot, CASE WHEN slot % 83 = 0 THEN 'ABSENT_CAPACITY' WHEN slot % 89 = 0 THEN 'INVALID_LOSS' END AS reason FROM link5m
-UNION ALL SELECT partner_id || direction, slot, CASE WHEN slot % 83 = 0 THEN 'UNKNOWN_PARTNER'
-  WHEN slot % 89 = 0 AND reg_attempts + 1 > reg_attempts THEN 'SUCCESS_EXCEEDS_ATTEMPTS:reg' END FROM roam5m""",
-        "link5m", "roam5m",
+        f"""
+SELECT link_id AS scope_id, slot, CASE {_time_rules()} WHEN effective_capacity_gbps IS NULL OR effective_capacity_gbps <= 0 THEN 'ABSENT_CAPACITY'
+  WHEN loss_pct IS NULL OR loss_pct > 100 THEN 'INVALID_LOSS' {_amount_rules("traffic_gbps", "loss_pct", "rtt_ms", "jitter_ms")}
+  {_counter_rules("interface_errors", "queue_drops")} END AS reason FROM bad_link
+UNION ALL SELECT partner_id || coalesce(direction, ''), slot, CASE {_time_rules()}
+  WHEN direction IS NULL OR direction NOT IN ('in', 'out') THEN 'UNKNOWN_DIRECTION'
+  WHEN country_id IS NULL OR partner_id <> country_id || '-DEMO-01' THEN 'UNKNOWN_PARTNER'
+  {_counter_rules("active_users", *_both(_PAIRS["roam"]))} {_amount_rules("rtt_ms")} {_subset_rules(_PAIRS["roam"])} END FROM bad_roam""",
+        "link5m", "roam5m", bad_link=_with_faults(LINK_FAULTS, "link5m"), bad_roam=_with_faults(ROAM_FAULTS, "roam5m"),
     ),
 )
 def link_roaming_rules(t: Tables):
     lo, hi = ts_lit(ARCHIVE_START), ts_lit(ARCHIVE_END)
-    link = t.link5m.withColumns({
-        "effective_capacity_gbps": F.expr("CASE WHEN slot % 83 = 0 THEN 0 ELSE effective_capacity_gbps END"),
-        "loss_pct": F.expr("CASE WHEN slot % 89 = 0 THEN 101 ELSE loss_pct END"),
-    }).select(F.col("link_id").alias("scope_id"), "slot", validation.native_link_reason(lo, hi).alias("reason"))
-    scope = F.concat("partner_id", "direction").alias("scope_id")
-    roaming = t.roam5m.withColumns({
-        "country_id": F.expr("CASE WHEN slot % 83 = 0 THEN 'XX' ELSE country_id END"),
-        "reg_success": F.expr("CASE WHEN slot % 89 = 0 THEN reg_attempts + 1 ELSE reg_success END"),
-    }).select(scope, "slot", validation.native_roaming_reason(lo, hi).alias("reason"))
+    link = t.link5m.withColumns({c: F.expr(e) for c, e in LINK_FAULTS.items()}).select(
+        F.col("link_id").alias("scope_id"), "slot", validation.native_link_reason(lo, hi).alias("reason"))
+    scope = F.concat("partner_id", F.coalesce("direction", F.lit(""))).alias("scope_id")
+    roaming = t.roam5m.withColumns({c: F.expr(e) for c, e in ROAM_FAULTS.items()}).select(
+        scope, "slot", validation.native_roaming_reason(lo, hi).alias("reason"))
     return link.unionByName(roaming)
 
 
@@ -360,8 +415,8 @@ _MEASURE_SQL = """
 SELECT city_id AS scope_id, slot, CASE WHEN slot % 97 = 0 THEN 'sms.other' ELSE 'mobileData.activation.success' END AS metric_id,
   CASE WHEN slot % 89 = 0 THEN 'MISSING' WHEN slot % 83 = 0 THEN 'PARTIAL' WHEN slot % 79 = 0 THEN 'STALE' ELSE 'VALID' END AS quality,
   CASE WHEN slot % 89 = 0 THEN 0.0 WHEN slot % 83 = 0 AND slot % 2 = 0 THEN 0.5 WHEN slot % 73 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS coverage,
-  CASE WHEN slot % 89 = 0 AND slot % 2 = 0 THEN NULL WHEN slot % 71 = 0 THEN data_attempts + 1 ELSE data_success END AS numerator,
-  CASE WHEN slot % 89 = 0 AND slot % 2 = 0 THEN NULL WHEN slot % 67 = 0 THEN 0 ELSE data_attempts END AS denominator,
+  CASE WHEN slot % 89 = 0 AND slot % 2 = 0 OR slot % 53 = 0 THEN NULL WHEN slot % 71 = 0 THEN data_attempts + 1 WHEN slot % 47 = 0 THEN -1 ELSE data_success END AS numerator,
+  CASE WHEN slot % 89 = 0 AND slot % 2 = 0 OR slot % 106 = 0 THEN NULL WHEN slot % 67 = 0 THEN 0 ELSE data_attempts END AS denominator,
   CASE WHEN slot % 61 = 0 THEN 301 ELSE 300 END AS valid_seconds FROM city5m"""
 
 
@@ -372,7 +427,9 @@ SELECT city_id AS scope_id, slot, CASE WHEN slot % 97 = 0 THEN 'sms.other' ELSE
 SELECT scope_id, slot, CASE WHEN metric_id = 'sms.other' THEN 'DICTIONARY' WHEN slot % 59 = 0 THEN 'PRIMITIVE_FIELDS'
   WHEN quality = 'MISSING' AND coverage <> 0 THEN 'MISSING_COVERAGE'
   WHEN quality = 'MISSING' AND (numerator IS NOT NULL OR denominator IS NOT NULL) THEN 'MISSING_WITH_EVIDENCE'
-  WHEN quality = 'MISSING' THEN NULL WHEN coverage <= 0 THEN 'NO_COVERAGE'
+  WHEN quality = 'MISSING' THEN NULL WHEN coverage IS NULL OR coverage <= 0 THEN 'NO_COVERAGE'
+  WHEN numerator IS NULL AND denominator IS NULL THEN 'NO_PRIMITIVES' WHEN (numerator IS NULL) <> (denominator IS NULL) THEN 'HALF_A_RATIO'
+  WHEN numerator < 0 OR denominator < 0 THEN 'NEGATIVE'
   WHEN quality = 'VALID' AND coverage <> 1 THEN 'VALID_NEEDS_FULL_COVERAGE' WHEN quality = 'PARTIAL' AND coverage >= 1 THEN 'PARTIAL_NEEDS_PARTIAL_COVERAGE'
   WHEN numerator > denominator THEN 'SUCCESS_EXCEEDS_ATTEMPTS' WHEN denominator = 0 THEN 'ZERO_DENOMINATOR'
   WHEN valid_seconds > 300 THEN 'WEIGHT_EXCEEDS_DURATION' WHEN quality = 'STALE' THEN 'STALE_NEEDS_SNAPSHOT' END AS reason FROM m""",
@@ -385,8 +442,8 @@ def measurements(t: Tables):
         "'PERCENT' AS unit", "'kpi-v1' AS policy_version", "ts AS window_start", "ts + interval 5 minutes AS window_end",
         "CASE WHEN slot % 89 = 0 THEN 'MISSING' WHEN slot % 83 = 0 THEN 'PARTIAL' WHEN slot % 79 = 0 THEN 'STALE' ELSE 'VALID' END AS quality",
         "CASE WHEN slot % 89 = 0 THEN 0D WHEN slot % 83 = 0 AND slot % 2 = 0 THEN 0.5D WHEN slot % 73 = 0 THEN 0D ELSE 1D END AS coverage",
-        "CASE WHEN slot % 89 = 0 AND slot % 2 = 0 THEN NULL WHEN slot % 71 = 0 THEN data_attempts + 1 ELSE data_success END AS numerator",
-        "CASE WHEN slot % 89 = 0 AND slot % 2 = 0 THEN NULL WHEN slot % 67 = 0 THEN 0 ELSE data_attempts END AS denominator",
+        "CASE WHEN slot % 89 = 0 AND slot % 2 = 0 OR slot % 53 = 0 THEN NULL WHEN slot % 71 = 0 THEN data_attempts + 1 WHEN slot % 47 = 0 THEN -1 ELSE data_success END AS numerator",
+        "CASE WHEN slot % 89 = 0 AND slot % 2 = 0 OR slot % 106 = 0 THEN NULL WHEN slot % 67 = 0 THEN 0 ELSE data_attempts END AS denominator",
         "CASE WHEN slot % 61 = 0 THEN 301 ELSE 300 END AS valid_seconds", "CAST(NULL AS TIMESTAMP) AS snapshot_at",
         "CAST(NULL AS ARRAY<BIGINT>) AS histogram",
         "CASE WHEN slot % 59 = 0 THEN array('numerator') ELSE array('numerator', 'denominator') END AS field_names")
@@ -436,8 +493,8 @@ def leakage(t: Tables):
     "src_22_csv_export_lines",
     sql(
         f"""
-SELECT '"' || city_id || '","' || {when_sql("ts")} || '","' || voice_attempts || '","' ||
-  CASE WHEN slot % 3 = 0 THEN '' ELSE CAST(voice_drops AS VARCHAR) END || '","[' || array_to_string(list_transform(voice_setup_hist, lambda x: CAST(x AS VARCHAR)), ',') || ']"' AS line FROM city5m""",
+SELECT '"' || city_id || '","' || {when_sql("ts")} || '","' || voice_attempts || '",' ||
+  CASE WHEN slot % 3 = 0 THEN '' ELSE '"' || voice_drops || '"' END || ',"[' || array_to_string(list_transform(voice_setup_hist, lambda x: CAST(x AS VARCHAR)), ',') || ']"' AS line FROM city5m""",
         "city5m",
     ),
 )

@@ -2,40 +2,42 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
 def csv_cells(df: DataFrame) -> list[Column]:
-    """Every column as export text: nested fields as JSON, null as an empty cell."""
+    """Every column as export text, nested fields as JSON; a null stays null."""
     cells = []
     for field in df.schema.fields:
         nested = isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType))
         text = F.to_json(field.name) if nested else F.col(field.name).cast("string")
-        cells.append(F.coalesce(text, F.lit("")).alias(field.name))
+        cells.append(text.alias(field.name))
     return cells
 
 
 def csv_lines(df: DataFrame) -> Column:
-    """One RFC 4180 line: all cells quoted, inner quotes doubled."""
+    """One RFC 4180 line: cells quoted, inner quotes doubled. Null is nothing at all, an empty text is ``""``."""
     quoted = [F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"')) for c in csv_cells(df)]
-    return F.concat_ws(",", *quoted)
+    return F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in quoted])
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """All cells quoted, blanks for null, CRLF line ends. The writer does not quote the header's CRLF."""
-    (
-        df.select(*csv_cells(df))
-        .write.mode("errorifexists")
-        .option("header", True)
-        .option("quoteAll", True)
-        .option("emptyValue", "")
-        .option("nullValue", "")
-        .option("escape", '"')
-        .option("lineSep", "\r\n")
-        .csv(path)
-    )
+    """Lines of ``csv_lines`` with CRLF ends; every file, that is every task's rows, begins with the quoted names."""
+    header = ",".join('"' + c.replace('"', '""') + '"' for c in df.columns)
+
+    def with_header(batches):
+        first = True
+        for batch in batches:
+            if first and batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([header], batch.schema.field(0).type)], schema=batch.schema)
+                first = False
+            yield batch
+
+    lines = df.select(csv_lines(df).alias("line"))
+    lines.mapInArrow(with_header, "line string").write.mode("errorifexists").option("lineSep", "\r\n").text(path)
 
 
 def json_lines(df: DataFrame) -> Column:
