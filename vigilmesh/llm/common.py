@@ -85,14 +85,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def meet_in_cells(rows: DataFrame, key: list[str], id_column: str, block: int, members: DataFrame | None = None) -> DataFrame:
+def meet_in_cells(rows: DataFrame, key: list[str], id_column: str, block: int, payload: DataFrame | None = None) -> DataFrame:
     """Rows of keys with two or more of them, dealt so that each two rows of a key share exactly one or, within a block, one cell.
 
     A key with n rows is cut into ceil(n / block) blocks by a hash of the id; a row goes to the cell (lo, hi) of its
-    own block, `sub`, with every block of the key. Pairs within a block belong to the cell lo = hi. members: a table with
-    the same keys, to count them where the rows are costly.
+    own block, `sub`, with every block of the key. Pairs within a block belong to the cell lo = hi. payload: wide
+    columns by id, joined once the cells are known, so that they are shuffled to their cells only.
     """
-    sizes = (rows if members is None else members).groupBy(*key).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
     blocks = F.ceil(F.col("n_rows") / block).cast("int")
     cells = (
         rows.join(sizes, key)
@@ -101,6 +101,8 @@ def meet_in_cells(rows: DataFrame, key: list[str], id_column: str, block: int, m
         .withColumns({"lo": F.least("sub", "with_block"), "hi": F.greatest("sub", "with_block")})
         .drop("with_block", "n_rows")
     )
+    if payload is not None:
+        cells = cells.join(payload, id_column)
     return cells.repartition(*key, "lo", "hi").sortWithinPartitions(*key, "lo", "hi")
 
 

@@ -271,8 +271,8 @@ def jaccard_components(documents: DataFrame, id_column="doc_id", text_column="te
     unsettled = unsettled.groupBy("a", "b", "sum", "n").agg(F.min("key").alias("key")).select("key")
     members = stored(labelled.join(unsettled, "key", "left_semi"))
     named = members.groupBy("print").agg(F.slice(F.sort_array(F.collect_list("key")), 1, NAMED).alias("named"))
-    points = members.join(named, "print").join(sets.select("print", "n", "counts"), "print")
-    met = meet_in_cells(points, ["key"], "print", BLOCK, members).mapInArrow(_meet, "u long, v long").distinct()
+    points = named.join(sets.select("print", "n", "counts"), "print")
+    met = meet_in_cells(members, ["key"], "print", BLOCK, points).mapInArrow(_meet, "u long, v long").distinct()
     links = links.unionAll(cut_lineage(_verified(met, sets, docs)))
 
     group = cut_lineage(components(links))

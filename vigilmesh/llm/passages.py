@@ -111,7 +111,7 @@ def _slices(column: pa.Array):
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, print, times): bands of each paragraph, equal paragraphs of a slice once."""
+    """(key, print): bands of each paragraph, equal paragraphs of a slice once, or twice to tell that there are several."""
     for batch in batches:
         for _, p in _slices(batch.column("text")):
             prints, first, times = np.unique(p["print"], return_index=True, return_counts=True)
@@ -120,13 +120,11 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             by_place = np.argsort(first)
             with np.errstate(over="ignore"):
                 keys = bands(p, chosen)
-            keys, prints = keys.ravel(), np.repeat(prints[by_place], BANDS)
-            times = np.repeat(times[by_place], BANDS)
+            several = np.minimum(times[by_place], 2)
+            keys, prints = np.repeat(keys, several, axis=0).ravel(), np.repeat(prints[by_place], several * BANDS)
             for i in range(0, len(keys), 1 << 16):
                 part = slice(i, i + (1 << 16))
-                yield pa.RecordBatch.from_arrays(
-                    [long_array(keys[part]), long_array(prints[part]), pa.array(times[part].astype(np.int32))], names=["key", "print", "times"]
-                )
+                yield pa.RecordBatch.from_arrays([long_array(keys[part]), long_array(prints[part])], names=["key", "print"])
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,16 +196,16 @@ def repeated_passages(documents: DataFrame, least_words: int = LEAST, id_column=
     """
     docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).where("doc_id IS NOT NULL")
     # One shuffle of the entries serves both the buckets and their members.
-    entries = docs.mapInArrow(_entries, "key long, print long, times int")
+    entries = docs.mapInArrow(_entries, "key long, print long")
     # Said outright, else it would be inferred for one of the two uses only and part them.
     entries = entries.where("key IS NOT NULL AND print IS NOT NULL").repartition("key")
-    buckets = entries.groupBy("key").agg(F.min("print").alias("a"), F.max("print").alias("b"), F.sum("times").alias("times"))
+    buckets = entries.groupBy("key").agg(F.min("print").alias("a"), F.max("print").alias("b"), F.count("*").alias("times"))
     live = buckets.where("a < b OR times > 1").select("key", (F.col("a") < F.col("b")).alias("mixed"))
     members = stored(entries.join(live.hint("shuffle_hash"), "key").select("key", "print", "mixed").distinct())
 
     mixed = members.where("mixed").select("key", "print")
     sets = _thinned(docs.mapInArrow(_contents, "print long, shingles binary"), mixed).dropDuplicates(["print"])
-    cells = meet_in_cells(mixed.join(sets, "print"), ["key"], "print", BLOCK, mixed)
+    cells = meet_in_cells(mixed, ["key"], "print", BLOCK, sets)
     group = cut_lineage(components(cut_lineage(cells.mapInArrow(_verify, "u long, v long"))))
 
     kind = "doc_id long, index int, word int, words int, start int, end int, print long"
