@@ -63,13 +63,17 @@ class Tables:
 
     @cached_property
     def obs_metrics(self) -> DataFrame:
+        return self.with_metrics(self.obs)
+
+    @staticmethod
+    def with_metrics(observations: DataFrame) -> DataFrame:
         """Observations with the counters of their kind; columns of other kinds are null."""
         a, voice, sms, node = "amount", "service = 'VOLTE'", "service = 'SMS'", "kind = 'NODE'"
 
         def only(condition: str, value: str, name: str) -> str:
             return f"CASE WHEN {condition} THEN {value} END AS {name}"
 
-        return self.obs.selectExpr(
+        return observations.selectExpr(
             "*",
             only(voice, f"100 + {a} % 900", "attempts"),
             only(voice, f"({a} % 11) * (1 + {a} % 4)", "technical_failures"),
@@ -92,16 +96,11 @@ class Tables:
 
     @cached_property
     def obs_dup(self) -> DataFrame:
-        """Deliveries: originals, exact copies and altered copies. ``arrival`` is the topic offset."""
-        base = self.obs
-        copies = base.where("event_id % 17 = 0").withColumn("delivery", F.lit(1))
-        altered = (
-            base.where("event_id % 23 = 0").withColumn("amount", F.expr("amount + 1")).withColumn("delivery", F.lit(2))
-        )
+        """Deliveries: originals, exact copies and altered copies, of one scan. ``arrival`` is the topic offset."""
+        copies = "array_compact(array(0, CASE WHEN event_id % 17 = 0 THEN 1 END, CASE WHEN event_id % 23 = 0 THEN 2 END))"
         return (
-            base.withColumn("delivery", F.lit(0))
-            .unionByName(copies)
-            .unionByName(altered)
+            self.obs.selectExpr("*", f"explode({copies}) AS delivery")
+            .withColumn("amount", F.expr("CASE WHEN delivery = 2 THEN amount + 1 ELSE amount END"))
             .withColumn("arrival", F.expr("event_id * 4 + delivery"))
             .withColumn(
                 "content_hash",

@@ -387,9 +387,8 @@ def classified(t: Tables):
 
 
 def accepted(t: Tables):
-    """Accepted observations with their metrics."""
-    keys = classified(t).where("outcome = 'ACCEPTED'").select("event_id", F.col("amount").alias("got"))
-    return t.obs_metrics.join(keys, (t.obs_metrics["event_id"] == keys["event_id"]) & (t.obs_metrics["amount"] == keys["got"]), "left_semi")
+    """Accepted observations with their metrics, which follow from the delivery itself."""
+    return t.with_metrics(classified(t).where("outcome = 'ACCEPTED'").drop("outcome", "late"))
 
 
 ACCEPTED_SQL = f"SELECT m.* FROM obs_metrics m SEMI JOIN (SELECT event_id, amount FROM classified WHERE outcome = 'ACCEPTED') a ON a.event_id = m.event_id AND a.amount = m.amount"
