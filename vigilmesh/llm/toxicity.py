@@ -26,9 +26,11 @@ SAMPLE = 20_000
 #: Bound of the terms.
 TERMS = 4_096
 #: First bytes of a longer word that are terms of their own.
-BEGINNINGS = (3, 4, 5, 6, 7, 8, 9, 10)
+BEGINNINGS = (4, 5, 6, 7, 8)
 #: Log-likelihood ratio from which a term goes with the label: one in a million under independence.
 SIGNIFICANT = 24.0
+#: Share of labelled examples with a term that must be toxic: terms of clean texts would make every text a neighbour of every other.
+SHARE = 0.5
 #: Weight of a term that every text has once. With it a cosine tells texts with few known terms from those with many.
 COMMON = 6.0
 BLOCK = 64
@@ -46,24 +48,46 @@ class Index(NamedTuple):
     bare_rate: float  # and among those without
 
 
-def _terms(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of every term of a slice of texts, in any order, repeats included."""
+#: Bits of a hash that a quick first look at the known terms goes by.
+LOOK = np.uint64((1 << 20) - 1)
+
+
+def _terms(flat: np.ndarray, offsets: np.ndarray, look: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every term of a slice of texts, in any order, repeats included; with a look-up only terms that may be known."""
     places = word_places(flat, offsets, letters_only=True)
-    rows, hashes = [places.doc], [mix(places.of(places.end))]
-    length = places.end - places.start
+    doc, start, length = places.doc, places.start, places.end - places.start
+    base, down = places.total[start], places.down[start]
+    rows, hashes = [], []
+
+    def add(doc, value):
+        value = mix(value)
+        if look is not None:
+            hit = np.flatnonzero(look[(value & LOOK).astype(np.int64)])
+            doc, value = doc[hit], value[hit]
+        rows.append(doc)
+        hashes.append(value)
+
+    add(doc, (places.total[places.end] - base) * down)
     for size in BEGINNINGS:
         longer = length > size
-        rows.append(places.doc[longer])
-        hashes.append(mix(places.of(places.start + size)[longer] + np.uint64(size)))
+        doc, start, length, base, down = doc[longer], start[longer], length[longer], base[longer], down[longer]
+        add(doc, (places.total[start + size] - base) * down + np.uint64(size))
     return np.concatenate(rows), np.concatenate(hashes)
 
 
-def _slices(column: pa.Array):
+def _look(terms: np.ndarray) -> np.ndarray:
+    table = np.zeros(int(LOOK) + 1, bool)
+    table[(terms & LOOK).astype(np.int64)] = True
+    return table
+
+
+def _slices(column: pa.Array, terms: np.ndarray | None = None):
     flat, offsets = text_bytes(column)
+    look = None if terms is None else _look(terms)
     for start, end in slices(np.diff(offsets), SLICE):
         part = offsets[start : end + 1]
         with np.errstate(over="ignore"):
-            yield start, end, _terms(flat[part[0] : part[-1]], part - part[0])
+            yield start, end, _terms(flat[part[0] : part[-1]], part - part[0], look)
 
 
 def _distinct(rows: np.ndarray, hashes: np.ndarray):
@@ -137,7 +161,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Index:
     stats = rows.mapInArrow(_example_terms, "term long, every long, toxic long").groupBy("term").agg(F.sum("every").alias("every"), F.sum("toxic").alias("toxic"))
     score = _ratio(F.col("toxic").cast("double"), (F.col("every") - F.col("toxic")).cast("double"), float(ones), float(n - ones))
     best = (
-        stats.where(F.col("toxic") * n > F.col("every") * ones).withColumn("score", score)
+        stats.where((F.col("toxic") * n > F.col("every") * ones) & (F.col("toxic") >= SHARE * F.col("every"))).withColumn("score", score)
         .where(F.col("score") >= SIGNIFICANT).orderBy(F.desc("score"), "term").limit(TERMS).select("term").toPandas()
     )
     terms = np.sort(best["term"].to_numpy().astype(np.int64).view(np.uint64))
@@ -147,7 +171,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Index:
     def frequencies(batches):
         total = np.zeros(len(terms), np.int64)
         for batch in batches:
-            for _, _, (at, hashes) in _slices(batch.column("text")):
+            for _, _, (at, hashes) in _slices(batch.column("text"), terms):
                 at, known = _known(terms, at, hashes)
                 pairs = np.unique(at * len(terms) + known)
                 total += np.bincount(pairs % len(terms), minlength=len(terms))
@@ -156,7 +180,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Index:
 
     def vectors(batches):
         for batch in batches:
-            for start, end, (at, hashes) in _slices(batch.column("text")):
+            for start, end, (at, hashes) in _slices(batch.column("text"), terms):
                 at, known = _known(terms, at, hashes)
                 at, known, times = _distinct(at, known)
                 take = pa.array(at + start)
@@ -220,7 +244,7 @@ def score(documents: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
     def scored(texts: pa.Array) -> pa.Array:
         scores, evidence = np.full(len(texts), index.bare_rate), [[] for _ in range(len(texts))]
         seen: dict[bytes, tuple] = {}
-        for start, _, (rows, hashes) in _slices(texts):
+        for start, _, (rows, hashes) in _slices(texts, index.terms):
             rows, known, times = _distinct(*_known(index.terms, rows, hashes))
             cut = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else rows
             for a, b in zip(cut, np.append(cut[1:], len(rows))):
