@@ -79,3 +79,26 @@ def test_known_archive_row(spark):
         percent(F.col("voice_success"), F.col("voice_attempts")).alias("rate")).first()
     assert (r.ts.isoformat(), r["_corrupt"], r.cohort) == ("2026-09-10T09:00:00", None, 7900)
     assert abs(r.rate - 99.28364961668971) < 1e-9
+
+
+def test_every_part_of_an_archive_needs_its_header(spark, tmp_path):
+    header = archive.header_of("link_kpi_5m.csv").split(",")
+    swapped = [header[0], header[1], header[3], header[2], *header[4:]]
+    row = "2026-09-10 09:00:00,L1,1.0,2.0,0.1,3.0,0.2,0,0"
+    folder = tmp_path / "link_kpi_5m.csv"
+    folder.mkdir()
+    (folder / "part-0.csv").write_text(",".join(header) + "\n" + row + "\n")
+    assert archive.read_file(spark, str(tmp_path), "link_kpi_5m.csv").count() == 1
+    (folder / "part-1.csv").write_text(",".join(swapped) + "\n" + row + "\n")
+    with pytest.raises(ValueError, match="part-1"):
+        archive.read_file(spark, str(tmp_path), "link_kpi_5m.csv")
+
+
+def test_cut_ids_of_dead_letters_are_flagged(spark):
+    kind = "arrival long, key string, payload string, reason string, o struct<eventId: string>"
+    rows = [(1, "k" * 5000, "x" * 70000, "R", ("e" * 5000,)), (2, "a\x00b", "{}", "R", ("e",)), (3, None, "{}", "R", None)]
+    got = {r.arrival: r for r in observations.dead_letters(spark.createDataFrame(rows, kind)).collect()}
+    assert got[1].event_id_truncated and got[1].message_key_truncated and got[1].payload_truncated
+    assert got[1].payload_size == 70000 and len(got[1].raw_payload) == 65536
+    assert got[2].message_key == "a\\u0000b" and not (got[2].event_id_truncated or got[2].message_key_truncated)
+    assert got[3].event_id is None and not got[3].event_id_truncated

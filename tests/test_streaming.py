@@ -46,6 +46,22 @@ def test_service_episodes_stream_equals_batch(spark, tables, tmp_path):
     assert rows(got.select(want.columns)) == rows(want)
 
 
+def test_two_domains_of_a_scope_are_two_machines(spark, tables, tmp_path):
+    one = domain_series(tables).select(
+        "scope_id", "window_start", "window_end", "verdict", "severity", "backlog_required", "drained")
+    # The second domain sees the first one's windows a day later, under the same scopes.
+    other = one.withColumns({c: F.col(c) + F.expr("INTERVAL 1 DAY") for c in ("window_start", "window_end")})
+    source = one.withColumn("domain", F.lit("sms")).unionByName(other.withColumn("domain", F.lit("data")))
+    path, keys = str(tmp_path / "in"), ("domain", "scope_id")
+    ordered_files(source, path, "window_start", 3)
+    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    run(flows.write_table(stateful.episodes(stream, domain=True, keys=keys), str(tmp_path / "out"), str(tmp_path / "ck")))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    want = batch_episodes.domain_lifecycle(source, list(keys)).select(
+        *keys, "window_start", "phase", "sequence", "first_observed_at", F.col("episode_severity").alias("severity"))
+    assert rows(got.select(want.columns)) == rows(want)
+
+
 def test_domain_episodes_stream_equals_batch(spark, tables, tmp_path):
     source = domain_series(tables).select(
         "scope_id", "window_start", "window_end", "verdict", "severity", "backlog_required", "drained")

@@ -9,6 +9,7 @@ from vigilmesh import policies
 from vigilmesh.functions.arithmetic import divide, half_up, histogram_quantile, percent
 from vigilmesh.functions.timebins import seconds_between
 
+# The summed columns of the city archive.
 CITY_SUMS = [
     "voice_attempts", "voice_success", "voice_drops", "voice_holding_seconds", "voice_setup_elapsed_seconds",
     "sms_submitted", "sms_delivered", "sms_expired", "data_attempts", "data_success", "dns_attempts", "dns_success",
@@ -109,6 +110,7 @@ def link_snapshot(
     )
 
 
+# The roaming procedures.
 PROCEDURES = ["reg", "data", "voice", "sms"]
 
 

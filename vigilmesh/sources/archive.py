@@ -44,17 +44,18 @@ def header_of(name: str) -> str:
 
 
 def read_file(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One archive file (or a folder of parts): header checked, bad records kept in ``_corrupt``.
+    """One archive file (or a folder of parts): each part's header checked, bad records kept in ``_corrupt``.
 
     Records are single lines, so the file is read as lines and each line is typed whole. The CSV
     reader types only the columns a query reads, which would let the set of corrupt records depend
     on the query.
     """
-    lines = spark.read.text(f"{folder}/{name}").withColumnRenamed("value", "line")
-    first = lines.head(1)
-    if first and first[0]["line"].strip() != header_of(name):
-        raise ValueError(f"header of {name} differs from its layout")
-    return parse_lines(lines.where(F.trim("line") != header_of(name)), "line", name)
+    lines = spark.read.text(f"{folder}/{name}").select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
+    is_header = F.trim("line") == header_of(name)
+    others = lines.groupBy("file").agg(F.count_if(is_header).alias("headers")).where("headers = 0").limit(1).collect()
+    if others:
+        raise ValueError(f"header of {name} differs from its layout: {others[0]['file']}")
+    return parse_lines(lines.where(~is_header).select("line"), "line", name)
 
 
 def with_histograms(rows: DataFrame) -> DataFrame:

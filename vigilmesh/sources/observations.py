@@ -11,6 +11,7 @@ from vigilmesh.operators.validation import first_reason
 
 L, D, S, TS = T.LongType(), T.DoubleType(), T.StringType(), T.TimestampType()
 
+# The field names and types of schema version 2 and what it requires.
 METRICS = T.StructType(
     [T.StructField(n, L) for n in (
         "attempts", "technicalSuccesses", "technicalFailures", "userOutcomes", "rrcAttempts", "rrcSuccesses",
@@ -143,15 +144,25 @@ def validate(envelopes: DataFrame, catalogue: DataFrame) -> DataFrame:
 
 
 def dead_letters(rejected: DataFrame) -> DataFrame:
-    """Bounded evidence of each rejection: reason, hash, the first 64 KiB, true size."""
+    """Bounded evidence of each rejection: reason, hash, the first 64 KiB and true sizes.
+
+    Ids, keys and payloads beyond the bound are stored cut, each with a flag that says so.
+    """
     raw = F.encode("payload", "UTF-8")
     size = F.octet_length("payload")
-    safe_id = F.substring(F.replace(F.col("o.eventId"), F.lit("\x00"), F.lit("\\u0000")), 1, policies.DEAD_LETTER_ID_CHARS)
+    bound = policies.DEAD_LETTER_ID_CHARS
+
+    def safe(text):
+        return F.replace(text, F.lit("\x00"), F.lit("\\u0000"))
+
+    event_id, key = safe(F.col("o.eventId")), safe(F.col("key"))
     return rejected.select(
         "arrival",
         F.col("reason").alias("reason_code"),
-        safe_id.alias("event_id"),
-        F.substring("key", 1, policies.DEAD_LETTER_ID_CHARS).alias("message_key"),
+        F.substring(event_id, 1, bound).alias("event_id"),
+        F.coalesce(F.length(event_id) > bound, F.lit(False)).alias("event_id_truncated"),
+        F.substring(key, 1, bound).alias("message_key"),
+        F.coalesce(F.length(key) > bound, F.lit(False)).alias("message_key_truncated"),
         F.sha2(raw, 256).alias("payload_hash"),
         F.substring(raw, 1, policies.DEAD_LETTER_RAW_BYTES).alias("raw_payload"),
         size.alias("payload_size"),

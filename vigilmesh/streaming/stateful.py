@@ -17,16 +17,14 @@ EPISODE_STATE = (
     "end bigint, verdict string, run_start bigint, run bigint, active boolean, first bigint, sequence bigint, "
     "severity string, critical_run boolean"
 )
-TRANSITION = (
-    "scope_id string, window_start timestamp, phase string, sequence bigint, first_observed_at timestamp, severity string"
-)
+TRANSITION = "window_start timestamp, phase string, sequence bigint, first_observed_at timestamp, severity string"
 
 
 class EpisodeProcessor(StatefulProcessor):
-    """One episode machine per scope. A micro-batch's windows of a scope are applied in event order."""
+    """One episode machine per identity. A micro-batch's windows of an identity are applied in event order."""
 
-    def __init__(self, domain: bool = False):
-        self.domain = domain
+    def __init__(self, domain: bool = False, keys: tuple[str, ...] = ("scope_id",)):
+        self.domain, self.keys = domain, keys
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.store = handle.getValueState("episode", EPISODE_STATE)
@@ -45,21 +43,25 @@ class EpisodeProcessor(StatefulProcessor):
                 step = service_step(state, row.start_s, row.end_s, row.verdict, row.severity)
             if step:
                 phase, sequence, first, severity = step
-                out.append((key[0], pd.Timestamp(row.start_s, unit="s"), phase, sequence, pd.Timestamp(first, unit="s"), severity))
+                out.append((*key, pd.Timestamp(row.start_s, unit="s"), phase, sequence, pd.Timestamp(first, unit="s"), severity))
         self.store.update(astuple(state))
         columns = [c.split()[0] for c in TRANSITION.split(", ")]
-        yield pd.DataFrame(out, columns=columns)
+        yield pd.DataFrame(out, columns=[*self.keys, *columns])
 
     def close(self) -> None:
         pass
 
 
-def episodes(windows: DataFrame, domain: bool = False) -> DataFrame:
-    """Transitions of a stream of judged windows (scope_id, window_start, window_end, verdict, severity…)."""
+def episodes(windows: DataFrame, domain: bool = False, keys: tuple[str, ...] = ("scope_id",)) -> DataFrame:
+    """Transitions of a stream of judged windows (keys, window_start, window_end, verdict, severity…).
+
+    ``keys`` is the whole identity of an episode: two domains, kinds or policies of one scope are two machines.
+    """
     rows = windows.withColumn("start_s", F.unix_seconds("window_start")).withColumn("end_s", F.unix_seconds("window_end"))
-    keep = ["scope_id", "start_s", "end_s", "verdict", "severity"] + (["backlog_required", "drained"] if domain else [])
-    return rows.select(*keep).groupBy("scope_id").transformWithStateInPandas(
-        EpisodeProcessor(domain), TRANSITION, "Append", "None")
+    keep = [*keys, "start_s", "end_s", "verdict", "severity"] + (["backlog_required", "drained"] if domain else [])
+    named = ", ".join(f"{k} {windows.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.select(*keep).groupBy(*keys).transformWithStateInPandas(
+        EpisodeProcessor(domain, tuple(keys)), f"{named}, {TRANSITION}", "Append", "None")
 
 
 RECEIPT_OUT = (
