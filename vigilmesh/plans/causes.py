@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigilmesh.adapters import Tables
+from vigilmesh.adapters import Tables, slot_ts as at_slot
 from vigilmesh.operators import cause, rules
 from vigilmesh.oracle_views import slot_ts, sql
 from vigilmesh.plans.common import when, when_sql  # noqa: F401
@@ -66,8 +66,8 @@ def relations(t: Tables):
         "*", F.expr("explode(CASE WHEN t = 4 THEN array(0, 1) ELSE array(0) END) AS k")).where("t <> 5")
     return rows.selectExpr(
         "concat('r-', scope_id, '-', t, '-', w.path, '-', w.src, '-', k) AS relation_id", "scope_id", "CASE WHEN t = 12 THEN partner_id ELSE concat('L', t) END AS target_scope",
-        "concat('p', w.path) AS path_id", "concat('src', w.src) AS source_id", "'t1' AS topology", "timestamp_seconds(1789030800) AS valid_from",
-        "timestamp_seconds(1789030800 + CASE WHEN t = 3 THEN 4320 ELSE 8640 END * 300) AS valid_to")
+        "concat('p', w.path) AS path_id", "concat('src', w.src) AS source_id", "'t1' AS topology", f"{at_slot('0')} AS valid_from",
+        f"{at_slot('CASE WHEN t = 3 THEN 4320 ELSE 8640 END')} AS valid_to")
 
 
 def candidates(t: Tables):

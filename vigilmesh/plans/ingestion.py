@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigilmesh.adapters import ARCHIVE_END, ARCHIVE_START, Tables
+from vigilmesh.adapters import ARCHIVE_END, ARCHIVE_START, Tables, slot_ts as at_slot
 from vigilmesh.dictionary import dictionary_df
 from vigilmesh.functions.fingerprint import content_fingerprint, identity
 from vigilmesh.functions.leakage import json_has_truth
@@ -832,5 +832,5 @@ SELECT link_id, slot, age AS source_age_seconds, CASE WHEN age <= 600 THEN 'FRES
 )
 def live(t: Tables):
     rows = t.link5m.selectExpr("link_id", "slot", "ts AS observed_at", "600 AS max_age_seconds", "0L AS source_age_seconds", "'FRESH' AS freshness", "'VALID' AS quality", "CAST(NULL AS STRING) AS quality_reason")
-    at = F.expr("timestamp_seconds(1789030800 + 8639 * 300)")
+    at = F.expr(at_slot("8639"))
     return windows.reevaluate(rows, at, live=True).select("link_id", "slot", "source_age_seconds", "freshness", "quality", "quality_reason")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigilmesh.adapters import ARCHIVE_END, ARCHIVE_START, Tables
+from vigilmesh.adapters import ARCHIVE_END, ARCHIVE_START, Tables, slot_ts as at_slot
 from vigilmesh.dictionary import METRICS, dictionary_df, policy_of
 from vigilmesh.functions.timebins import shift
 from vigilmesh.operators.asof import asof_join, latest_at
@@ -141,8 +141,8 @@ FROM (SELECT link_id, island, min(valid_from) AS lo, max(valid_to) AS hi, count(
     ),
 )
 def range_coverage(t: Tables):
-    lo = F.expr("timestamp_seconds(1789030800 + 100 * 300)")
-    hi = F.expr("timestamp_seconds(1789030800 + 8500 * 300)")
+    lo = F.expr(at_slot("100"))
+    hi = F.expr(at_slot("8500"))
     return coverage_of_ranges(t.link_inventory, ["link_id"], lo, hi)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vigilmesh.adapters import ARCHIVE_END, ARCHIVE_START, Tables
+from vigilmesh.adapters import ARCHIVE_END, ARCHIVE_START, Tables, slot_ts as at_slot
 from vigilmesh.operators import episodes, incidents, serving, topology
 from vigilmesh.operators.filters import optional
 from vigilmesh.operators.paging import page
@@ -478,7 +478,7 @@ def snapshots(t: Tables):
     from vigilmesh.functions.timebins import seconds_between
     from vigilmesh.operators.asof import latest_at
 
-    at = F.expr("timestamp_seconds(1789030800 + 6000 * 300)")
+    at = F.expr(at_slot("6000"))
     found = latest_at(t.roam_facts, ["scope_id"], "ts", at, ["active_users"])
     j = t.partners.select("scope_id").join(found, "scope_id", "left")
     age = seconds_between(F.col("found.ts"), at)
@@ -491,7 +491,7 @@ def snapshots(t: Tables):
     sql(f"SELECT link_id, nominal_gbps, a, b FROM link_inventory WHERE valid_from <= {slot_ts('4350')} AND valid_to > {slot_ts('4350')} AND (a = 'C3' OR b = 'C3' OR a = 'C9' OR b = 'C9')", "link_inventory"),
 )
 def inventory(t: Tables):
-    at = F.expr("timestamp_seconds(1789030800 + 4350 * 300)")
+    at = F.expr(at_slot("4350"))
     one = topology.inventory_at(t.link_inventory, at, F.lit("C3"))
     two = topology.inventory_at(t.link_inventory, at, F.lit("C9"))
     return one.unionByName(two).distinct().select("link_id", "nominal_gbps", "a", "b")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from vigilmesh.adapters import ARCHIVE_END, ARCHIVE_START, Tables
+from vigilmesh.adapters import ARCHIVE_END, ARCHIVE_START, Tables, slot_ts as at_slot
 from vigilmesh.operators import filters
 from vigilmesh.operators.episodes import streaks
 from vigilmesh.operators.latest import empirical_rank, newest, unambiguous
@@ -26,7 +26,7 @@ SELECT city_id, slot, voice_attempts FROM city5m WHERE ts >= {slot_ts("1000")} A
     ),
 )
 def half_open(t: Tables):
-    lo, hi = F.expr("timestamp_seconds(1789030800 + 300000)"), F.expr("timestamp_seconds(1789030800 + 1500000)")
+    lo, hi = F.expr(at_slot("1000")), F.expr(at_slot("5000"))
     return t.city5m.where(filters.half_open(F.col("ts"), lo, hi) & F.col("city_id").isin("C1", "C2", "C3")).select(
         "city_id", "slot", "voice_attempts")
 
