@@ -118,7 +118,9 @@ def near_duplicates(
     gives an empty result; other columns are not read.
 
     A bucket is cut into blocks of BLOCK rows and each two blocks meet in a cell of their own, so no task
-    holds a whole hot bucket; a cell returns one row per vector, not one per pair.
+    holds a whole hot bucket; a cell returns one row per vector, not one per pair. Two hashes of 64 dimensions
+    make 16,384 buckets per label and table, three 2 million: with more vectors take more hashes, and more tables for
+    the same recall.
     """
     if probes > hashes + 1:
         raise ValueError("a probe changes one hash: probes may not exceed hashes + 1")
