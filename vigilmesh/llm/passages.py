@@ -211,6 +211,8 @@ def repeated_passages(documents: DataFrame, least_words: int = LEAST, id_column=
     kind = "doc_id long, index int, word int, words int, start int, end int, print long"
     seen = _thinned(docs.mapInArrow(_occurrences, kind), members.select("print"))
     per_print = seen.groupBy("print").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "index")).alias("first"))
+    # What passed the filter by chance goes here.
+    per_print = per_print.join(members.select("print").distinct(), "print", "left_semi")
     per_print = stored(
         per_print.join(group.withColumnRenamed("node", "print"), "print", "left")
         .where("times > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "print"))

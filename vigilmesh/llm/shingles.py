@@ -16,7 +16,7 @@ from vigilmesh.llm.common import mix, slices, text_bytes
 
 WORDS = 5
 #: Bytes of text that are hashed at once; bounds the work arrays.
-SLICE = 1_000_000
+SLICE = 400_000
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
 SPACES = np.zeros(256, bool)
