@@ -22,8 +22,8 @@ TOXIC = 0.7
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that score below TOXIC; labels of the table teach the score."""
-    index = toxicity.fit(docs, table(ready(spark), folder, "labels"))
-    return toxicity.score(docs, index).where(F.col("score") < TOXIC).select(*COLUMNS)
+    model = toxicity.fit(docs, table(ready(spark), folder, "labels"))
+    return toxicity.score(docs, model).where(F.col("score") < TOXIC).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

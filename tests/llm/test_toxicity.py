@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -74,3 +76,30 @@ def test_held_out_accuracy(spark):
     hit = sum(r.predicted and labels[r.doc_id] for r in rows)
     assert hit >= 0.75 * sum(labels[r.doc_id] for r in rows)
     assert hit >= 0.95 * sum(r.predicted for r in rows)
+
+
+def test_every_example_is_searched_over_all_its_terms(spark):
+    docs, labels = corpus(spark, 300)
+    index = toxicity.fit(docs, labels)
+    examples = {r.doc_id: r.toxic for r in labels.where(~held_out(labels.doc_id)).collect()}
+    assert dict(zip(index.ids.tolist(), index.toxic)) == examples
+    texts = dict(docs.select("doc_id", "text").collect())
+
+    def terms(text):
+        words = text.lower().replace(",", "").split()
+        return {t: 1 + np.log(n) for t, n in Counter(x for w in words for x in [(w, 0), *((w[:k], k) for k in toxicity.BEGINNINGS if len(w) > k)]).items()}
+
+    tf = {i: terms(t) for i, t in texts.items()}
+    df = Counter(t for x in tf.values() for t in x)
+    held = {t for i in examples for t in tf[i]}
+    vectors = {}
+    for i, x in tf.items():
+        v = {t: n * np.log((1 + len(tf)) / (1 + df[t])) for t, n in x.items() if t in held}
+        norm = np.sqrt(sum(w * w for w in v.values()))
+        vectors[i] = {t: w / norm for t, w in v.items()}
+    found = {r.doc_id: r.evidence for r in toxicity.score(docs, index).collect()}
+    for i in list(texts)[:60]:
+        cosine = {e: sum(w * vectors[e].get(t, 0) for t, w in vectors[i].items()) for e in examples}
+        assert len(found[i]) == toxicity.NEIGHBOURS
+        want = sorted(cosine.values(), reverse=True)[: toxicity.NEIGHBOURS]
+        assert np.allclose([cosine[e] for e in found[i]], want, atol=1e-5)

@@ -1,11 +1,11 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and the beginnings of words. A bounded sample of labelled rows tells which terms go with the label; only
-those are dimensions. Examples that hold any of them are the index: for each term its weights by block of
-examples, and the largest weight of each block. A text's blocks are visited from the largest possible cosine
-down, until no block can beat the k-th neighbour found, so the neighbours are exact. Their votes weigh by
-cosine; the share of toxic votes, shrunk to the rate of all texts, is the score, and the neighbours are its evidence. A text
-without any of the terms has no neighbour: it scores as such examples do.
+Terms are words and the beginnings of words; all terms of all labelled examples of a bounded sample are the index,
+clean examples too. Terms that many examples hold are columns of a dense matrix, all others have inverted lists: both
+together give the cosine of a text to every example, so the neighbours are exact. Terms that no example holds have no
+weight: they would scale all cosines of a text alike. The votes of the nearest examples and the mean cosines to
+the nearest ones of either kind become a probability by a logistic fit on the examples themselves, each
+without its own vote. A text without any known term has no neighbour and scores the rate of the label.
 """
 
 from __future__ import annotations
@@ -15,79 +15,68 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilmesh.llm.common import held_out, long_array, mix, slices, text_bytes
+from vigilmesh.llm.common import held_out, mix, slices, stored, text_bytes
 from vigilmesh.llm.shingles import SLICE, word_places
 
 #: Bound of the labelled rows that a fit reads, those with the smallest hash.
 SAMPLE = 20_000
-#: Bound of the terms.
-TERMS = 4_096
 #: First bytes of a longer word that are terms of their own.
 BEGINNINGS = (4, 5, 6, 7, 8)
-#: Log-likelihood ratio from which a term goes with the label: one in a million under independence.
-SIGNIFICANT = 24.0
-#: Share of labelled examples with a term that must be toxic: terms of clean texts would make every text a neighbour of every other.
-SHARE = 0.5
-#: Weight of a term that every text has once. With it a cosine tells texts with few known terms from those with many.
-COMMON = 6.0
+#: Share of the examples from which a term is a dense column: a product over all examples is then cheaper than its list.
+DENSE = 0.08
+#: Shares, a power of two, in which the driver gets the terms of the examples.
+SHARES = 8
 BLOCK = 64
+#: Neighbours that are the evidence of a score.
 NEIGHBOURS = 15
+#: Numbers of neighbours whose votes, and of nearest examples of either kind whose mean cosines, tell the score.
+VOTES, MEANS = (5, 15, 30, 60, 120), (1, 5, 15, 50, 150)
+#: Texts whose cosines to all examples are held at once.
+TEXTS = 64
+#: Penalty of the logistic fit.
+RIDGE = 0.3
 
 
 class Index(NamedTuple):
     terms: np.ndarray  # hashes, ascending
     idf: np.ndarray
-    rows: np.ndarray  # examples x terms, unit length, in blocks of BLOCK
-    most: np.ndarray  # blocks x terms: the largest weight of a block
+    rows: np.ndarray  # examples x dense terms: weights of unit vectors over all terms; toxic examples first
+    most: np.ndarray  # blocks x dense terms: the largest weight of a block
     ids: np.ndarray
     toxic: np.ndarray
-    rate: float  # of toxic ones among examples with a term
-    bare_rate: float  # and among those without
+    rate: float  # toxic share among the examples
+    bare_rate: float  # the score of texts without a known term
+    column: np.ndarray | None = None  # of each term, -1 if it has a list
+    start: np.ndarray | None = None  # terms + 1: where the list of each term begins; empty for dense ones
+    holder: np.ndarray | None = None  # examples, by term
+    weight: np.ndarray | None = None
+    single: np.ndarray | None = None  # terms that one example alone holds
 
 
-#: Bits of a hash that a quick first look at the known terms goes by.
-LOOK = np.uint64((1 << 20) - 1)
-
-
-def _terms(flat: np.ndarray, offsets: np.ndarray, look: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of every term of a slice of texts, in any order, repeats included; with a look-up only terms that may be known."""
+def _terms(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every term of a slice of texts, in any order, repeats included."""
     places = word_places(flat, offsets, letters_only=True)
     doc, start, length = places.doc, places.start, places.end - places.start
     base, down = places.total[start], places.down[start]
-    rows, hashes = [], []
-
-    def add(doc, value):
-        value = mix(value)
-        if look is not None:
-            hit = np.flatnonzero(look[(value & LOOK).astype(np.int64)])
-            doc, value = doc[hit], value[hit]
-        rows.append(doc)
-        hashes.append(value)
-
-    add(doc, (places.total[places.end] - base) * down)
+    rows, hashes = [doc], [mix((places.total[places.end] - base) * down)]
     for size in BEGINNINGS:
         longer = length > size
         doc, start, length, base, down = doc[longer], start[longer], length[longer], base[longer], down[longer]
-        add(doc, (places.total[start + size] - base) * down + np.uint64(size))
+        rows.append(doc)
+        hashes.append(mix((places.total[start + size] - base) * down + np.uint64(size)))
     return np.concatenate(rows), np.concatenate(hashes)
 
 
-def _look(terms: np.ndarray) -> np.ndarray:
-    table = np.zeros(int(LOOK) + 1, bool)
-    table[(terms & LOOK).astype(np.int64)] = True
-    return table
-
-
-def _slices(column: pa.Array, terms: np.ndarray | None = None):
+def _slices(column: pa.Array):
     flat, offsets = text_bytes(column)
-    look = None if terms is None else _look(terms)
     for start, end in slices(np.diff(offsets), SLICE):
         part = offsets[start : end + 1]
         with np.errstate(over="ignore"):
-            yield start, end, _terms(flat[part[0] : part[-1]], part - part[0], look)
+            yield start, end, _terms(flat[part[0] : part[-1]], part - part[0])
 
 
 def _distinct(rows: np.ndarray, hashes: np.ndarray):
@@ -107,15 +96,24 @@ def _known(terms: np.ndarray, rows: np.ndarray, hashes: np.ndarray):
     return rows[known], at[known]
 
 
-def _example_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        toxic = batch.column("toxic").to_numpy()
-        for start, end, (rows, hashes) in _slices(batch.column("text")):
-            rows, hashes, _ = _distinct(rows, hashes)
-            found, inverse = np.unique(hashes, return_inverse=True)
-            ones = np.bincount(inverse, weights=toxic[start:end][rows], minlength=len(found)).astype(np.int64)
-            every = np.bincount(inverse, minlength=len(found))
-            yield pa.RecordBatch.from_arrays([long_array(found), pa.array(every), pa.array(ones)], names=["term", "every", "toxic"])
+def _examples(share: int):
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each example with its distinct terms of a share, by hash, and how often it has them."""
+        for batch in batches:
+            for start, end, (rows, hashes) in _slices(batch.column("text")):
+                mine = hashes // np.uint64((1 << 64) // SHARES) == np.uint64(share)
+                rows, hashes, times = _distinct(rows[mine], hashes[mine])
+                cut = np.searchsorted(rows, np.arange(end - start + 1))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(batch.column(c).slice(start, end - start) for c in ("doc_id", "place")),
+                        pa.array([hashes[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()),
+                        pa.array([times[i:j].astype(np.int32).tobytes() for i, j in zip(cut, cut[1:])], pa.binary()),
+                    ],
+                    names=["doc_id", "place", "terms", "times"],
+                )
+
+    return taken
 
 
 def sample(documents: DataFrame, labels: DataFrame, label: str) -> DataFrame:
@@ -133,81 +131,215 @@ def sample(documents: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
 
 
-def _ratio(a, b, n, m):
-    """Log-likelihood ratio of a term in a of n toxic and b of m other examples."""
-    total = (a + b) / (n + m)
+class Packed(NamedTuple):
+    """An index as the executors get it, a fourth of its size: unpickling gives the Index."""
 
-    def part(k, of, p):
-        q = k / of
-        x = F.when(k > 0, k * F.log(q / p)).otherwise(0.0)
-        y = F.when(k < of, (of - k) * F.log((1 - q) / (1 - p))).otherwise(0.0)
-        return x + y
-
-    return F.when((total > 0) & (total < 1), 2 * (part(a, F.lit(n), total) + part(b, F.lit(m), total))).otherwise(0.0)
+    terms: np.ndarray
+    length: np.ndarray  # holders of each term
+    holder: np.ndarray  # examples, by term
+    code: np.ndarray  # how often each holder has the term, as a place in `times`
+    times: np.ndarray
+    frequency: np.ndarray  # of each term, in all documents
+    documents: int
+    ids: np.ndarray
+    toxic: np.ndarray
+    rate: float
+
+    def __reduce__(self):
+        return unpacked, tuple(self)
+
+
+def unpacked(terms, length, holder, code, times, frequency, documents, ids, toxic, rate) -> Index:
+    n = len(ids)
+    idf = np.log((1 + documents) / (1 + frequency.astype(np.float64)))
+    weight = (1 + np.log(times)).astype(np.float32)[code] * np.repeat(idf.astype(np.float32), length)
+    weight /= np.maximum(np.sqrt(np.bincount(holder, weight * weight, n)), 1e-12).astype(np.float32)[holder]
+    begin = np.cumsum(length, dtype=np.int64) - length
+    common = np.flatnonzero(length > DENSE * n)
+    column = np.full(len(terms), -1, np.int32)
+    column[common] = np.arange(len(common))
+    matrix = np.zeros((n, len(common)), np.float32)
+    for at, t in enumerate(common):
+        part = slice(begin[t], begin[t] + length[t])
+        matrix[holder[part], at] = weight[part]
+    listed = np.repeat(column < 0, length)
+    start = np.concatenate([[0], np.cumsum(np.where(column < 0, length, 0), dtype=np.int64)])
+    most = np.stack([matrix[i : i + BLOCK].max(0) for i in range(0, n, BLOCK)])
+    return Index(terms, idf, matrix, most, ids, toxic, rate, rate, column, start, holder[listed], weight[listed], length == 1)
+
+
+class Model(NamedTuple):
+    ids: np.ndarray  # of the examples
+    toxic: np.ndarray
+    rate: float
+    shared: Broadcast | None = None  # the index, on the executors
+    fitted: np.ndarray | None = None  # coefficients of the features, and the constant
 
 
-def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Index:
+def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """The index of the labelled sample; document frequencies are those of all documents.
 
-    What reaches the driver is bounded by SAMPLE and TERMS. Without both kinds of labels the index is empty and every
-    text scores the rate of the label.
+    What reaches the driver is bounded by SAMPLE: its texts as terms. Without both kinds of labels there is no index and
+    every text scores the rate of the label.
     """
-    rows = sample(documents, labels, label).withColumnRenamed(label, "toxic")
-    n, ones, of_all = *rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first(), documents.count()
-    rate = (ones + 0.5) / (n + 1)
-    none = Index(np.zeros(0, np.uint64), np.zeros(0), np.zeros((0, 0)), np.zeros((0, 0)), np.zeros(0, np.int64), np.zeros(0), rate, rate)
-    if not 0 < ones < n:
-        return none
-    stats = rows.mapInArrow(_example_terms, "term long, every long, toxic long").groupBy("term").agg(F.sum("every").alias("every"), F.sum("toxic").alias("toxic"))
-    score = _ratio(F.col("toxic").cast("double"), (F.col("every") - F.col("toxic")).cast("double"), float(ones), float(n - ones))
-    best = (
-        stats.where((F.col("toxic") * n > F.col("every") * ones) & (F.col("toxic") >= SHARE * F.col("every"))).withColumn("score", score)
-        .where(F.col("score") >= SIGNIFICANT).orderBy(F.desc("score"), "term").limit(TERMS).select("term").toPandas()
-    )
-    terms = np.sort(best["term"].to_numpy().astype(np.int64).view(np.uint64))
+    context = documents.sparkSession.sparkContext
+    rows = sample(documents, labels, label).withColumnRenamed(label, "toxic").withColumn("place", F.xxhash64("text")).dropDuplicates(["doc_id", "text"])
+    rows = stored(rows)
+    keys = rows.select("toxic", "doc_id", "place").toArrow()
+    toxic, ids, place = (keys[c].to_numpy().astype(np.int64) for c in ("toxic", "doc_id", "place"))
+    n, rate = len(ids), float((toxic.sum() + 0.5) / (len(ids) + 1))
+    first = np.lexsort((place, ids, -toxic))
+    number_of = {key: i for i, key in enumerate(zip(ids[first].tolist(), place[first].tolist()))}
+    ids, toxic = ids[first], toxic[first].astype(np.float64)
+    if not 0 < toxic.sum() < n:
+        return Model(ids, toxic, rate)
+    kind = np.uint16 if n <= 1 << 16 else np.int32
+    terms, length, holder, counts = [], [], [], []
+    # A share of all terms at a time, so that the driver never holds the hashes of all examples.
+    for share in range(SHARES):
+        held = [(number_of[r.doc_id, r.place], np.frombuffer(r.terms, np.uint64), np.frombuffer(r.times, np.int32)) for r in rows.mapInArrow(_examples(share), "doc_id long, place long, terms binary, times binary").toLocalIterator()]
+        held.sort(key=lambda x: x[0])
+        hashes = np.concatenate([x[1] for x in held])
+        number = np.repeat(np.array([x[0] for x in held], kind), [len(x[1]) for x in held])
+        many = np.concatenate([x[2] for x in held])
+        del held
+        order = np.argsort(hashes, kind="stable")
+        found, size = np.unique(hashes, return_counts=True)
+        terms.append(found)
+        length.append(size.astype(np.int32))
+        holder.append(number[order])
+        counts.append(many[order])
+        del hashes, number, many, order
+    terms, length, holder, counts = (np.concatenate(x) for x in (terms, length, holder, counts))
+    del number_of
     if not len(terms):
-        return none
+        return Model(ids, toxic, rate)
+    times = np.flatnonzero(np.bincount(counts))
+    code = np.zeros(len(counts), np.uint8 if len(times) <= 256 else np.int32)
+    for i in range(0, len(counts), 1 << 20):
+        code[i : i + (1 << 20)] = np.searchsorted(times, counts[i : i + (1 << 20)])
+    del counts
+    known_terms = context.broadcast(terms)
 
     def frequencies(batches):
-        total = np.zeros(len(terms), np.int64)
+        terms = known_terms.value
+        total, texts = np.zeros(len(terms), np.int64), 0
         for batch in batches:
-            for _, _, (at, hashes) in _slices(batch.column("text"), terms):
-                at, known = _known(terms, at, hashes)
-                pairs = np.unique(at * len(terms) + known)
-                total += np.bincount(pairs % len(terms), minlength=len(terms))
+            texts += batch.num_rows
+            for _, _, (at, hashes) in _slices(batch.column("text")):
+                at, hashes, _ = _distinct(at, hashes)
+                np.add.at(total, _known(terms, at, hashes)[1], 1)
         hit = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(hit), pa.array(total[hit])], names=["term", "documents"])
-
-    def vectors(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(hit, -1)), pa.array(np.append(total[hit], texts))], names=["term", "documents"])
+
+    counted = documents.select("text").mapInArrow(frequencies, "term long, documents long").groupBy("term").agg(F.sum("documents").alias("documents")).toArrow()
+    known_terms.destroy()
+    term, documents_with = counted["term"].to_numpy(), counted["documents"].to_numpy()
+    frequency = np.zeros(len(terms), np.int64)
+    frequency[term[term >= 0]] = documents_with[term >= 0]
+    of_all = int(documents_with[term < 0].sum())
+    del counted, term, documents_with
+    if of_all < 1 << 31:
+        frequency = frequency.astype(np.int32)
+    shared = context.broadcast(Packed(terms, length, holder, code, times, frequency, of_all, ids, toxic, rate))
+
+    def alone(batches):
         for batch in batches:
-            for start, end, (at, hashes) in _slices(batch.column("text"), terms):
-                at, known = _known(terms, at, hashes)
-                at, known, times = _distinct(at, known)
-                take = pa.array(at + start)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(take), batch.column("toxic").take(take), pa.array(known), pa.array(times)],
-                    names=["doc_id", "toxic", "term", "times"],
-                )
-
-    frequency = documents.select("text").mapInArrow(frequencies, "term long, documents long").groupBy("term").agg(F.sum("documents").alias("documents")).toPandas()
-    idf = np.zeros(len(terms))
-    idf[frequency["term"]] = np.log((1 + of_all) / (1 + frequency["documents"]))
-    held = rows.mapInArrow(vectors, "doc_id long, toxic int, term long, times long").toPandas()
-    held = held.groupby(["doc_id", "term"], as_index=False).agg(toxic=("toxic", "max"), times=("times", "max"))
-    held = held.sort_values(["doc_id", "term"])
-    ids, at = np.unique(held["doc_id"].to_numpy(), return_inverse=True)
-    matrix = np.zeros((len(ids), len(terms) + 1), np.float32)
-    matrix[:, -1] = COMMON
-    matrix[at, held["term"]] = (1 + np.log(held["times"])) * idf[held["term"]]
-    toxic = np.zeros(len(ids))
-    toxic[at] = held["toxic"]
-    matrix /= np.sqrt((matrix * matrix).sum(1))[:, None]
-    # Alike examples side by side make tight blocks.
-    order = np.lexsort((ids, matrix[:, :-1].argmax(1)))
-    ids, matrix, toxic = ids[order], matrix[order], toxic[order]
-    most = np.stack([matrix[i : i + BLOCK].max(0) for i in range(0, len(ids), BLOCK)]) if len(ids) else np.zeros((0, len(terms) + 1))
-    bare = max(n - len(ids), 0)
-    return Index(terms, idf, matrix, most, ids, toxic, (toxic.sum() + 0.5) / (len(ids) + 1), (max(ones - toxic.sum(), 0) + 0.5) / (bare + 1))
+            for at, values, _ in _features(shared.value, batch.column("text"), batch.column("doc_id").to_numpy()):
+                yield pa.RecordBatch.from_arrays([batch.column("toxic").take(pa.array(at)), pa.array(list(values), pa.list_(pa.float64()))], names=["toxic", "features"])
+
+    seen = rows.mapInArrow(alone, "toxic int, features array<double>").toArrow()
+    if not len(seen):
+        return Model(ids, toxic, rate)
+    return Model(ids, toxic, rate, shared, logistic(np.array(seen["features"].to_pylist()), seen["toxic"].to_numpy().astype(np.float64)))
+
+
+def logistic(features: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+    """Coefficients of the features, and the constant, of a ridge logistic regression."""
+    mean, spread = features.mean(0), features.std(0) + 1e-9
+    x = np.column_stack([(features - mean) / spread, np.ones(len(features))])
+    ridge = np.diag(np.append(np.full(features.shape[1], RIDGE), 1e-6))
+    at = np.zeros(x.shape[1])
+
+    def loss(at):
+        z = x @ at
+        return np.logaddexp(0, z).sum() - toxic @ z + at @ ridge @ at / 2
+
+    for _ in range(100):
+        p = 1 / (1 + np.exp(-np.clip(x @ at, -500, 500)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge + 1e-9 * np.eye(len(at)), x.T @ (p - toxic) + ridge @ at)
+        size, now = 1.0, loss(at)
+        while size > 1e-6 and loss(at - size * step) > now:
+            size /= 2
+        at = at - size * step
+        if np.abs(size * step).max() < 1e-8:
+            break
+    return np.append(at[:-1] / spread, at[-1] - (at[:-1] * mean / spread).sum())
+
+
+def cosines(index: Index, rows: np.ndarray, known: np.ndarray, weight: np.ndarray, texts: int) -> np.ndarray:
+    """texts x examples: cosines of unit vectors, given as (row, term, weight) by row, to every example."""
+    column = index.column[known]
+    dense = np.zeros((texts, index.rows.shape[1]), np.float32)
+    is_dense = column >= 0
+    dense[rows[is_dense], column[is_dense]] = weight[is_dense]
+    out = dense @ index.rows.T
+    rows, known, weight = rows[~is_dense], known[~is_dense], weight[~is_dense]
+    first, size = index.start[known], index.start[known + 1] - index.start[known]
+    cut = np.searchsorted(rows, np.arange(texts + 1))
+    for text in range(texts):
+        a, b = cut[text], cut[text + 1]
+        if a < b:
+            length = size[a:b]
+            ends = np.cumsum(length)
+            at = np.repeat(first[a:b] - ends + length, length) + np.arange(ends[-1])
+            out[text] += np.bincount(index.holder[at], index.weight[at] * np.repeat(weight[a:b], length), out.shape[1])
+    return out
+
+
+def _nearest(cosines: np.ndarray, k: int) -> np.ndarray:
+    """Per row, the columns of the k largest cosines, from the largest down."""
+    k = min(k, cosines.shape[1])
+    top = np.sort(np.argpartition(cosines, cosines.shape[1] - k, 1)[:, cosines.shape[1] - k :], 1)
+    return np.take_along_axis(top, np.argsort(-np.take_along_axis(cosines, top, 1), 1, kind="stable"), 1)
+
+
+def _features(index: Index, texts: pa.Array, ids: np.ndarray | None = None):
+    """(rows, features, nearest examples) for the texts that hold a known term. ids: examples of the same id do not count."""
+    toxics = int(index.toxic.sum())
+    for start, end, found in _slices(texts):
+        rows, hashes, times = _distinct(*found)
+        at = np.minimum(np.searchsorted(index.terms, hashes), len(index.terms) - 1)
+        use = index.terms[at] == hashes
+        if ids is not None:
+            # Another text would have no use of a term that only this one holds.
+            use &= ~index.single[at]
+        rows, known, weight = rows[use], at[use], (1 + np.log(times[use])) * index.idf[at[use]]
+        norm = np.sqrt(np.bincount(rows, weight * weight, end - start))
+        use = norm[rows] > 0
+        rows, known, weight = rows[use], known[use], (weight[use] / norm[rows[use]]).astype(np.float32)
+        for low in range(0, end - start, TEXTS):
+            a, b = np.searchsorted(rows, [low, low + TEXTS])
+            here, place = np.unique(rows[a:b], return_inverse=True)
+            if not len(here):
+                continue
+            cosine = cosines(index, place, known[a:b], weight[a:b], len(here))
+            if ids is not None:
+                cosine[ids[start + here][:, None] == index.ids[None, :]] = 0
+            top = [_nearest(cosine[:, :toxics], MEANS[-1]), _nearest(cosine[:, toxics:], MEANS[-1]) + toxics]
+            near = [np.take_along_axis(cosine, t, 1).astype(np.float64) for t in top]
+            means = [c[:, :k].mean(1) for c in near for k in MEANS]
+            both, c = np.concatenate(top, 1), np.concatenate(near, 1)
+            order = np.argsort(-c, 1, kind="stable")[:, : VOTES[-1]]
+            both, c = np.take_along_axis(both, order, 1), np.take_along_axis(c, order, 1)
+            is_toxic = index.toxic[both]
+            votes = []
+            for k in VOTES:
+                # Shrunk to the rate by half a vote, as the neighbours' cosines are.
+                half = 0.5 * c[:, :k].mean(1) + 1e-9
+                p = np.clip(((c * is_toxic)[:, :k].sum(1) + index.rate * half) / (c[:, :k].sum(1) + half), 1e-4, 1 - 1e-4)
+                votes.append(np.log(p / (1 - p)))
+            yield here + start, np.stack(means + votes, 1), [b_[c_ > 0] for b_, c_ in zip(both, c)]
 
 
 def nearest(index: Index, query: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
@@ -228,34 +360,21 @@ def nearest(index: Index, query: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.nd
     return best, cosines
 
 
-def vote(index: Index, examples: np.ndarray, cosines: np.ndarray) -> float:
-    """Share of toxic votes by cosine, shrunk towards the rate by one vote of half a cosine."""
-    weight = cosines**2
-    return float((weight @ index.toxic[examples] + 0.25 * index.rate) / (weight.sum() + 0.25))
-
-
-def score(documents: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
-    """The documents with score (0 to 1) and evidence, the ids of the nearest examples.
+def score(documents: DataFrame, model: Model, k: int = NEIGHBOURS) -> DataFrame:
+    """The documents with score (the probability of the label) and evidence, the ids of the k nearest examples.
 
-    Null, empty and wordless texts, like all without a known term, score the rate of such examples and have no
+    Null, empty and wordless texts, like all without a known term, score the rate of the examples and have no
     evidence. All columns and rows stay; columns named score or evidence are replaced.
     """
+    shared, fitted, rate = model.shared, model.fitted, model.rate
 
     def scored(texts: pa.Array) -> pa.Array:
-        scores, evidence = np.full(len(texts), index.bare_rate), [[] for _ in range(len(texts))]
-        seen: dict[bytes, tuple] = {}
-        for start, _, (rows, hashes) in _slices(texts, index.terms):
-            rows, known, times = _distinct(*_known(index.terms, rows, hashes))
-            cut = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else rows
-            for a, b in zip(cut, np.append(cut[1:], len(rows))):
-                key = known[a:b].tobytes() + times[a:b].tobytes()
-                if key not in seen:
-                    query = np.zeros(len(index.terms) + 1, np.float32)
-                    query[-1] = COMMON
-                    query[known[a:b]] = (1 + np.log(times[a:b])) * index.idf[known[a:b]]
-                    examples, cosines = nearest(index, query / np.sqrt((query * query).sum()), k)
-                    seen[key] = (vote(index, examples, cosines) if len(examples) else index.bare_rate, index.ids[examples].tolist())
-                scores[rows[a] + start], evidence[rows[a] + start] = seen[key]
+        scores, evidence = np.full(len(texts), rate), [[] for _ in range(len(texts))]
+        if fitted is not None:
+            for rows, features, near in _features(shared.value, texts):
+                scores[rows] = 1 / (1 + np.exp(-np.clip(features @ fitted[:-1] + fitted[-1], -500, 500)))
+                for row, examples in zip(rows, near):
+                    evidence[row] = shared.value.ids[examples[:k]].tolist()
         return pa.StructArray.from_arrays([pa.array(scores), pa.array(evidence, pa.list_(pa.int64()))], names=["score", "evidence"])
 
     udf = F.arrow_udf(scored, "score double, evidence array<bigint>")
@@ -264,7 +383,7 @@ def score(documents: DataFrame, index: Index, k: int = NEIGHBOURS) -> DataFrame:
 
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted and evidence per document, learnt from the labels that are not held out."""
-    index = fit(documents, labels)
-    return score(documents.select("doc_id", "text"), index).select(
+    model = fit(documents, labels)
+    return score(documents.select("doc_id", "text"), model).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence"
     )
