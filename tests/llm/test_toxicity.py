@@ -103,3 +103,14 @@ def test_every_example_is_searched_over_all_its_terms(spark):
         assert len(found[i]) == toxicity.NEIGHBOURS
         want = sorted(cosine.values(), reverse=True)[: toxicity.NEIGHBOURS]
         assert np.allclose([cosine[e] for e in found[i]], want, atol=1e-5)
+
+
+def test_scores_are_probabilities_of_held_out_texts(spark):
+    folder = "/root/testdata/sf0.1"
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = [r for r in QUERIES["op7_toxicity"](spark, folder).collect() if r.held_out and r.doc_id in labels]
+    hit = sum(r.predicted and labels[r.doc_id] for r in rows)
+    assert hit >= 0.82 * sum(labels[r.doc_id] for r in rows)
+    assert hit >= 0.95 * sum(r.predicted for r in rows)
+    unsure = [r for r in rows if 0.35 <= r.score < 0.7]
+    assert sum(labels[r.doc_id] for r in unsure) <= 0.7 * len(unsure) + 2
