@@ -1,4 +1,5 @@
 import re
+from re import _parser
 
 from vigilmesh.llm import licenses
 from vigilmesh.llm.queries import QUERIES
@@ -68,3 +69,34 @@ def test_rules_are_many_and_sound():
     assert 200 <= len(RULES) and {r.rank for r in RULES} == {0, 1, 2, 3}
     for rule in RULES:
         re.compile(rule.pattern)
+
+
+def shortest(parsed):
+    """The shortest match of each way through a parsed pattern."""
+    ways = [""]
+    for kind, value in parsed:
+        kind = str(kind)
+        if kind == "LITERAL":
+            more = [chr(value)]
+        elif kind == "BRANCH":
+            more = [x for branch in value[1] for x in shortest(branch)]
+        elif kind == "SUBPATTERN":
+            more = shortest(value[-1])
+        elif kind == "MAX_REPEAT":
+            more = [x * value[0] for x in shortest(value[2])]
+        else:
+            more = ["2"]
+        ways = [a + b for a in ways for b in more]
+    return ways
+
+
+def test_keyword_is_in_every_match():
+    for rule in licenses.rules():
+        assert "-" not in rule.pattern.replace("[0-9]", ""), rule
+        assert all(rule.keyword in way.split() for way in shortest(_parser.parse(rule.pattern))), rule
+
+
+def test_phrases_without_the_family_word(spark):
+    rows = [(1, "Creative Commons Zero"), (2, "under the PSF license"), (3, "SPDX-License-Identifier: ODC-By-1.0")]
+    found = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert "cc0" in found[1] and "python" in found[2] and "odc-by-1.0" in found[3]

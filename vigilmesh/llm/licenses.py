@@ -58,7 +58,8 @@ FAMILIES = [
     ("boost", "boost", "boost software license", ["1 0"]),
     ("zpl", "zope", "zope public license", ["1 1", "2 0", "2 1"]),
     ("php", "php", "php license", ["3 0", "3 01"]),
-    ("python", "python", "python software foundation license|psf license|python license", ["2", "2 0"]),
+    ("python", "python", "python software foundation license|python license", ["2", "2 0"]),
+    ("python", "psf", "psf license", ["2", "2 0"]),
     ("ms-pl", "microsoft", "microsoft public license", []),
     ("ms-rl", "microsoft", "microsoft reciprocal license", []),
     ("odbl", "database", "open database license", ["1 0"]),
@@ -97,7 +98,8 @@ TEXTS = [
     ("agpl", 1, 0.95, "redistribute", "you can redistribute it and or modify it under the terms of the gnu affero general public license"),
     ("mpl", 1, 0.95, "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("unlicense", 1, 0.9, "unencumbered", "this is free and unencumbered software released into the public domain"),
-    ("cc0", 1, 0.9, "cc0", "cc0( 1 0)?( universal)?|creative commons zero"),
+    ("cc0", 1, 0.9, "cc0", "cc0( 1 0)?( universal)?"),
+    ("cc0", 1, 0.9, "commons", "creative commons zero"),
     ("public-domain", 2, 0.7, "domain", "(is|are|placed|released|dedicated) (in|in to|into|to) the public domain"),
     ("proprietary", 2, 0.6, "reserved", "all rights reserved"),
     ("proprietary", 2, 0.7, "confidential", "(proprietary and confidential|confidential and proprietary)"),
@@ -117,7 +119,7 @@ def rules() -> list[Rule]:
         out.append(Rule(label, 2, 0.6, keyword, named))
         for version in versions:
             out += [Rule(f"{label}-{version.replace(' ', '.')}", 1, 0.85, keyword, way.format(n=named, v=version)) for way in VERSIONED]
-            out.append(Rule(f"{label}-{version.replace(' ', '.')}", 0, 0.99, "spdx", f"spdx license identifier {label} {version}( only| or later)?"))
+            out.append(Rule(f"{label}-{version.replace(' ', '.')}", 0, 0.99, "spdx", f"spdx license identifier {label.replace('-', ' ')} {version}( only| or later)?"))
     for short, long in COMMONS.items():
         words = short.replace("-", " ")
         for version in ("1 0", "2 0", "2 5", "3 0", "4 0"):
