@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilmesh.llm import bpe, jaccard, licenses, mixing, passages, quality, resampling, topk, toxicity, urls, vectors
+from vigilmesh.llm import bpe, jaccard, licenses, mixing, orchard, passages, quality, resampling, topk, toxicity, urls, vectors
 from vigilmesh.llm.common import LOWER, UPPER, table
 from vigilmesh.session import prepare
 
@@ -149,6 +149,41 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def _codes_sql(rounds: int = 6) -> str:
+    """The codebooks round by round: every part against every entry of its codebook."""
+    nearest = """
+a{r} AS (
+  SELECT row, part, any_value(p.v) AS v, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (
+    SELECT p.row, p.part, p.v, c.entry, list_sum([(x[1] - x[2]) * (x[1] - x[2]) FOR x IN list_zip(p.v, c.v)]) AS d
+    FROM p JOIN c{r} c USING (part)) p
+  GROUP BY row, part)"""
+    moved = """
+m{r} AS (
+  SELECT part, entry, list(CAST(floor(CAST(s AS DOUBLE) / n) AS BIGINT) ORDER BY place) AS v FROM (
+    SELECT part, entry, place, sum(x) AS s, count(*) AS n FROM (SELECT part, entry, unnest(v) AS x, unnest(range(len(v))) AS place FROM a{r})
+    GROUP BY ALL) GROUP BY ALL),
+c{next} AS (SELECT part, entry, coalesce(m.v, c.v) AS v FROM c{r} c LEFT JOIN m{r} m USING (part, entry))"""
+    steps = [text.format(r=r, next=r + 1) for r in range(rounds) for text in (nearest, moved)] + [nearest.format(r=rounds)]
+    return f"""
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label, [CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+p AS (SELECT row, part, e[part * len(e) // 8 + 1 : (part + 1) * len(e) // 8] AS v FROM v, range(8) AS parts(part)),
+c0 AS (SELECT part, row - 1 AS entry, v FROM p WHERE row <= 16),{",".join(steps)},
+coded AS (SELECT row, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY row),
+numbers AS (SELECT part, entry, unnest(v) AS x, unnest(range(len(v))) AS place FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, place)) FROM numbers) AS codebooks_sha256
+FROM coded JOIN v USING (row)
+"""
+
+
+@query("op11_vector_codes", _codes_sql())
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return orchard.compress(table(spark, folder, "embeddings"))
+
+
 @query("op12_importance_resampling")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
