@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilmesh.llm import bpe, jaccard, licenses, mixing, orchard, passages, quality, resampling, topk, toxicity, urls, vectors
+from vigilmesh.llm import bpe, fingerprints, jaccard, licenses, mixing, orchard, passages, quality, resampling, topk, toxicity, urls, vectors
 from vigilmesh.llm.common import LOWER, UPPER, table
 from vigilmesh.session import prepare
 
@@ -189,6 +189,11 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query("op13_document_fingerprints")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.edits(table(spark, folder, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline  # at the repository top; it uses this module
