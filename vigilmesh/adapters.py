@@ -306,14 +306,23 @@ class Tables:
 
     @cached_property
     def nodes(self) -> DataFrame:
-        """Containment tree country → region → district, one catalogue version per fixed list."""
+        """Containment country → region → district → sites. Sites are suppliers and customers; some hang below other
+        sites, in chains longer than a path may be, and some pairs of suppliers contain each other."""
         regions = self.raw("region").selectExpr(
             "concat('R', r_regionkey) AS node_id", "'ROOT' AS parent_id", "'REGION' AS node_type")
         nations = self.raw("nation").selectExpr(
             "concat('N', n_nationkey) AS node_id", "concat('R', n_regionkey) AS parent_id", "'DISTRICT' AS node_type")
+        suppliers = self.raw("supplier").selectExpr(
+            "concat('V', s_suppkey) AS node_id",
+            "CASE s_suppkey % 10 WHEN 4 THEN concat('V', s_suppkey + 1) WHEN 5 THEN concat('V', s_suppkey - 1) ELSE concat('N', s_nationkey) END AS parent_id",
+            "'SITE' AS node_type")
+        customers = self.raw("customer").selectExpr(
+            "concat('K', c_custkey) AS node_id",
+            "CASE WHEN c_custkey % 50 BETWEEN 21 AND 28 THEN concat('K', c_custkey - 1) ELSE concat('N', c_nationkey) END AS parent_id",
+            "'SITE' AS node_type")
         root = self.spark.range(1).selectExpr(
             "'ROOT' AS node_id", "CAST(NULL AS STRING) AS parent_id", "'COUNTRY' AS node_type")
-        return root.unionByName(regions).unionByName(nations)
+        return root.unionByName(regions).unionByName(nations).unionByName(suppliers).unionByName(customers)
 
     @cached_property
     def link_inventory(self) -> DataFrame:

@@ -36,6 +36,33 @@ def in_order(rows: DataFrame, keys: list[str], arrival: str) -> DataFrame:
     return rows.withColumn("late", F.coalesce(F.col("window_start") < committed, F.lit(False)))
 
 
+def admitted(offers: DataFrame, keys: list[str]) -> DataFrame:
+    """One row per distinct content of a delivered window, with ``outcome`` and ``copies``.
+
+    In order of ``arrival`` a window is COMMITTED unless it starts before the end of one committed earlier. What comes later
+    for the same window and ``revision`` is a replay if its ``fingerprint`` is equal (it only counts among the copies), and a CONFLICT
+    otherwise; every other late window is LATE. Copies collapse before anything is ordered, so a key's series is as
+    long as its calendar times the contents of a window.
+    """
+    same = [*keys, "window_start", "revision", "fingerprint"]
+    rest = [c for c in offers.columns if c not in same]
+    first = offers.groupBy(*same).agg(F.min_by(F.struct(*rest), "arrival").alias("r"), F.count("*").alias("copies"))
+    marked = in_order(first.select(*same, "r.*", "copies"), keys, "arrival")
+    taken = F.max(F.when(~F.col("late"), F.col("fingerprint"))).over(Window.partitionBy(*keys, "window_start", "revision"))
+    outcome = F.when(~F.col("late"), "COMMITTED").when(taken.isNotNull(), "CONFLICT").otherwise("LATE")
+    return marked.withColumn("outcome", outcome).drop("late")
+
+
+def admitted_lifecycle(offers: DataFrame, keys: list[str]) -> DataFrame:
+    """Transitions of the domain machine over what is committed, and the conflicts, each once."""
+    judged = admitted(offers, keys)
+    moved = domain_lifecycle(judged.where("outcome = 'COMMITTED'"), keys).select(
+        *keys, F.lit("TRANSITION").alias("outcome"), "window_start", "revision", "fingerprint", "phase", "sequence",
+        "first_observed_at", F.col("episode_severity").alias("severity"))
+    conflicts = judged.where("outcome = 'CONFLICT'").select(*keys, "outcome", "window_start", "revision", "fingerprint")
+    return moved.unionByName(conflicts, allowMissingColumns=True)
+
+
 def _series(keys: list[str]):
     return Window.partitionBy(*keys).orderBy("window_start")
 

@@ -8,25 +8,42 @@ from pyspark.sql import functions as F
 MAX_DEPTH = 5
 
 
+def _followed(chains: DataFrame, above: DataFrame, complete: int, depth: int) -> DataFrame:
+    """Each chain of ``complete`` nodes followed by the chain above it, up to the first node that it holds already, cut at ``depth``."""
+    ids = lambda up: F.transform(up, lambda x: x["id"])
+    further = above.select(F.col("node_id").alias("above_id"), F.col("up").alias("further"))
+    joined = chains.withColumn("next", F.element_at("up", -1)["parent"]).join(further, F.col("next") == F.col("above_id"), "left")
+    met = F.array_compact(F.transform("further", lambda x, i: F.when(F.array_contains(ids("up"), x["id"]), i)))
+    taken = F.slice("further", F.lit(1), F.coalesce(F.get(met, F.lit(0)), F.size("further")))
+    # A chain that is shorter has ended before.
+    ended = F.col("further").isNull() | (F.size("up") < complete)
+    grown = F.when(ended, F.col("up")).otherwise(F.slice(F.concat("up", taken), 1, depth))
+    return joined.select("node_id", grown.alias("up"))
+
+
 def ancestry(nodes: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     """Path root → node of every node, at most ``depth`` levels and never through a cycle.
 
-    Self joins of the node dimension; ``complete`` means the path ends in a parentless country.
+    Pointer doubling over the nodes that contain others: each round a chain is followed by the chain of the node above it, so
+    that rounds grow with the logarithm of the depth; every node is then put below its parent's chain, in one join.
+    ``complete`` means that the path ends in a parentless country. A node whose parent is unknown keeps the path it has. Node ids
+    are unique; a null id has a path of itself only. A parent with a third of all nodes is one row of its side, and adaptive
+    execution splits the long partition.
     """
-    up = nodes.select(
-        F.col("node_id").alias("u_id"), F.col("parent_id").alias("u_parent"), F.col("node_type").alias("u_type"))
-    paths = nodes.select(
-        "node_id", F.array("node_id").alias("path"), F.col("parent_id").alias("next_id"), F.col("node_type").alias("top_type"))
-    for _ in range(depth - 1):
-        follow = F.col("u_id").isNotNull() & ~F.array_contains("path", F.col("u_id"))
-        paths = paths.join(up, F.col("next_id") == F.col("u_id"), "left").select(
-            "node_id",
-            F.when(follow, F.concat(F.array("u_id"), "path")).otherwise(F.col("path")).alias("path"),
-            F.when(follow, F.col("u_parent")).alias("next_id"),
-            F.when(follow, F.col("u_type")).otherwise(F.col("top_type")).alias("top_type"),
-        )
-    return paths.select(
-        "node_id", "path", (F.col("next_id").isNull() & (F.col("top_type") == "COUNTRY")).alias("complete"))
+    link = F.struct(F.col("node_id").alias("id"), F.col("parent_id").alias("parent"), F.col("node_type").alias("type"))
+    chains = nodes.select("node_id", F.array(link).alias("up"))
+    holders = nodes.select(F.col("parent_id").alias("holder")).where("holder IS NOT NULL").distinct()
+    # One exchange, which all rounds share.
+    inner = chains.join(holders, F.col("node_id") == F.col("holder"), "left_semi").repartition("node_id")
+    reach = 1
+    while reach < depth - 1:
+        inner = _followed(inner, inner, reach, depth)
+        reach *= 2
+    chains = _followed(chains, inner, 1, depth) if depth > 1 else chains
+    top = F.element_at("up", -1)
+    return chains.select(
+        "node_id", F.reverse(F.transform("up", lambda x: x["id"])).alias("path"),
+        (top["parent"].isNull() & F.coalesce(top["type"] == "COUNTRY", F.lit(False))).alias("complete"))
 
 
 def resolve_location(incidents: DataFrame, coverage: DataFrame, versions: DataFrame, bindings: DataFrame) -> DataFrame:

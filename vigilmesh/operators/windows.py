@@ -83,6 +83,36 @@ def ledger(ranges: DataFrame, known: DataFrame, seconds: int) -> DataFrame:
     return expected.distinct().join(known.select("scope_id", "window_start"), ["scope_id", "window_start"], "left_anti")
 
 
+def silent_windows(known: DataFrame, ranges: DataFrame, due: Column, seconds: int = policies.MINUTE_SECONDS) -> DataFrame:
+    """MISSING windows: expected, due and not known. ``known`` has one row per reported (scope, window).
+
+    Expected are the windows inside a scope's monitored ranges and, for a scope without any, all after its first
+    known one.
+    """
+    declared = ledger(ranges, known, seconds).where(shift(F.col("window_start"), seconds) <= due)
+    others = known.join(ranges.where(F.col("monitored_from") < F.col("monitored_through")).select("scope_id").distinct(), "scope_id", "left_anti")
+    silent = declared.unionByName(expected_gaps(others, due, seconds))
+    return silent.select("scope_id", "window_start", shift(F.col("window_start"), seconds).alias("window_end"), F.lit("MISSING").alias("quality"))
+
+
+def service_evidence(receipts: DataFrame, catalogue: DataFrame, lateness: str) -> DataFrame:
+    """Each service receipt with the node receipts of its scope and minute and the verdict on each; NODE_MISSING where none came.
+
+    Batch or stream. In a stream both sides carry a watermark, so a service without nodes is told when its minute is evicted. A
+    (scope, minute) has one service and a configured handful of nodes.
+    """
+    services = receipts.where("kind = 'SERVICE'").select(
+        "scope_id", "window_start", F.col("window_end").alias("service_end"), F.col("event_id").alias("service_event")
+    ).withWatermark("service_end", lateness)
+    offered = receipts.where("kind <> 'SERVICE'").withColumns({"for_scope": F.col("scope_id"), "for_window": F.col("window_start")})
+    nodes = node_evidence(offered, catalogue).select(
+        F.col("scope_id").alias("node_scope"), F.col("window_end").alias("node_end"), "node_id", "source_id", F.col("event_id").alias("node_event"), "verdict"
+    ).withWatermark("node_end", lateness)
+    joined = services.join(nodes, (F.col("scope_id") == F.col("node_scope")) & (F.col("service_end") == F.col("node_end")), "leftOuter")
+    return joined.select(
+        "scope_id", "window_start", "service_event", "node_id", "source_id", "node_event", F.coalesce("verdict", F.lit("NODE_MISSING")).alias("verdict"))
+
+
 def bucket_counts(receipts: DataFrame) -> DataFrame:
     return receipts.groupBy(*KEY).agg(F.count("*").alias("accepted_input_count"))
 

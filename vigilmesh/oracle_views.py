@@ -175,7 +175,9 @@ FROM nation, (SELECT unnest(['in', 'out']) AS direction) d""",
         """
 SELECT 'ROOT' AS node_id, CAST(NULL AS VARCHAR) AS parent_id, 'COUNTRY' AS node_type
 UNION ALL SELECT 'R' || r_regionkey, 'ROOT', 'REGION' FROM region
-UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey, 'DISTRICT' FROM nation""",
+UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey, 'DISTRICT' FROM nation
+UNION ALL SELECT 'V' || s_suppkey, CASE s_suppkey % 10 WHEN 4 THEN 'V' || (s_suppkey + 1) WHEN 5 THEN 'V' || (s_suppkey - 1) ELSE 'N' || s_nationkey END, 'SITE' FROM supplier
+UNION ALL SELECT 'K' || c_custkey, CASE WHEN c_custkey % 50 BETWEEN 21 AND 28 THEN 'K' || (c_custkey - 1) ELSE 'N' || c_nationkey END, 'SITE' FROM customer""",
     ),
     "link_inventory": (
         [],

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from vigilmesh.adapters import ARCHIVE_END, ARCHIVE_START, Tables, slot_ts as at_slot
@@ -12,8 +14,9 @@ from vigilmesh.operators import ingest, retention, validation, windows
 from vigilmesh.operators.rollup import ts_lit
 from vigilmesh.oracle_views import slot_ts, sql
 from vigilmesh.plans.common import num, num_sql, when, when_sql
-from vigilmesh.registry import query
-from vigilmesh.sources import archive, labelled, observations, sinks
+from vigilmesh.plans import rollups  # noqa: F401  (its series are exported here)
+from vigilmesh.registry import QUERIES, query
+from vigilmesh.sources import archive, labelled, observations, series_csv, sinks
 
 LO, HI = f"TIMESTAMP '{ARCHIVE_START}'", f"TIMESTAMP '{ARCHIVE_END}'"
 
@@ -502,6 +505,40 @@ def csv_export(t: Tables):
     return rows.select(sinks.csv_lines(rows).alias("line"))
 
 
+def _cell(x: str) -> str:
+    return f"""coalesce('"' || replace(CAST({x} AS VARCHAR), '"', '""') || '"', '')"""
+
+
+_FIXED = {"datasetId": "archive", "domain": "VOLTE", "metric": "volte.setup.success", "scopeType": "CITY", "resolution": "1h", "unit": "PERCENT",
+          "aggregation": "RATIO_OF_SUMS", "policyVersion": "kpi-v1", "topologyVersion": "t \"1\"", "sourceResolutionSeconds": 300, "synthetic": True, "partialStart": False,
+          "partialEnd": False, "requestedFrom": datetime.fromisoformat(ARCHIVE_START), "requestedTo": datetime.fromisoformat(ARCHIVE_END), "expectedSlots": 12}
+_POINT_SQL = {
+    **{k: f"'{v}'" for k, v in _FIXED.items() if isinstance(v, str)}, "sourceResolutionSeconds": "300", "synthetic": "'true'", "partialStart": "'false'", "partialEnd": "'false'",
+    "requestedFrom": f"'{ARCHIVE_START.replace(' ', 'T')}Z'", "requestedTo": f"'{ARCHIVE_END.replace(' ', 'T')}Z'", "expectedSlots": "12", "scopeId": "scope_id",
+    "from": "replace(bucket_start, ' ', 'T') || 'Z'", "to": "strftime(CAST(bucket_start AS TIMESTAMP) + INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M:%SZ')", "value": "CAST(value AS DECIMAL(20, 6))",
+    "coverage": "CAST(coverage AS DECIMAL(20, 6))", "quality": "quality", "numerator": "numerator", "denominator": "denominator", "nullReason": "null_reason", "qualityReason": "quality_reason",
+    "receivedSlots": "received_slots", "projectionIds": "'null'",
+    "provenance": "CASE WHEN received_slots > 0 THEN '{\"kind\":\"stored\",\"reason\":' || coalesce('\"' || quality_reason || '\"', 'null') || '}' ELSE 'null' END",
+    "histogramCounts": "CASE WHEN denominator > 0 THEN '[' || numerator || ',' || denominator || ']' ELSE 'null' END", "histogramEdges": "'null'"}
+
+
+@query(
+    "src_22_series_export_fixed_layout",
+    f"SELECT scope_id, bucket_start, {' || chr(44) || '.join(_cell(_POINT_SQL.get(c, 'NULL')) for c in series_csv.COLUMNS)} AS line FROM ({QUERIES['agg_10_stored_ratio_series_full_grid'].oracle}) s",
+)
+def series_export(t: Tables):
+    rows = QUERIES["agg_10_stored_ratio_series_full_grid"].build(t)
+    start = F.col("bucket_start").cast("timestamp")
+    reason = F.col("quality_reason")
+    rows = rows.withColumns({
+        "scopeId": F.col("scope_id"), "from": start, "to": start + F.expr("INTERVAL 1 HOUR"), "value": F.col("value").cast("decimal(20,6)"), "coverage": F.col("coverage").cast("decimal(20,6)"),
+        "nullReason": F.col("null_reason"), "qualityReason": reason, "receivedSlots": F.col("received_slots"),
+        "provenance": F.when(F.col("received_slots") > 0, F.struct(F.lit("stored").alias("kind"), reason.alias("reason"))),
+        "histogramCounts": F.when(F.col("denominator") > 0, F.array("numerator", "denominator"))})
+    laid = series_csv.points(rows, **_FIXED)
+    return laid.select(F.col("scopeId").alias("scope_id"), when(F.col("from"), "bucket_start"), series_csv.lines(laid).alias("line"))
+
+
 @query(
     "src_23_primitive_json_lines",
     sql(
@@ -638,6 +675,24 @@ def node_verdicts(t: Tables):
     return windows.node_evidence(rows, t.catalogue).select("event_id", "verdict")
 
 
+@query(
+    "jon_02_service_evidence",
+    sql(
+        f"""
+SELECT s.scope_id, {when_sql("s.window_start")} AS window_start, s.event_id AS service_event, n.event_id AS node_event, coalesce(n.verdict, 'NODE_MISSING') AS verdict
+FROM (SELECT * FROM obs_metrics WHERE kind = 'SERVICE') s LEFT JOIN (
+  SELECT m.*, CASE WHEN kind <> 'NODE' THEN 'NOT_NODE' WHEN c.scope_id IS NULL THEN 'UNAPPROVED_DEPENDENCY' WHEN quality <> 'COMPLETE' THEN 'QUALITY_INELIGIBLE'
+    WHEN m.event_id % 37 = 0 THEN 'MEASUREMENT_MISSING' ELSE 'ACCEPTED' END AS verdict
+  FROM obs_metrics m LEFT JOIN catalogue c ON c.role = 'NODE' AND c.scope_id = m.scope_id AND c.node_id = m.node_id AND c.source_id = m.source_id
+  WHERE kind <> 'SERVICE') n ON n.scope_id = s.scope_id AND n.window_end = s.window_end""",
+        "obs_metrics", "catalogue",
+    ),
+)
+def service_evidence(t: Tables):
+    rows = t.obs_metrics.withColumns({n: F.expr(f"CASE WHEN event_id % 37 <> 0 THEN {n} END") for n in NODE_FIELDS})
+    return windows.service_evidence(rows, t.catalogue, "10 seconds").select("scope_id", when("window_start"), "service_event", "node_event", "verdict")
+
+
 def finalized(t: Tables):
     return windows.finalize(windows.approve_nodes(accepted(t), t.catalogue), NODES, SERVICE_FIELDS, NODE_FIELDS)
 
@@ -704,6 +759,13 @@ SELECT 'S' || s AS scope_id, TIMESTAMP '2024-01-02 00:00:00' + to_days(CAST(s AS
   TIMESTAMP '2024-01-02 00:00:00' + to_days(CAST(s AS INT)) + to_days(CAST(r * 5 + 6 AS INT)) AS monitored_through FROM range(10) t(s), range(3) u(r)"""
 
 
+def monitored(t: Tables):
+    return t.spark.range(30).selectExpr(
+        "concat('S', id % 10) AS scope_id",
+        "timestampadd(DAY, CAST(id % 10 + (id DIV 10) * 5 AS INT), timestamp'2024-01-02 00:00:00') AS monitored_from",
+        "timestampadd(DAY, CAST(id % 10 + (id DIV 10) * 5 + 6 AS INT), timestamp'2024-01-02 00:00:00') AS monitored_through")
+
+
 @query(
     "str_05_monitored_range_ledger",
     sql(
@@ -714,11 +776,23 @@ WHERE NOT EXISTS (SELECT 1 FROM kpi_hour k WHERE k.scope_id = e.scope_id AND k.w
     ),
 )
 def ledger(t: Tables):
-    ranges = t.spark.range(30).selectExpr(
-        "concat('S', id % 10) AS scope_id",
-        "timestampadd(DAY, CAST(id % 10 + (id DIV 10) * 5 AS INT), timestamp'2024-01-02 00:00:00') AS monitored_from",
-        "timestampadd(DAY, CAST(id % 10 + (id DIV 10) * 5 + 6 AS INT), timestamp'2024-01-02 00:00:00') AS monitored_through")
-    return windows.ledger(ranges, t.kpi_hour, 3600).select("scope_id", when("window_start"))
+    return windows.ledger(monitored(t), t.kpi_hour, 3600).select("scope_id", when("window_start"))
+
+
+@query(
+    "str_04_silent_windows",
+    sql(
+        f"""
+SELECT scope_id, {when_sql("g")} AS window_start, {when_sql("g + INTERVAL 1 HOUR")} AS window_end, 'MISSING' AS quality FROM (
+  SELECT DISTINCT scope_id, unnest(generate_series(monitored_from, monitored_through - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS g FROM ranges WHERE scope_id <> 'S3'
+  UNION ALL SELECT scope_id, unnest(generate_series(lo, TIMESTAMP '2024-01-31 00:00:00', INTERVAL 1 HOUR)) FROM (SELECT scope_id, min(window_start) AS lo FROM kpi_hour WHERE scope_id = 'S3' OR scope_id NOT IN (SELECT scope_id FROM ranges) GROUP BY 1)) e
+WHERE g + INTERVAL 1 HOUR <= TIMESTAMP '2024-01-31 01:00:00' AND NOT EXISTS (SELECT 1 FROM kpi_hour k WHERE k.scope_id = e.scope_id AND k.window_start = e.g)""",
+        "kpi_hour", ranges=_RANGES,
+    ),
+)
+def silent(t: Tables):
+    return windows.silent_windows(t.kpi_hour, monitored(t).where("scope_id <> 'S3'"), ts_lit("2024-01-31 01:00:00"), 3600).select(
+        "scope_id", when("window_start"), when("window_end"), "quality")
 
 
 @query(

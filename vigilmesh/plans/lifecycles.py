@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vigilmesh.adapters import ARCHIVE_END, ARCHIVE_START, Tables, slot_ts as at_slot
-from vigilmesh.operators import episodes, incidents, serving, topology
+from vigilmesh.dictionary import dictionary_df
+from vigilmesh.operators import episodes, guards, incidents, serving, topology
 from vigilmesh.operators.filters import optional
 from vigilmesh.operators.paging import page
 from vigilmesh.operators.rollup import Request, reference_series, ts_lit
@@ -119,6 +120,57 @@ def replays(t: Tables):
     return episodes.one_per_window(offers, ["scope_id"], "arrival", "fp").select("scope_id", when("window_start"), "conflict")
 
 
+_ARRIVAL = "CAST(epoch(window_start) AS BIGINT) * 10 + CASE WHEN hour(window_start) % 11 = 3 THEN 80000 ELSE 0 END"
+_OFFERS_SQL = f"""
+SELECT scope_id, window_start, window_end, attempts, verdict, CASE WHEN severity = 'CRITICAL' THEN 'CRITICAL' ELSE 'HIGH' END AS severity, backlog_required, drained, o.revision, o.fp AS fingerprint, {_ARRIVAL} + o.d AS arrival
+FROM (SELECT * FROM ({SERIES_EXPR})), (SELECT unnest([0, 1, 2, 3, 40000]) AS d, unnest([1, 1, 1, 2, 1]) AS revision, unnest(['a', 'a', 'b', 'a', 'b']) AS fp) o
+WHERE o.d = 0 OR (o.d = 1 AND hour(window_start) % 5 = 0) OR (o.d IN (2, 40000) AND hour(window_start) % 7 = 1) OR (o.d = 3 AND hour(window_start) % 13 = 2)"""
+_FIRST_SQL = """
+SELECT *, window_start < max(window_end) OVER (PARTITION BY scope_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS late FROM (
+  SELECT scope_id, window_start, revision, fingerprint, any_value(window_end) AS window_end, any_value(verdict) AS verdict, any_value(severity) AS severity, any_value(backlog_required) AS backlog_required,
+    any_value(drained) AS drained, min(arrival) AS arrival, count(*) AS copies FROM offers GROUP BY ALL)"""
+_JUDGED_SQL = """
+SELECT *, CASE WHEN NOT coalesce(late, FALSE) THEN 'COMMITTED' WHEN max(CASE WHEN NOT coalesce(late, FALSE) THEN fingerprint END) OVER (PARTITION BY scope_id, window_start, revision) IS NOT NULL THEN 'CONFLICT' ELSE 'LATE' END AS outcome FROM firsts"""
+OFFERED = {"offers": _OFFERS_SQL, "firsts": _FIRST_SQL, "judged": _JUDGED_SQL}
+
+
+def offers(t: Tables):
+    """Domain windows as delivered: some late by more than a window, some twice, some changed or revised afterwards."""
+    arrival = F.unix_seconds("window_start") * 10 + F.expr("CASE WHEN hour(window_start) % 11 = 3 THEN 80000 ELSE 0 END")
+    kinds = F.expr("""array(named_struct('d', 0L, 'revision', 1L, 'fingerprint', 'a'), named_struct('d', 1L, 'revision', 1L, 'fingerprint', 'a'), named_struct('d', 2L, 'revision', 1L, 'fingerprint', 'b'),
+        named_struct('d', 3L, 'revision', 2L, 'fingerprint', 'a'), named_struct('d', 40000L, 'revision', 1L, 'fingerprint', 'b'))""")
+    rows = domain_series(t).withColumn("o", F.explode(kinds)).where(
+        "o.d = 0 OR (o.d = 1 AND hour(window_start) % 5 = 0) OR (o.d IN (2, 40000) AND hour(window_start) % 7 = 1) OR (o.d = 3 AND hour(window_start) % 13 = 2)")
+    return rows.withColumn("arrival", arrival + F.col("o.d")).select("*", "o.revision", "o.fingerprint").drop("o")
+
+
+@query(
+    "str_14_admitted_windows",
+    sql(f"SELECT scope_id, {when_sql('window_start')} AS window_start, CAST(revision AS BIGINT) AS revision, fingerprint, outcome, copies FROM judged", "kpi_hour", **OFFERED),
+)
+def admitted_windows(t: Tables):
+    return episodes.admitted(offers(t), ["scope_id"]).select("scope_id", when("window_start"), "revision", "fingerprint", "outcome", "copies")
+
+
+def _admitted_machine() -> dict[str, str]:
+    machine = domain_machine(True)
+    return {**OFFERED, **machine, "hours": "SELECT * FROM judged WHERE outcome = 'COMMITTED'"}
+
+
+@query(
+    "str_14_admitted_episode_machine",
+    machine_sql(
+        f"""
+SELECT scope_id, 'TRANSITION' AS outcome, {when_sql('ws')} AS window_start, phase, CAST(seq AS BIGINT) AS sequence, {when_sql('first_at')} AS first_observed_at, shown AS severity FROM machine WHERE phase IS NOT NULL
+UNION ALL SELECT scope_id, outcome, {when_sql('window_start')}, NULL, NULL, NULL, NULL FROM judged WHERE outcome = 'CONFLICT'""",
+        _admitted_machine(),
+    ),
+)
+def admitted_machine(t: Tables):
+    return episodes.admitted_lifecycle(offers(t), ["scope_id"]).select(
+        "scope_id", "outcome", when("window_start"), "phase", "sequence", when("first_observed_at"), "severity")
+
+
 @query(
     "str_16_late_windows_dropped",
     sql(
@@ -290,11 +342,14 @@ def version_resolution(t: Tables):
     return located(t).select("episode_id", "topology_version", "coverage_matches", "matches", "node_id")
 
 
-ANCESTRY_SQL = """
-SELECT n.node_id, CASE n.node_type WHEN 'COUNTRY' THEN n.node_id WHEN 'REGION' THEN 'ROOT/' || n.node_id ELSE 'ROOT/' || n.parent_id || '/' || n.node_id END AS path, TRUE AS complete FROM nodes n"""
+_CLIMB_SQL = """
+SELECT node_id, [node_id] AS path, parent_id AS parent, node_type AS type, 1 AS depth FROM nodes
+UNION ALL SELECT c.node_id, list_prepend(n.node_id, c.path), n.parent_id, n.node_type, c.depth + 1 FROM climb c JOIN nodes n ON n.node_id = c.parent WHERE c.depth < 5 AND NOT list_contains(c.path, n.node_id)"""
+_ANC_SQL = "SELECT node_id, array_to_string(path, '/') AS path, parent IS NULL AND type = 'COUNTRY' AS complete FROM climb QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY depth DESC) = 1"
+ANCESTRY = {"climb": _CLIMB_SQL, "anc": _ANC_SQL}
 
 
-@query("jon_14_recursive_ancestry", sql("SELECT * FROM anc", "nodes", anc=ANCESTRY_SQL))
+@query("jon_14_recursive_ancestry", sql("SELECT * FROM anc", "nodes", recursive=True, **ANCESTRY))
 def ancestry(t: Tables):
     return topology.ancestry(t.nodes).select("node_id", F.array_join("path", "/").alias("path"), "complete")
 
@@ -400,7 +455,7 @@ def priorities(t: Tables):
         """
 SELECT l.episode AS episode_id, CASE WHEN r IS NULL THEN a.path END AS path, r AS null_reason FROM (SELECT *, CASE WHEN matches = 1 AND scope_id = 'S9' THEN 'UNALLOCATED' WHEN topology_version IS NULL THEN 'CAPTURED_VERSION_MISSING' WHEN coverage_matches > 1 THEN 'AMBIGUOUS_CATALOGUE_VERSION'
   WHEN matches = 0 THEN 'BINDING_NOT_FOUND' WHEN matches > 1 THEN 'AMBIGUOUS_CATALOGUE_VERSION' END AS r FROM located) l LEFT JOIN anc a ON a.node_id = CASE WHEN l.matches = 1 THEN l.node_any END""",
-        "nodes", **LOC_VIEWS, anc=ANCESTRY_SQL),
+        "nodes", **LOC_VIEWS, **ANCESTRY),
 )
 def location(t: Tables):
     j = located(t).join(topology.ancestry(t.nodes), "node_id", "left")
@@ -465,6 +520,68 @@ def guarded_series(t: Tables):
     return publish(reference_series(t.city_facts, t.cities, ["volte.setup.success", "sms.queue", "volte.setup.p95"], _Q10))
 
 
+_REQUESTS_SQL = f"""
+SELECT c.scope_id || '/' || k.fault AS request_id, CASE k.fault WHEN 'dataset' THEN 'other' ELSE 'archive' END AS dataset_id, CASE WHEN k.fault = 'domain' THEN 'SMS' WHEN starts_with(k.metric, 'roaming') THEN 'ROAMING' ELSE 'VOLTE' END AS domain, k.metric AS metric_id,
+  CASE WHEN k.fault = 'scope' THEN c.scope_id || '?' WHEN starts_with(k.metric, 'roaming') THEN 'N1-DEMO-01:in' ELSE c.scope_id END AS scope_id, CASE k.fault WHEN 'buckets' THEN '1s' WHEN 'hours' THEN '1h' ELSE '5m' END AS resolution,
+  TIMESTAMP '{ARCHIVE_START}' - CASE k.fault WHEN 'early' THEN INTERVAL 5 MINUTE ELSE INTERVAL 0 MINUTE END AS requested_from, TIMESTAMP '{ARCHIVE_END}' AS requested_to
+FROM cities c, (SELECT unnest(['none', 'hours', 'dataset', 'domain', 'metric', 'scope', 'buckets', 'early', 'direction', 'mixed', 'contract', 'resolution']) AS fault,
+  unnest(['volte.attempts', 'volte.established', 'volte.attempts', 'volte.attempts', 'volte.none', 'volte.attempts', 'volte.attempts', 'volte.attempts', 'roaming.activeOutbound', 'volte.drop.rate', 'volte.handover.success', 'volte.abnormalReleases']) AS metric) k"""
+_SHAPES_SQL = """
+SELECT city_id AS scope_id, ts, m.metric AS metric_id, CASE WHEN m.metric = 'volte.drop.rate' AND slot % 50 = 0 THEN 'RATIO' ELSE m.unit END AS unit, m.aggregation,
+  CASE m.metric WHEN 'volte.handover.success' THEN 'kpi-v0' ELSE 'kpi-v1' END AS policy_version, 't1' AS topology_version, CASE m.metric WHEN 'volte.abnormalReleases' THEN 60 ELSE 300 END AS seconds
+FROM city5m, (SELECT unnest(['volte.attempts', 'volte.established', 'volte.drop.rate', 'volte.handover.success', 'volte.abnormalReleases']) AS metric, unnest(['COUNT', 'COUNT', 'PERCENT', 'PERCENT', 'COUNT']) AS unit,
+  unnest(['COUNT_SUM', 'COUNT_SUM', 'RATIO_OF_SUMS', 'RATIO_OF_SUMS', 'COUNT_SUM']) AS aggregation) m"""
+
+
+def series_requests(t: Tables):
+    """Twelve requests per city, one for each guard and two that pass."""
+    kinds = [("none", "volte.attempts"), ("hours", "volte.established"), ("dataset", "volte.attempts"), ("domain", "volte.attempts"), ("metric", "volte.none"),
+             ("scope", "volte.attempts"), ("buckets", "volte.attempts"), ("early", "volte.attempts"), ("direction", "roaming.activeOutbound"),
+             ("mixed", "volte.drop.rate"), ("contract", "volte.handover.success"), ("resolution", "volte.abnormalReleases")]
+    offered = F.array(*[F.struct(F.lit(f).alias("fault"), F.lit(m).alias("metric")) for f, m in kinds])
+    return t.cities.withColumn("k", F.explode(offered)).selectExpr(
+        "concat(scope_id, '/', k.fault) AS request_id", "IF(k.fault = 'dataset', 'other', 'archive') AS dataset_id",
+        "CASE WHEN k.fault = 'domain' THEN 'SMS' WHEN startswith(k.metric, 'roaming') THEN 'ROAMING' ELSE 'VOLTE' END AS domain", "k.metric AS metric_id",
+        "CASE WHEN k.fault = 'scope' THEN concat(scope_id, '?') WHEN startswith(k.metric, 'roaming') THEN 'N1-DEMO-01:in' ELSE scope_id END AS scope_id",
+        "CASE k.fault WHEN 'buckets' THEN '1s' WHEN 'hours' THEN '1h' ELSE '5m' END AS resolution",
+        f"timestampadd(MINUTE, IF(k.fault = 'early', -5, 0), timestamp'{ARCHIVE_START}') AS requested_from", f"timestamp'{ARCHIVE_END}' AS requested_to")
+
+
+def metric_shapes(t: Tables):
+    """Stored metric windows with their contract; some metrics break it, one only at times."""
+    metrics = [("volte.attempts", "COUNT", "COUNT_SUM"), ("volte.established", "COUNT", "COUNT_SUM"), ("volte.drop.rate", "PERCENT", "RATIO_OF_SUMS"),
+               ("volte.handover.success", "PERCENT", "RATIO_OF_SUMS"), ("volte.abnormalReleases", "COUNT", "COUNT_SUM")]
+    kinds = F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(u).alias("unit"), F.lit(a).alias("aggregation")) for m, u, a in metrics])
+    return t.city5m.withColumn("m", F.explode(kinds)).selectExpr(
+        "'archive' AS dataset_id", "city_id AS scope_id", "ts AS bucket_start", "m.metric AS metric_id",
+        "IF(m.metric = 'volte.drop.rate' AND slot % 50 = 0, 'RATIO', m.unit) AS unit", "m.aggregation",
+        "IF(m.metric = 'volte.handover.success', 'kpi-v0', 'kpi-v1') AS policy_version", "'t1' AS topology_version",
+        "IF(m.metric = 'volte.abnormalReleases', 60, 300) AS source_resolution_seconds")
+
+
+@query(
+    "qry_10_series_guards",
+    sql(
+        """
+SELECT r.request_id, CASE WHEN resolution = '1s' THEN 'TOO_MANY_BUCKETS' WHEN d.metric IS NULL THEN 'UNKNOWN_METRIC' WHEN dataset_id <> 'archive' THEN 'UNKNOWN_DATASET' WHEN r.request_id LIKE '%/early' THEN 'OUTSIDE_HISTORY'
+    WHEN NOT starts_with(r.metric_id, 'roaming') AND r.scope_id NOT IN (SELECT scope_id FROM cities) THEN 'UNKNOWN_SCOPE' WHEN r.metric_id = 'roaming.activeOutbound' THEN 'SNAPSHOT_DIRECTION'
+    WHEN s.shapes > 1 THEN 'MIXED_SHAPES' WHEN s.policy <> 'kpi-v1' OR s.seconds <> 300 THEN 'CONTRACT_MISMATCH' END AS reason, coalesce(s.windows, 0) AS windows
+FROM requests r LEFT JOIN (SELECT unnest(['volte.attempts', 'volte.established', 'volte.drop.rate', 'volte.handover.success', 'volte.abnormalReleases', 'roaming.activeOutbound']) AS metric, unnest(['VOLTE', 'VOLTE', 'VOLTE', 'VOLTE', 'VOLTE', 'ROAMING']) AS dom) d
+  ON d.metric = r.metric_id AND d.dom = r.domain
+LEFT JOIN (SELECT scope_id, metric_id, count(DISTINCT (unit, aggregation, policy_version, topology_version, seconds)) AS shapes, min(policy_version) AS policy, min(seconds) AS seconds, count(*) AS windows FROM shapes GROUP BY 1, 2) s
+  ON s.scope_id = r.scope_id AND s.metric_id = r.metric_id AND r.dataset_id = 'archive'""",
+        "city5m", "cities", requests=_REQUESTS_SQL, shapes=_SHAPES_SQL,
+    ),
+)
+def series_guards(t: Tables):
+    datasets = t.spark.createDataFrame(
+        [("archive", 300, ARCHIVE_START, ARCHIVE_END)], "dataset_id string, source_resolution_seconds int, available_from string, available_to string"
+    ).withColumns({c: F.col(c).cast("timestamp") for c in ("available_from", "available_to")})
+    scopes = t.cities.unionByName(t.partners.select("scope_id")).withColumn("topology_version", F.lit("t1"))
+    judged = guards.judge(series_requests(t), metric_shapes(t), datasets, scopes, dictionary_df(t.spark))
+    return judged.select("request_id", "reason", "windows")
+
+
 @query(
     "qry_11_snapshots_at_instant",
     sql(

@@ -19,6 +19,9 @@ MAX_SAFE_COUNTER = 9_007_199_254_740_991
 OPEN_AFTER_BREACHED = 2
 RECOVER_AFTER_HEALTHY = 3
 
+#: How long a machine knows the content of the windows it has taken.
+FINGERPRINTS_REMEMBERED_SECONDS = 7 * 86400
+
 # Voice setup rule.
 VOICE = {
     "min_attempts": 100,

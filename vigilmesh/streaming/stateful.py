@@ -64,63 +64,87 @@ def episodes(windows: DataFrame, domain: bool = False, keys: tuple[str, ...] = (
         EpisodeProcessor(domain, tuple(keys)), f"{named}, {TRANSITION}", "Append", "None")
 
 
-RECEIPT_OUT = (
-    "scope_id string, window_start timestamp, event_id string, source_id string, kind string, content_hash string, "
-    "arrival bigint, outcome string"
+ADMITTED = (
+    "outcome string, window_start timestamp, revision bigint, fingerprint string, phase string, sequence bigint, "
+    "first_observed_at timestamp, severity string"
 )
+_ADMITTED = [c.split()[0] for c in ADMITTED.split(", ")]
 
 
-class DeliveryProcessor(StatefulProcessor):
-    """Accepts, de-duplicates and rejects the deliveries of one (scope, minute) in arrival order.
+class AdmissionProcessor(StatefulProcessor):
+    """A domain machine per identity that knows what it has taken: replays yield nothing, changed content yields one conflict.
 
-    State lives per minute and is dropped once event time has passed the minute's closure for good.
-    An event id reused in another minute has another key; the batch reconciliation finds those.
+    A window that starts before the end of the last one taken is late and ignored. Fingerprints are kept per
+    window and revision until the machine is ``remembered`` seconds further.
     """
 
+    def __init__(self, keys: tuple[str, ...], remembered: int):
+        self.keys, self.remembered = keys, remembered
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.ids = handle.getMapState("ids", "event_id string", "content_hash string")
-        self.natural = handle.getMapState("natural", "source_id string, kind string", "event_id string")
+        self.store = handle.getValueState("episode", EPISODE_STATE)
+        self.taken = handle.getMapState("taken", "window_start bigint, revision bigint", "fingerprint string, conflicts array<string>")
+        self.swept = handle.getValueState("swept", "upto bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("arrival")
-        outcomes = []
-        for row in batch.itertuples(index=False):
-            natural = (row.source_id, row.kind)
-            if self.ids.containsKey((row.event_id,)):
-                same = self.ids.getValue((row.event_id,))[0] == row.content_hash
-                outcomes.append("DUPLICATE" if same else "EVENT_ID_CONFLICT")
-            elif self.natural.containsKey(natural):
-                outcomes.append("NATURAL_KEY_CONFLICT")
-            elif row.late:
-                outcomes.append("LATE_OBSERVATION")
-            else:
-                self.ids.updateValue((row.event_id,), (row.content_hash,))
-                self.natural.updateValue(natural, (row.event_id,))
-                outcomes.append("ACCEPTED")
-        closure = int(pd.Timestamp(batch["window_end"].iloc[0]).timestamp() * 1000)
-        self.handle.registerTimer(closure + 1000 * 3600)
-        batch["outcome"] = outcomes
-        columns = [c.split()[0] for c in RECEIPT_OUT.split(", ")]
-        yield batch.assign(scope_id=key[0], window_start=key[1])[columns]
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.ids.clear()
-        self.natural.clear()
-        return iter(())
+        names = [f.name for f in fields(Episode)]
+        known = self.store.get() if self.store.exists() else None
+        state = Episode(**dict(zip(names, known))) if known else Episode()
+        # A copy of a copy says nothing new: the earliest delivery of each content is enough.
+        frames = [f.sort_values("arrival").drop_duplicates(["start_s", "revision", "fingerprint"]) for f in rows]
+        offers = pd.concat(frames).sort_values("arrival").drop_duplicates(["start_s", "revision", "fingerprint"])
+        out = []
+        for row in offers.itertuples(index=False):
+            at, start = (int(row.start_s), int(row.revision)), pd.Timestamp(row.start_s, unit="s")
+            if self.taken.containsKey(at):
+                fingerprint, conflicts = self.taken.getValue(at)
+                conflicts = list(conflicts if conflicts is not None else [])
+                if row.fingerprint != fingerprint and row.fingerprint not in conflicts:
+                    self.taken.updateValue(at, (fingerprint, [*conflicts, row.fingerprint]))
+                    out.append((*key, "CONFLICT", start, at[1], row.fingerprint, None, None, None, None))
+                continue
+            if state.end is not None and row.start_s < state.end:
+                continue
+            drained = None if pd.isna(row.drained) else bool(row.drained)
+            step = domain_step(state, int(row.start_s), int(row.end_s), row.verdict, row.severity, bool(row.backlog_required), drained)
+            self.taken.updateValue(at, (row.fingerprint, []))
+            if step:
+                phase, sequence, first, severity = step
+                out.append((*key, "TRANSITION", start, at[1], row.fingerprint, phase, sequence, pd.Timestamp(first, unit="s"), severity))
+        self.store.update(astuple(state))
+        self._forget(state.end)
+        frame = pd.DataFrame(out, columns=[*self.keys, *_ADMITTED])
+        yield frame.astype({"window_start": "datetime64[ns]", "first_observed_at": "datetime64[ns]", "sequence": "Int64", "revision": "Int64"})
+
+    def _forget(self, end: int | None) -> None:
+        """Drops old fingerprints, a share of the time at once: each is looked at a few times only."""
+        if end is None:
+            return
+        floor, swept = end - self.remembered, self.swept.get()[0] if self.swept.exists() else None
+        if swept is None:
+            self.swept.update((floor,))
+        elif floor - swept >= self.remembered // 4:
+            for at in [k for k in self.taken.keys() if k[0] < floor]:
+                self.taken.removeKey(tuple(at))
+            self.swept.update((floor,))
 
     def close(self) -> None:
         pass
 
 
-def deliveries(receipts: DataFrame) -> DataFrame:
-    """Outcome of each streamed receipt. ``late`` is decided by receipt time before state is consulted."""
-    from vigilmesh.operators.ingest import is_late
+def admitted_episodes(
+    offers: DataFrame, keys: tuple[str, ...] = ("scope_id",), remembered: int = policies.FINGERPRINTS_REMEMBERED_SECONDS
+) -> DataFrame:
+    """Transitions and conflicts of a stream of delivered domain windows: the streamed ``episodes.admitted_lifecycle``.
 
-    rows = receipts.withColumn("late", is_late()).withWatermark("window_end", "10 minutes")
-    rows = rows.select("scope_id", "window_start", "window_end", "event_id", "source_id", "kind", "content_hash", "arrival", "late")
-    return rows.groupBy("scope_id", "window_start").transformWithStateInPandas(
-        DeliveryProcessor(), RECEIPT_OUT, "Append", "EventTime")
+    ``outcome`` is TRANSITION, with the phase and what belongs to it, or CONFLICT: a window and revision that was taken before came with
+    another ``fingerprint``, told once per content. Offers are applied by ``arrival``.
+    """
+    rows = offers.withColumn("start_s", F.unix_seconds("window_start")).withColumn("end_s", F.unix_seconds("window_end"))
+    keep = [*keys, "start_s", "end_s", "revision", "fingerprint", "arrival", "verdict", "severity", "backlog_required", "drained"]
+    named = ", ".join(f"{k} {offers.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.select(*keep).groupBy(*keys).transformWithStateInPandas(
+        AdmissionProcessor(tuple(keys), remembered), f"{named}, {ADMITTED}", "Append", "None")
 
 
 LATENESS = f"{policies.ALLOWED_LATENESS_SECONDS} seconds"
