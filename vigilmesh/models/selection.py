@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilmesh.functions.arithmetic import divide
 from vigilmesh.operators.evaluation import rates
+from vigilmesh.session import cut_lineage
 
 
 def threshold_counts(scored: DataFrame, keys: list[str], thresholds: list[float]) -> DataFrame:
@@ -31,12 +32,12 @@ def threshold_counts(scored: DataFrame, keys: list[str], thresholds: list[float]
     return rates(totals.drop("position"))
 
 
-def choose_within_budget(candidates: DataFrame, budget: float) -> DataFrame:
-    """Best candidate whose false-positive rate fits: recall, then precision, then few alarms, then threshold."""
+def choose_within_budget(candidates: DataFrame, budget: float, names: tuple[str, ...] = ()) -> DataFrame:
+    """Best candidate whose false-positive rate fits: recall, then precision, then few alarms, then threshold, then the last by name."""
     rate = divide(F.col("fp"), F.col("fp") + F.col("tn"))
     fit = candidates.withColumn("fp_rate", rate).where(F.col("fp_rate") <= budget)
     order = F.struct(
-        F.col("recall"), F.coalesce("precision", F.lit(0.0)), -F.col("fp_rate"), F.col("threshold"))
+        F.col("recall"), F.coalesce("precision", F.lit(0.0)), -F.col("fp_rate"), F.col("threshold"), *names)
     columns = fit.columns
     return fit.agg(F.max_by(F.struct(*columns), order).alias("best")).where(F.col("best").isNotNull()).select("best.*")
 
@@ -106,8 +107,6 @@ def greedy_match(pairs: DataFrame) -> DataFrame:
     until no pair is left. Each round is two aggregates and two anti joins, so no key's pairs ever meet
     in one task.
     """
-    from vigilmesh.session import cut_lineage
-
     order = F.struct((-F.col("overlap")).alias("o"), F.col("detected_s"), F.col("detected_id"), F.col("truth_id"))
     left = cut_lineage(pairs.withColumn("o", order))
     won = None
@@ -136,6 +135,99 @@ def match_summary(truth: DataFrame, detected: DataFrame, pairs: DataFrame, match
     return j.withColumn("fp", F.col("detected_episodes") - F.col("tp")).withColumn("fn", F.col("truth_episodes") - F.col("tp"))
 
 
+#: What two episodes must agree on, seconds of a cell of time, and the pairs of a cluster that are settled in one pass.
+COMPATIBLE = ["group", "domain", "scope", "family"]
+CELL, SETTLED = 3600, 5000
+
+
+def candidate_pairs(truth: DataFrame, detected: DataFrame, tolerance: float, keys: list[str] = COMPATIBLE) -> DataFrame:
+    """Pairs of compatible episodes that overlap, or miss each other by less than the tolerance, with the ``cluster`` they are in.
+
+    Episodes: id, start_s, end_s and the keys; truth also first_finalized_s and recovered_s, detections detected_s and recovered_s, which
+    may be null. Episodes are cut into cells of time and a pair is found in the first cell both are in. Neighbouring cells that an
+    episode spans are one cluster: pairs of different clusters share no episode. Clusters come from one row per key and cell, as many as the
+    calendar has. A null key is compatible with nothing.
+    """
+
+    def cut(df: DataFrame, pad: float) -> DataFrame:
+        low, high = F.floor((F.col("start_s") - pad) / CELL), F.floor((F.col("end_s") + pad) / CELL)
+        return df.withColumns({"low": low, "high": high}).withColumn("cell", F.explode(F.sequence("low", "high")))
+
+    t = cut(truth.select(*keys, F.col("id").alias("truth_id"), F.col("start_s").alias("t_start"), F.col("end_s").alias("t_end"), "first_finalized_s",
+                         F.col("recovered_s").alias("t_recovered"), "start_s", "end_s"), tolerance).drop("start_s", "end_s")
+    d = cut(detected.select(*keys, F.col("id").alias("detected_id"), "start_s", "end_s", "detected_s", F.col("recovered_s").alias("d_recovered")), 0.0)
+    spans = t.select(*keys, "cell", "high").unionByName(d.select(*keys, "cell", "high")).groupBy(*keys, "cell").agg(F.max("high").alias("high"))
+    order = Window.partitionBy(*keys).orderBy("cell")
+    reached = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = spans.withColumn("first", F.when(reached.isNull() | (reached < F.col("cell")), F.col("cell"))).select(
+        *keys, "cell", F.last("first", ignorenulls=True).over(order).alias("cluster"))
+    overlap = F.least("t_end", "end_s") - F.greatest("t_start", "start_s")
+    found = t.join(d.withColumnsRenamed({"low": "d_low", "high": "d_high"}), [*keys, "cell"])
+    found = found.where((F.col("cell") == F.greatest("low", "d_low")) & (overlap > -tolerance))
+    return found.join(runs, [*keys, "cell"]).select(
+        *keys, "cluster", "truth_id", "detected_id", F.greatest(overlap, F.lit(0.0)).alias("overlap"), "detected_s",
+        (F.col("detected_s") - F.col("t_start")).alias("detection_delay"), (F.col("detected_s") - F.col("first_finalized_s")).alias("finalized_delay"),
+        (F.col("d_recovered") - F.col("t_recovered")).alias("recovery_delay"), F.col("d_recovered").isNull().alias("recovery_unobserved"))
+
+
+def match_episodes(pairs: DataFrame, keys: list[str] = COMPATIBLE, at_once: int = SETTLED) -> DataFrame:
+    """The pairs that greedy matching takes: largest overlap first, then earliest detection, then by ids, each episode at most once.
+
+    A cluster of up to ``at_once`` pairs is settled in one pass over its sorted pairs, as no other cluster shares an episode with it.
+    Larger ones, such as a key with a third of all episodes without a pause, go through rounds in which no cluster meets in
+    one task.
+    """
+    sizes = pairs.groupBy(*keys, "cluster").agg(F.count("*").alias("pairs"))
+    sized = cut_lineage(pairs.join(sizes, [*keys, "cluster"]))
+    small, large = sized.where(F.col("pairs") <= at_once).drop("pairs"), sized.where(F.col("pairs") > at_once).drop("pairs")
+
+    def settle(frames):
+        here, taken = None, set()
+        for frame in frames:
+            won = []
+            for cluster, t, d in zip(zip(*[frame[k] for k in (*keys, "cluster")]), frame["truth_id"], frame["detected_id"]):
+                if cluster != here:
+                    here, taken = cluster, set()
+                won.append(("t", t) not in taken and ("d", d) not in taken)
+                if won[-1]:
+                    taken |= {("t", t), ("d", d)}
+            yield frame[won]
+
+    order = [*keys, "cluster", F.desc("overlap"), "detected_s", "detected_id", "truth_id"]
+    matched = small.repartition(*keys, "cluster").sortWithinPartitions(*order).mapInPandas(settle, small.schema)
+    if large.isEmpty():
+        return matched
+    rounds = greedy_match(large.withColumn("match_key", F.struct(*keys)))
+    return matched.unionByName(rounds.select(*small.columns))
+
+
+def matching_report(truth: DataFrame, detected: DataFrame, pairs: DataFrame, matched: DataFrame, by: list[str]) -> DataFrame:
+    """tp, fp, fn, precision, recall, duplicates, unobserved recoveries and mean delays per ``by``, some of the keys.
+
+    Precision is null without detections and recall without truth. A duplicate is an unmatched detection that some compatible true episode
+    overlaps. The delays themselves are the columns of ``matched``, a row per pair. Null keys are a group of their own.
+    """
+    n_t = truth.groupBy(*by).agg(F.count("*").alias("truth_episodes"))
+    n_d = detected.groupBy(*by).agg(F.count("*").alias("detected_episodes"))
+    n_m = matched.groupBy(*by).agg(
+        F.count("*").alias("tp"), F.count_if("recovery_unobserved").alias("recovery_unobserved"), F.avg("detection_delay").alias("mean_detection_delay"),
+        F.avg("finalized_delay").alias("mean_finalized_delay"), F.avg("recovery_delay").alias("mean_recovery_delay"))
+    key = [*dict.fromkeys([*by, "detected_id"])]
+    extra = pairs.select(*key).distinct().join(matched.select(*key), key, "left_anti").groupBy(*by).agg(F.count("*").alias("duplicates"))
+    counts = ["truth_episodes", "detected_episodes", "tp", "recovery_unobserved", "duplicates"]
+    empty = F.lit(0).cast("bigint")
+    frames = [n_t, n_d, n_m, extra]
+    long = None
+    for frame in frames:  # one grouping in place of null-unsafe outer joins
+        full = frame.select(*by, *[(F.col(c) if c in frame.columns else empty).alias(c) for c in counts],
+                            *[(F.col(c) if c in frame.columns else F.lit(None).cast("double")).alias(c) for c in n_m.columns if c.startswith("mean_")])
+        long = full if long is None else long.unionByName(full)
+    whole = long.groupBy(*by).agg(*[F.sum(c).alias(c) for c in counts], *[F.max(c).alias(c) for c in long.columns if c.startswith("mean_")])
+    return whole.withColumns({
+        "fp": F.col("detected_episodes") - F.col("tp"), "fn": F.col("truth_episodes") - F.col("tp"),
+        "precision": divide(F.col("tp"), F.col("detected_episodes")), "recall": divide(F.col("tp"), F.col("truth_episodes"))})
+
+
 def ablation(rows: DataFrame, modes: dict[str, tuple[Column, Column]]) -> DataFrame:
     """Windows metrics of several prediction modes in one pass: (prediction, eligible) per mode."""
     from vigilmesh.operators.evaluation import confusion

@@ -10,7 +10,8 @@ from vigilmesh.adapters import ARCHIVE_END, ARCHIVE_START, Tables, slot_ts as at
 from vigilmesh.dictionary import dictionary_df
 from vigilmesh.functions.fingerprint import content_fingerprint, identity
 from vigilmesh.functions.leakage import json_has_truth
-from vigilmesh.operators import ingest, retention, validation, windows
+from vigilmesh import policies
+from vigilmesh.operators import domain_contract, ingest, retention, validation, windows
 from vigilmesh.operators.rollup import ts_lit
 from vigilmesh.oracle_views import slot_ts, sql
 from vigilmesh.plans.common import num, num_sql, when, when_sql
@@ -453,6 +454,93 @@ def measurements(t: Tables):
     return joined.select("scope_id", "slot", validation.measurement_reason().alias("reason"))
 
 
+# One fault for each rule: which columns it changes, and the reason that the contract must give. The first is no fault.
+_ANY_FAULTS = [
+    ({}, None), ({"dataset_id": "CAST(NULL AS STRING)"}, "SCHEMA"), ({"quality": "'GOOD'"}, "SCHEMA"), ({"coverage": "1.5D"}, "SCHEMA"), ({"source_id": "CAST(NULL AS STRING)"}, "SCHEMA"),
+    ({"window_start": "timestampadd(SECOND, 60, ts)", "window_end": "timestampadd(SECOND, 360, ts)", "emitted_at": "timestampadd(SECOND, 400, ts)"}, "UNALIGNED_INTERVAL"),
+    ({"window_end": "timestampadd(SECOND, 600, ts)", "emitted_at": "timestampadd(SECOND, 700, ts)"}, "UNALIGNED_INTERVAL"), ({"emitted_at": "timestampadd(SECOND, 299, ts)"}, "EVENT_TIME"),
+    ({"emitted_at": "timestamp'2030-01-01 00:00:00'"}, "EVENT_TIME"), ({"source_id": "'a|b'"}, "IDENTITY_DELIMITER"), ({"event_id": "'forged'"}, "IDENTITY"), ({"metric_id": "'none'"}, "UNKNOWN_METRIC"),
+    ({"unit": "'MILES'"}, "DICTIONARY:unit"), ({"policy_version": "'kpi-v0'"}, "DICTIONARY:policy_version"), ({"aggregation_type": "'MEDIAN'"}, "AGGREGATION"),
+    ({"primitives": "map('other', 1D)"}, "PRIMITIVE_FIELDS"), ({"scope_type": "'PLANET'"}, "SCOPE_TYPE"), ({"quality": "'MISSING'", "coverage": "0.5D"}, "MISSING_COVERAGE"),
+    ({"quality": "'MISSING'", "coverage": "0D"}, "MISSING_WITH_EVIDENCE"), ({"coverage": "0D"}, "NO_COVERAGE"), ({"coverage": "0.5D"}, "VALID_NEEDS_FULL_COVERAGE"),
+    ({"quality": "'PARTIAL'"}, "PARTIAL_NEEDS_PARTIAL_COVERAGE"), ({"quality": "'PARTIAL'", "coverage": "0.5D"}, None),
+]
+_RATIO_FAULTS = [
+    ({"primitives": "map('numerator', 1D, 'denominator', CAST(NULL AS DOUBLE))"}, "NULL_PRIMITIVE"), ({"primitives": "map('numerator', -1D, 'denominator', 5D)"}, "NEGATIVE"),
+    ({"primitives": "map('numerator', double('NaN'), 'denominator', 5D)"}, "NOT_FINITE"), ({"primitives": "map('numerator', 6D, 'denominator', 5D)"}, "SUCCESS_EXCEEDS_ATTEMPTS"),
+    ({"primitives": "map('numerator', 0D, 'denominator', 0D)"}, "ZERO_DENOMINATOR"), ({"primitives": "map('numerator', 0D, 'denominator', 0D)", "quality": "'INSUFFICIENT_EVIDENCE'"}, None),
+    ({"primitives": "map('numerator', CAST(NULL AS DOUBLE), 'denominator', CAST(NULL AS DOUBLE))", "quality": "'MISSING'", "coverage": "0D"}, None), ({"quality": "'STALE'"}, "STALE_NEEDS_SNAPSHOT"),
+]
+_TRANSPORT = "named_struct('valid_from', timestampadd(DAY, -1, ts), 'valid_to', timestampadd(DAY, 1, ts))"
+_NO_TRANSPORT = "CAST(NULL AS STRUCT<valid_from: TIMESTAMP, valid_to: TIMESTAMP>)"
+_HISTOGRAM = "named_struct('schema_version', {v}, 'unit', {u}, 'representation', {r}, 'edges', {e}, 'counts', {c})"
+_HIST_PARTS = {"v": "'fixed-edges-v1'", "u": "'SECONDS'", "r": "'COUNTS'", "e": f"array({', '.join(f'{x}D' for x in policies.VOICE_EDGES)})", "c": "array(1L, 2L, 0L, 0L, 0L, 0L, 0L, 0L, bigint(slot))"}
+_histogram = lambda **kw: _HISTOGRAM.format(**_HIST_PARTS | kw)
+_NO_HISTOGRAM = "CAST(NULL AS STRUCT<schema_version: STRING, unit: STRING, representation: STRING, edges: ARRAY<DOUBLE>, counts: ARRAY<BIGINT>>)"
+_WINDOW = {
+    "dataset_id": "'archive'", "source_id": "'src'", "scope_namespace": "'reference'", "window_start": "ts", "window_end": "timestampadd(SECOND, 300, ts)", "emitted_at": "timestampadd(SECOND, 310, ts)",
+    "source_resolution_seconds": "300", "schema_version": "'1'", "catalogue_version": "'c1'", "topology_version": "'t1'", "policy_version": "'kpi-v1'", "quality": "'VALID'", "coverage": "1D",
+    **{c: "CAST(NULL AS STRING)" for c in domain_contract.SCOPE_FIELDS}, "snapshot_at": "CAST(NULL AS TIMESTAMP)", "at": "CAST(NULL AS TIMESTAMP)", "histogram": _NO_HISTOGRAM, "transport": _NO_TRANSPORT,
+    "event_id": "CAST(NULL AS STRING)"}
+_CITY = {"scope_type": "'CITY_SERVICE'", "scope_id": "key", "contract_city_id": "concat('K-', key)"}
+_ROAM = {"domain": "'ROAMING'", "scope_type": "'ROAMING_PROCEDURE'", "scope_id": "'RO-DEMO-01'", "partner_id": "'RO-DEMO-01'", "country_id": "'RO'", "direction": "'in'"}
+#: Windows of each kind: native table, its key, columns, and the faults of its own.
+CONTRACTS = {
+    "ratio": ("city5m", "city_id", {**_CITY, "domain": "'MOBILE_DATA'", "metric_id": "'mobileData.activation.success'", "unit": "'PERCENT'", "aggregation_type": "'RATIO_OF_SUMS'",
+                                    "procedure": "'EPS_BEARER_ACTIVATION'", "access_technology": "'LTE'", "primitives": "map('numerator', 3D, 'denominator', double(5 + data_attempts))"},
+              [*_RATIO_FAULTS, ({"domain": "'VOLTE'"}, "DICTIONARY:domain"), ({"contract_city_id": "CAST(NULL AS STRING)"}, "CITY_BINDING"), ({"procedure": "'DNS'"}, "PROCEDURE"), ({"procedure": "CAST(NULL AS STRING)"}, "PROCEDURE"),
+               ({"access_technology": "'NR'"}, "ACCESS_TECHNOLOGY"), ({"link_id": "'L1'"}, "IRRELEVANT_FIELD:link_id"), ({"partner_id": "'P'"}, "IRRELEVANT_FIELD:partner_id"), ({"transport": _TRANSPORT}, "IRRELEVANT_FIELD:transport")]),
+    "histogram": ("city5m", "city_id", {**_CITY, "domain": "'VOLTE'", "metric_id": "'volte.setup.p95'", "unit": "'SECONDS'", "aggregation_type": "'HISTOGRAM_P95'",
+                                        "primitives": "CAST(map() AS MAP<STRING, DOUBLE>)", "histogram": _histogram()},
+                  [({"histogram": _NO_HISTOGRAM}, "NULL_PRIMITIVE"), ({"histogram": _histogram(v="'v0'")}, "HISTOGRAM_SCHEMA"), ({"histogram": _histogram(u="'MILLISECONDS'")}, "HISTOGRAM_SCHEMA"),
+                   ({"histogram": _histogram(e="array(0.5D, 1D)")}, "HISTOGRAM_EDGES"), ({"histogram": _histogram(e=_HIST_PARTS["e"].replace("60.0D", "61D"))}, "HISTOGRAM_EDGES"), ({"histogram": _histogram(c="array(1L)")}, "HISTOGRAM_COUNTS"),
+                   ({"histogram": _histogram(c="array(-1L, 2L, 0L, 0L, 0L, 0L, 0L, 0L, 1L)")}, "HISTOGRAM_COUNTS"), ({"histogram": _histogram(c="array_repeat(0L, 9)")}, "EMPTY_HISTOGRAM"),
+                   ({"histogram": _histogram(c="array_repeat(0L, 9)"), "quality": "'INSUFFICIENT_EVIDENCE'"}, None), ({"procedure": "'DNS'"}, "IRRELEVANT_FIELD:procedure")]),
+    "weighted": ("link5m", "link_id", {"domain": "'TRANSPORT'", "scope_type": "'LINK_DIRECTION'", "scope_id": "key", "link_id": "key", "direction_id": "'a-to-b'", "transport": _TRANSPORT, "metric_id": "'transport.traffic'",
+                                       "unit": "'GBPS'", "aggregation_type": "'TIME_WEIGHTED_MEAN'", "primitives": "map('weightedSum', 30D, 'validSeconds', 300D)"},
+                 [({"link_id": "'other'"}, "TRANSPORT_SCOPE"), ({"direction_id": "CAST(NULL AS STRING)"}, "TRANSPORT_DIRECTION"), ({"transport": "named_struct('valid_from', timestampadd(SECOND, 1, ts), 'valid_to', timestampadd(DAY, 1, ts))"}, "CAPACITY_INTERVAL"),
+                  ({"transport": "named_struct('valid_from', ts, 'valid_to', timestampadd(SECOND, 299, ts))"}, "CAPACITY_INTERVAL"), ({"transport": _NO_TRANSPORT}, "ABSENT_CAPACITY"),
+                  ({"transport": _NO_TRANSPORT, "quality": "'INSUFFICIENT_EVIDENCE'"}, None), ({"primitives": "map('weightedSum', 30D, 'validSeconds', 0D)"}, "ZERO_WEIGHT"),
+                  ({"primitives": "map('weightedSum', 30D, 'validSeconds', 301D)"}, "WEIGHT_EXCEEDS_DURATION"), ({"contract_city_id": "'C1'"}, "IRRELEVANT_FIELD:contract_city_id")]),
+    "snapshot": ("roam5m", "partner_id", {**_ROAM, "metric_id": "'roaming.activeInbound'", "unit": "'COUNT'", "aggregation_type": "'SNAPSHOT_LAST'", "procedure": "'ACTIVE_USERS'",
+                                          "primitives": "map('value', 7D)", "snapshot_at": "timestampadd(SECOND, 299, ts)"},
+                 [({"snapshot_at": "timestampadd(SECOND, 300, ts)"}, "SAMPLE_OUTSIDE_WINDOW"), ({"snapshot_at": "timestampadd(SECOND, -1, ts)"}, "SAMPLE_OUTSIDE_WINDOW"), ({"snapshot_at": "timestampadd(SECOND, -1, ts)", "quality": "'STALE'"}, None),
+                  ({"snapshot_at": "CAST(NULL AS TIMESTAMP)"}, "NULL_PRIMITIVE"), ({"direction": "'out'"}, "SNAPSHOT_DIRECTION"), ({"country_id": "'IT'"}, "ROAMING_PARTNER"), ({"scope_id": "'IT-DEMO-01'"}, "ROAMING_SCOPE"),
+                  ({"country_id": "CAST(NULL AS STRING)"}, "ROAMING_DIMENSION"), ({"procedure": "'DATA'"}, "PROCEDURE"), ({"access_technology": "'LTE'"}, "IRRELEVANT_FIELD:access_technology")]),
+}
+
+
+def _faults(kind: str) -> list:
+    """Those of every window that this kind can have, and its own."""
+    own = {"histogram": ("primitives",), "snapshot": ()}.get(kind, ())
+    return [f for f in _ANY_FAULTS if not set(f[0]) & set(own)] + CONTRACTS[kind][3]
+
+
+def _contract_sql() -> str:
+    parts = []
+    for kind, (table, key, _, _) in CONTRACTS.items():
+        reasons = ", ".join("NULL" if r is None else f"'{r}'" for _, r in _faults(kind))
+        parts.append(f"SELECT '{kind}' AS kind, {key} AS key, slot, ([{reasons}])[CAST(slot % {len(_faults(kind))} AS INT) + 1] AS reason FROM {table}")
+    return " UNION ALL ".join(parts)
+
+
+@query("src_19_domain_window_contract", sql(_contract_sql(), "city5m", "link5m", "roam5m"))
+def domain_windows(t: Tables):
+    out = None
+    for kind, (table, key, columns, _) in CONTRACTS.items():
+        base, faults = {**_WINDOW, **columns}, _faults(kind)
+        rows = getattr(t, table).withColumn("key", F.col(key)).withColumn("fault", F.expr(f"CAST(slot % {len(faults)} AS INT)"))
+        changed = {}
+        for name, plain in base.items():
+            cases = "".join(f" WHEN {i} THEN {f[name]}" for i, (f, _) in enumerate(faults) if name in f)
+            changed[name] = F.expr(f"CASE fault{cases} ELSE {plain} END" if cases else plain)
+        rows = rows.select(F.lit(kind).alias("kind"), "key", "slot", "fault", *[v.alias(k) for k, v in changed.items()])
+        forged = F.col("event_id").isNotNull()
+        rows = rows.withColumn("event_id", F.when(forged, F.col("event_id")).otherwise(domain_contract.window_identity()))
+        out = rows if out is None else out.unionByName(rows)
+    return domain_contract.judged(out, ts_lit("2027-01-01 00:00:00")).select("kind", "key", "slot", "reason")
+
+
 @query(
     "src_20_evidence_validation",
     sql(

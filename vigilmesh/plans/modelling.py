@@ -37,19 +37,56 @@ def ranked(t: Tables, trees: int = TREES, sample: int = SAMPLE):
     return empirical_rank(scored.where("split <> 'calibration'"), known, "strength")
 
 
-@query("ml_01_isolation_forest_fit")
+def _draw_sql(*parts: str) -> str:
+    return f"CAST(CAST('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0::DOUBLE"
+
+
+def forest_views(trees: int = TREES, sample: int = SAMPLE, seed: int = 7, p: str = "") -> dict[str, str]:
+    """The forest grown by a recursion over levels, and its ranks; ``p`` begins the names of the views."""
+    numbers = range(1, len(FEATURES) + 1)
+    average = f"CASE WHEN n <= 1 THEN 0.0::DOUBLE WHEN n = 2 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * (ln(n - 1.0::DOUBLE) + {forest.EULER}::DOUBLE) - 2.0::DOUBLE * (n - 1.0::DOUBLE) / n END"
+    split = f"""
+SELECT *, lo[f] + {_draw_sql(str(seed + 2), "tree", "node", "'place'")} * (hi[f] - lo[f]) AS threshold FROM (
+  SELECT *, CASE WHEN depth < {forest.depth_limit(sample)} AND len(open) > 0 THEN open[CAST(floor({_draw_sql(str(seed + 2), "tree", "node", "'feature'")} * len(open)) AS INT) + 1] END AS f FROM (
+    SELECT *, [i FOR i IN [{", ".join(map(str, numbers))}] IF hi[i] > lo[i]] AS open FROM (
+      SELECT *, count(*) OVER w AS c, [{", ".join(f"min(x[{i}]) OVER w" for i in numbers)}] AS lo, [{", ".join(f"max(x[{i}]) OVER w" for i in numbers)}] AS hi FROM {p}grow WINDOW w AS (PARTITION BY tree, node))))"""
+    return {
+        f"{p}pool": f"SELECT vec_id, [{', '.join(FEATURES)}] AS x, count(*) OVER () AS total FROM vectors WHERE split = 'train' AND fault = 0",
+        f"{p}rated": f"SELECT *, least(1.0::DOUBLE, rate * {trees} * 2) AS keep FROM (SELECT *, least(1.0::DOUBLE, {float(sample)}::DOUBLE / total) AS rate FROM {p}pool)",
+        f"{p}grow": f"""
+SELECT tree, x, CAST(0 AS BIGINT) AS node, 0 AS depth FROM {p}rated, range({trees}) r(tree) WHERE {_draw_sql(str(seed), "vec_id")} < keep AND {_draw_sql(str(seed + 1), "vec_id", "tree")} < rate / keep
+UNION ALL SELECT tree, x, 2 * node + CASE WHEN x[f] <= threshold THEN 1 ELSE 2 END, depth + 1 FROM ({split}) WHERE f IS NOT NULL""",
+        f"{p}nodes": f"""
+SELECT tree, node, coalesce(f - 1, -1) AS feature, coalesce(threshold, 0) AS threshold, CASE WHEN f IS NULL THEN CAST(floor((depth + {average}) * {float(forest.PARTS)}::DOUBLE + 0.5::DOUBLE) AS BIGINT) ELSE 0 END AS path
+FROM (SELECT DISTINCT tree, node, depth, f, threshold, CAST(c AS DOUBLE) AS n FROM ({split}))""",
+        f"{p}walk": f"""
+SELECT vec_id, [{', '.join(FEATURES)}] AS x, tree, CAST(0 AS BIGINT) AS node FROM vectors, (SELECT DISTINCT tree FROM {p}nodes)
+UNION ALL SELECT w.vec_id, w.x, w.tree, 2 * w.node + CASE WHEN w.x[n.feature + 1] <= n.threshold THEN 1 ELSE 2 END FROM {p}walk w JOIN {p}nodes n ON n.tree = w.tree AND n.node = w.node WHERE n.feature >= 0""",
+        f"{p}scored": f"""
+SELECT v.*, s.strength FROM vectors v JOIN (SELECT vec_id, pow(2.0::DOUBLE, -((sum(path)::DOUBLE / {forest.PARTS} / count(*)) / {forest.average_path(sample)!r}::DOUBLE)) AS strength
+  FROM {p}walk w JOIN {p}nodes n ON n.tree = w.tree AND n.node = w.node AND n.feature < 0 GROUP BY 1) s ON s.vec_id = v.vec_id""",
+        f"{p}known": f"SELECT strength, count(*) AS c FROM {p}scored WHERE split = 'calibration' AND fault = 0 GROUP BY 1",
+        f"{p}ranked": f"SELECT s.*, coalesce((SELECT sum(c) FROM {p}known k WHERE k.strength <= s.strength), 0)::DOUBLE / (SELECT sum(c) FROM {p}known) AS rank FROM {p}scored s WHERE split <> 'calibration'",
+    }
+
+
+def forest_sql(body: str, *views: dict[str, str], **more: str) -> str:
+    return sql(body, "vectors", recursive=True, **{k: v for view in views for k, v in view.items()}, **more)
+
+
+@query("ml_01_isolation_forest_fit", forest_sql(f"SELECT tree, node, feature, {num_sql('threshold')} AS threshold, path FROM nodes", forest_views()))
 def fit(t: Tables):
-    return forest_model(t)
+    return forest_model(t).select("tree", F.col("node").cast("bigint").alias("node"), F.col("feature").cast("bigint").alias("feature"), num("threshold"), "path").withColumn("tree", F.col("tree").cast("bigint"))
 
 
-@query("ml_02_isolation_forest_scores")
+@query("ml_02_isolation_forest_scores", forest_sql(f"SELECT vec_id, split, fault, {num_sql('strength')} AS strength FROM scored", forest_views()))
 def scores(t: Tables):
-    return strengths(t).select("vec_id", "split", "fault", "strength")
+    return strengths(t).select("vec_id", "split", "fault", num("strength"))
 
 
-@query("ml_03_calibrated_anomaly_flags")
+@query("ml_03_calibrated_anomaly_flags", forest_sql(f"SELECT vec_id, split, fault, {num_sql('rank')} AS rank, rank >= 0.975::DOUBLE AS anomaly FROM ranked", forest_views()))
 def flags(t: Tables):
-    return ranked(t).select("vec_id", "split", "fault", "rank", (F.col("rank") >= 0.975).alias("anomaly"))
+    return ranked(t).select("vec_id", "split", "fault", num("rank"), (F.col("rank") >= 0.975).alias("anomaly"))
 
 
 _LONG = " UNION ALL ".join(f"SELECT '{f}' AS feature, CASE WHEN vec_id % 11 <> {i} THEN {f} END AS v FROM vectors" for i, f in enumerate(FEATURES))
@@ -101,7 +138,20 @@ def threshold_grid(t: Tables):
     return out.select("family", position, "tp", "fp", "tn", "fn", *[num(c) for c in RATE_COLUMNS])
 
 
-@query("ml_06_choice_within_budget")
+_GRID_SQL = f"SELECT unnest([{', '.join(f'{x!r}::DOUBLE' for x in GRID)}]) AS threshold"
+_CONFIGS_SQL = "SELECT 'n20-s64' AS config, rank, fault FROM a_ranked WHERE split = 'validation' UNION ALL SELECT 'n40-s128', rank, fault FROM ranked WHERE split = 'validation'"
+
+
+@query(
+    "ml_06_choice_within_budget",
+    forest_sql(
+        f"""
+SELECT config, threshold, {_RATES}, {num_sql("fp_rate")} AS fp_rate FROM (SELECT *, fp::DOUBLE / nullif(fp + tn, 0) AS fp_rate, tp::DOUBLE / nullif(tp + fn, 0) AS r, coalesce(tp::DOUBLE / nullif(tp + fp, 0), 0) AS q FROM (
+  SELECT config, threshold, {_COUNTS.replace("truth", "fault").replace("prediction = 1", "rank >= threshold").replace("prediction = 0", "rank < threshold")} FROM configs, grid GROUP BY 1, 2))
+WHERE fp_rate <= 0.9 ORDER BY r DESC NULLS LAST, q DESC, fp_rate, threshold DESC, config DESC LIMIT 1""",
+        forest_views(20, 64, p="a_"), forest_views(), grid=_GRID_SQL, configs=_CONFIGS_SQL,
+    ),
+)
 def budget_choice(t: Tables):
     configs = None
     for trees, sample in ((20, 64), (40, 128)):
@@ -109,7 +159,8 @@ def budget_choice(t: Tables):
             F.lit(f"n{trees}-s{sample}").alias("config"), F.col("rank").alias("score"), "fault")
         configs = s if configs is None else configs.unionByName(s)
     counted = selection.threshold_counts(configs, ["config"], GRID)
-    return selection.choose_within_budget(counted, 0.9)
+    best = selection.choose_within_budget(counted, 0.9, ("config",))
+    return best.select("config", "threshold", "tp", "fp", "tn", "fn", *[num(c) for c in [*RATE_COLUMNS, "fp_rate"]])
 
 
 @query(
@@ -191,11 +242,76 @@ def episode_pairs(t: Tables):
     return selection.overlap_pairs(truth, found, "g", TOLERANCE).drop("detected_s")
 
 
-@query("ml_09_greedy_episode_matching")
+# One true episode per order; detections follow it by a while, some twice, some never, and some recoveries are not seen. A customer is a group, so
+# groups grow with the orders.
+_START = "(o_orderkey * 977) % 2592000"
+_TRUE = {"group": "concat('G', o_custkey)", "domain": "CASE WHEN o_custkey % 2 = 0 THEN 'VOLTE' ELSE 'SMS' END", "scope": "concat('S', o_custkey % 10)",
+         "family": "CASE WHEN o_orderkey % 3 = 0 THEN 'loss' ELSE 'delay' END"}
+MATCHING_SQL = {
+    "truth": f"""
+SELECT {", ".join(f'{v} AS "{k}"' for k, v in _TRUE.items())}, 't' || o_orderkey AS id, {_START}::DOUBLE AS start_s, {_START} + 600::DOUBLE + o_orderkey % 40000 AS end_s, {_START} + 300::DOUBLE AS first_finalized_s,
+  {_START} + 900::DOUBLE + o_orderkey % 40000 AS recovered_s FROM orders""",
+    "detected": f"""
+SELECT {", ".join(f'{v} AS "{k}"' for k, v in _TRUE.items())}, 'd' || n || '-' || o_orderkey AS id, s AS start_s, s + 900 + o_orderkey % 30000 AS end_s, s + 300 AS detected_s, CASE WHEN o_orderkey % 7 <> 0 THEN s + 1500 + o_orderkey % 30000 END AS recovered_s
+FROM (SELECT *, {_START}::DOUBLE + (o_orderkey * 7919) % 1800 + n * 1200 AS s FROM orders, (SELECT unnest([0, 1]) AS n) WHERE o_orderstatus <> 'P' AND (n = 0 OR o_orderkey % 4 = 0))""",
+    "pairs": f"""
+SELECT t."group", t.domain, t.scope, t.family, t.id AS truth_id, d.id AS detected_id, greatest(least(t.end_s, d.end_s) - greatest(t.start_s, d.start_s), 0) AS overlap, d.detected_s, d.detected_s - t.start_s AS detection_delay,
+  d.detected_s - t.first_finalized_s AS finalized_delay, d.recovered_s - t.recovered_s AS recovery_delay
+FROM truth t JOIN detected d ON d."group" = t."group" AND d.domain = t.domain AND d.scope = t.scope AND d.family = t.family AND least(t.end_s, d.end_s) - greatest(t.start_s, d.start_s) > -{TOLERANCE}""",
+    "ordered": """SELECT *, row_number() OVER (PARTITION BY "group", domain, scope, family ORDER BY overlap DESC, detected_s, detected_id, truth_id) AS rn FROM pairs""",
+    "greedy": """
+SELECT "group", domain, scope, family, CAST(0 AS BIGINT) AS rn, CAST([] AS VARCHAR[]) AS taken, FALSE AS won, CAST(NULL AS VARCHAR) AS truth_id, CAST(NULL AS VARCHAR) AS detected_id FROM ordered WHERE rn = 1
+UNION ALL SELECT g."group", g.domain, g.scope, g.family, p.rn, CASE WHEN list_contains(g.taken, p.truth_id) OR list_contains(g.taken, p.detected_id) THEN g.taken ELSE list_concat(g.taken, [p.truth_id, p.detected_id]) END,
+  NOT (list_contains(g.taken, p.truth_id) OR list_contains(g.taken, p.detected_id)), p.truth_id, p.detected_id
+FROM greedy g JOIN ordered p ON p."group" = g."group" AND p.domain = g.domain AND p.scope = g.scope AND p.family = g.family AND p.rn = g.rn + 1""",
+    "matched": "SELECT p.* FROM greedy g JOIN pairs p ON g.won AND p.truth_id = g.truth_id AND p.detected_id = g.detected_id",
+}
+
+
+def matching_sets(t: Tables):
+    orders = t.raw("orders").withColumn("o_start", F.expr(f"CAST({_START} AS DOUBLE)"))
+    keys = [F.expr(v).alias(k) for k, v in _TRUE.items()]
+    truth = orders.select(
+        *keys, F.expr("concat('t', o_orderkey)").alias("id"), F.col("o_start").alias("start_s"), F.expr("o_start + 600 + o_orderkey % 40000").alias("end_s"),
+        F.expr("o_start + 300").alias("first_finalized_s"), F.expr("o_start + 900 + o_orderkey % 40000").alias("recovered_s"))
+    found = orders.where("o_orderstatus <> 'P'").withColumn("n", F.explode(F.expr("IF(o_orderkey % 4 = 0, array(0, 1), array(0))")))
+    found = found.withColumn("s", F.expr("o_start + (o_orderkey * 7919) % 1800 + n * 1200"))
+    detected = found.select(
+        *keys, F.expr("concat('d', n, '-', o_orderkey)").alias("id"), F.col("s").alias("start_s"), F.expr("s + 900 + o_orderkey % 30000").alias("end_s"),
+        F.expr("s + 300").alias("detected_s"), F.expr("IF(o_orderkey % 7 <> 0, s + 1500 + o_orderkey % 30000, NULL)").alias("recovered_s"))
+    return truth, detected
+
+
+@query(
+    "ml_09_greedy_episode_matching",
+    sql(
+        """SELECT truth_id, detected_id, overlap, detection_delay, finalized_delay, recovery_delay FROM matched""",
+        recursive=True, **MATCHING_SQL,
+    ),
+)
 def greedy(t: Tables):
-    truth, found = episode_sets(t)
-    pairs = selection.overlap_pairs(truth, found, "g", TOLERANCE)
-    return selection.match_summary(truth, found, pairs, selection.greedy_match(pairs), "g")
+    matched = selection.match_episodes(selection.candidate_pairs(*matching_sets(t), TOLERANCE))
+    return matched.select("truth_id", "detected_id", "overlap", "detection_delay", "finalized_delay", "recovery_delay")
+
+
+@query(
+    "ml_09_matching_report",
+    sql(
+        f"""
+SELECT t.domain, t.truth_episodes, d.detected_episodes, m.tp, d.detected_episodes - m.tp AS fp, t.truth_episodes - m.tp AS fn, {num_sql("m.tp::DOUBLE / d.detected_episodes")} AS precision, {num_sql("m.tp::DOUBLE / t.truth_episodes")} AS recall,
+  coalesce(x.duplicates, 0) AS duplicates, m.unseen AS recovery_unobserved, {num_sql("m.a")} AS mean_detection_delay, {num_sql("m.b")} AS mean_finalized_delay, {num_sql("m.c")} AS mean_recovery_delay
+FROM (SELECT domain, count(*) AS truth_episodes FROM truth GROUP BY 1) t JOIN (SELECT domain, count(*) AS detected_episodes FROM detected GROUP BY 1) d ON d.domain = t.domain
+JOIN (SELECT domain, count(*) AS tp, count(*) FILTER (WHERE recovery_delay IS NULL) AS unseen, avg(detection_delay) AS a, avg(finalized_delay) AS b, avg(recovery_delay) AS c FROM matched GROUP BY 1) m ON m.domain = t.domain
+LEFT JOIN (SELECT domain, count(DISTINCT detected_id) AS duplicates FROM pairs WHERE detected_id NOT IN (SELECT detected_id FROM matched) GROUP BY 1) x ON x.domain = t.domain""",
+        recursive=True, **MATCHING_SQL,
+    ),
+)
+def matching_report(t: Tables):
+    truth, detected = matching_sets(t)
+    pairs = selection.candidate_pairs(truth, detected, TOLERANCE)
+    report = selection.matching_report(truth, detected, pairs, selection.match_episodes(pairs), ["domain"])
+    return report.select("domain", "truth_episodes", "detected_episodes", "tp", "fp", "fn", num("precision"), num("recall"), "duplicates", "recovery_unobserved",
+                         *[num(c) for c in ("mean_detection_delay", "mean_finalized_delay", "mean_recovery_delay")])
 
 
 _MODES_SQL = " UNION ALL ".join(
@@ -248,13 +364,19 @@ def acceptance(t: Tables):
     return out.select("status", num("recall"), num("fp_rate"), "missing")
 
 
-@query("ml_12_model_comparison")
+_COMPARED = " UNION ALL ".join(
+    f"SELECT '{mode}' AS mode, {_COUNTS.replace('truth', 'fault').replace('prediction = 1', 'rank >= 0.975::DOUBLE').replace('prediction = 0', 'rank < 0.975::DOUBLE')}, count(*) AS eligible_windows FROM {view} WHERE split = 'test'"
+    for mode, view in (("reference", "a_ranked"), ("candidate", "ranked")))
+
+
+@query("ml_12_model_comparison", forest_sql(f"SELECT mode, eligible_windows, {_RATES} FROM ({_COMPARED})", forest_views(20, 64, p="a_"), forest_views()))
 def comparison(t: Tables):
     a = ranked(t, 20, 64).where("split = 'test'").select("vec_id", "fault", F.col("rank").alias("reference_rank"))
     b = ranked(t, 40, 128).where("split = 'test'").select("vec_id", F.col("rank").alias("candidate_rank"))
     both = a.join(b, "vec_id")
-    return selection.ablation(both, {
+    out = selection.ablation(both, {
         "reference": (F.col("reference_rank") >= 0.975, F.lit(True)), "candidate": (F.col("candidate_rank") >= 0.975, F.lit(True))})
+    return out.select("mode", "eligible_windows", "tp", "fp", "tn", "fn", *[num(c) for c in RATE_COLUMNS])
 
 
 @query(
@@ -268,16 +390,22 @@ def batch_features(t: Tables):
     return rows.select("scope_id", when("window_start"), num("p95_delivery_ms", "p95"), num(F.col("delivery_sr_pct") - F.col("b_delivery"), "delivery_delta"), "quality")
 
 
-@query("ml_14_batch_and_single_row_parity")
+@query(
+    "ml_14_batch_and_single_row_parity",
+    forest_sql(
+        f"SELECT vec_id, family, severity, profile, {num_sql('strength')} AS strength, TRUE AS same FROM scored WHERE split = 'test' QUALIFY row_number() OVER (PARTITION BY family, severity, profile ORDER BY vec_id) = 1",
+        forest_views(),
+    ),
+)
 def parity(t: Tables):
     """Scores of one representative per stratum, computed in the whole batch and on their own."""
-    model = forest_model(t)
+    model = forest.collected(forest_model(t))
     rows = t.vectors.where("split = 'test'").select("vec_id", "family", "severity", "profile", *FEATURES)
     batch = forest.score(rows, model, FEATURES, SAMPLE).select("vec_id", F.col("strength").alias("batch_score"))
     chosen = selection.representatives(rows, ["family", "severity", "profile"], "vec_id")
     single = forest.score(chosen, model, FEATURES, SAMPLE)
     return single.join(batch, "vec_id").select(
-        "vec_id", "family", "severity", "profile", "strength", (F.abs(F.col("strength") - F.col("batch_score")) <= 1e-12).alias("same"))
+        "vec_id", "family", "severity", "profile", num("strength"), (F.abs(F.col("strength") - F.col("batch_score")) <= 1e-12).alias("same"))
 
 
 @query(
