@@ -71,10 +71,15 @@ SELECT g.scope_id, g.bucket_start, g.bucket_end, least(g.bucket_end, TIMESTAMP '
 FROM grid g LEFT JOIN (SELECT *, {bucket_sql("ts", s)} AS b FROM {facts}
     WHERE ts >= TIMESTAMP '{request.start}' AND ts + INTERVAL 300 SECOND <= TIMESTAMP '{request.end}') f
   ON f.scope_id = g.scope_id AND f.b = g.bucket_start GROUP BY ALL"""
+    # Only what is retained, and the last of it before each bucket's edge: edges and facts in one order, an edge before a fact of its instant.
+    kept = f"(SELECT scope_id, ts, {', '.join(rollup.SNAPSHOTS[kind])} FROM {facts})"
     full = f"""
-SELECT a.*, c AS closing, o AS opening FROM agg a
-ASOF LEFT JOIN {facts} c ON c.scope_id = a.scope_id AND a.edge > c.ts
-LEFT JOIN {facts} o ON o.scope_id = a.scope_id AND o.ts = a.bucket_start - INTERVAL 300 SECOND
+SELECT a.*, c.k AS closing, o AS opening FROM agg a
+LEFT JOIN (SELECT DISTINCT scope_id, moment, k FROM (
+    SELECT scope_id, moment, is_fact, last_value(k IGNORE NULLS) OVER (PARTITION BY scope_id ORDER BY moment, is_fact ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k
+    FROM (SELECT scope_id, edge AS moment, FALSE AS is_fact, NULL AS k FROM agg UNION ALL SELECT f.scope_id, f.ts, TRUE, f FROM {kept} f)) WHERE NOT is_fact) c
+  ON c.scope_id = a.scope_id AND c.moment = a.edge
+LEFT JOIN {kept} o ON o.scope_id = a.scope_id AND o.ts = a.bucket_start - INTERVAL 300 SECOND
   AND a.bucket_start >= TIMESTAMP '{request.start}'"""
     branches = []
     for m in metrics:
