@@ -19,7 +19,46 @@ def test_features_are_finite_and_by_row():
     rows = quality.feature_rows(pa.array(texts))
     assert rows.shape == (len(texts), len(quality.FEATURES)) and np.isfinite(rows).all()
     for text, row in zip(texts, rows):
-        assert np.allclose(quality.feature_rows(pa.array([text], pa.string()))[0], row)
+        assert (quality.feature_rows(pa.array([text], pa.string()))[0] == row).all()
+    together = quality.feature_rows(pa.array(["x y A", "bcd e", "BC"]))
+    assert [r[quality.FEATURES.index("upper_words")] for r in together] == [0, 0, 1]
+
+
+def test_risk_has_the_gradient_of_finite_differences():
+    rng = np.random.default_rng(4)
+    p, u = rng.normal(0, 1, (40, 5)), rng.normal(0, 1, (60, 5))
+    layers = [rng.normal(0, 1, (5, 7)), rng.normal(0, 1, 7), rng.normal(0, 1, 7), rng.normal(0, 1, 1)]
+    kinds = set()
+    for prior in (None, 0.3, 0.98):
+        for offset in (0.0, 6.0, -6.0):
+            layers[3][0] = offset
+            value, gradients = quality.risk(layers, p, u, prior)
+            if prior:
+                m = lambda x: np.tanh(x @ layers[0] + layers[1]) @ layers[2] + layers[3]
+                negative = np.log1p(np.exp(m(u))).mean() - prior * np.log1p(np.exp(m(p))).mean()
+                kinds.add(negative >= 0)
+                assert np.isclose(value, prior * np.log1p(np.exp(-m(p))).mean() + negative if negative >= 0 else -negative)
+            for layer, gradient in zip(layers, gradients):
+                for at in list(np.ndindex(layer.shape))[:12]:
+                    kept, ends = layer[at], []
+                    for step in (1e-6, -1e-6):
+                        layer[at] = kept + step
+                        ends.append(quality.risk(layers, p, u, prior)[0])
+                    layer[at] = kept
+                    assert abs((ends[0] - ends[1]) / 2e-6 - gradient[at]) < 1e-6
+    assert kinds == {True, False}
+
+
+def test_prior_equals_a_plain_version():
+    rng = np.random.default_rng(2)
+    p, u = rng.normal(1, 1, 300), rng.normal(0, 1.5, 500)
+    error = np.sqrt(np.log(20) / 600) + np.sqrt(np.log(20) / 1000)
+    best = None
+    for cut in np.quantile(p, np.linspace(0.01, 0.9, 60)):
+        a, b = sum(x >= cut for x in p) / 300, sum(x >= cut for x in u) / 500
+        if best is None or (b + error) / a < best[0]:
+            best = ((b + error) / a, b / a)
+    assert quality.estimate_prior(p, u) == min(max(best[1], 0.02), 0.98)
 
 
 def corpus(spark, n=900):
@@ -44,6 +83,22 @@ def test_learns_without_negatives_and_held_out_labels(spark):
     assert again == {r.doc_id: r.score for r in rows}
 
 
+def test_equal_texts_in_both_samples_under_any_partitioning(spark):
+    docs, labels = corpus(spark, 400)
+    copies = docs.where("doc_id % 4 = 1").selectExpr("doc_id + 10000 AS doc_id", "text", "source", "score")
+    docs = docs.unionAll(copies)
+    runs = [{r.doc_id: r.score for r in quality.classify(d, labels).collect()} for d in (docs.coalesce(1), docs.repartition(3, "text"), docs.repartition(11))]
+    assert len(runs[0]) == 500 and runs[0] == runs[1] == runs[2]
+    assert all(runs[0][i] == runs[0][i - 10000] for i in runs[0] if i >= 10000)
+
+
+def test_labels_on_every_document_still_teach(spark):
+    docs, _ = corpus(spark, 600)
+    every = docs.selectExpr("doc_id", "CAST(doc_id % 4 <> 0 AS int) AS quality")
+    rows = quality.classify(docs, every).collect()
+    assert sum(r.predicted == (r.doc_id % 4 != 0) for r in rows) >= 590
+
+
 def test_edges(spark):
     docs, labels = corpus(spark, 300)
     odd = spark.createDataFrame([(1000, None, "x", 1.0), (1001, "", None, 1.0), (None, "a b", "x", 1.0), (1003, "w " * 50000, "x", 1.0), (1003, "w " * 50000, "x", 1.0)], docs.schema)

@@ -1,6 +1,6 @@
 """A quality classifier by positive-unlabelled learning.
 
-Trusted positives are labelled rows of good quality; the unlabelled side is web text without a label. Features are shares
+Trusted positives are labelled rows of good quality; the unlabelled side is any other text, whose label, if it has one, is not read. Features are shares
 and rates of a text's form: letters, marks, repetition, words and lines. The share of positives among the
 unlabelled is estimated from a first classifier that only tells the two samples apart: where positives
 score high, unlabelled texts do so as often as they are positive. A small network then minimises the
@@ -68,7 +68,7 @@ def features(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     plain = lambda b: ((b >= 48) & (b <= 57)) | ((b >= 65) & (b <= 90)) | ((b >= 97) & (b <= 122)) | (b >= 128)
     stops = _shares((last == 46) | (last == 33) | (last == 63), w.doc, rows)
     lines = _shares(flat == 10, doc, rows) + 1
-    second = flat[np.minimum(w.start + 1, max(len(flat) - 1, 0))] if len(w.doc) else first
+    second = np.where(length > 1, flat[np.minimum(w.start + 1, len(flat) - 1)], 0) if len(w.doc) else first
     out += [
         np.bincount(d[starts], minlength=rows) / some, _shares(again, w.doc, rows) / some,
         np.bincount(sets.doc, minlength=rows) / np.maximum(count - 4, 1), most / some, _shares(length <= 3, w.doc, rows) / some,
@@ -95,9 +95,17 @@ class Model(NamedTuple):
     prior: float
 
     def margin(self, x: np.ndarray) -> np.ndarray:
+        """Of each row by itself: a matrix product would round its sums by the size of the batch."""
         a, b, c, d = self.layers
         z = np.clip((x - self.center) / self.scale, -8, 8)
-        return np.tanh(z @ a + b) @ c + d
+        hidden = np.tile(b, (len(z), 1))
+        for j in range(z.shape[1]):
+            hidden += z[:, j, None] * a[j]
+        hidden = np.tanh(hidden)
+        margin = np.full(len(z), d[0])
+        for j in range(hidden.shape[1]):
+            margin += hidden[:, j] * c[j]
+        return margin
 
     def score(self, x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30)))
@@ -107,8 +115,33 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def risk(layers: list[np.ndarray], positive: np.ndarray, unlabelled: np.ndarray, prior: float | None) -> tuple[float, list[np.ndarray]]:
+    """(what a step lowers, its gradients) for margins under the logistic loss.
+
+    With a prior: the unbiased risk, prior * loss of positives as positive + (loss of unlabelled as negative - prior * loss of positives
+    as negative); where the bracket, the risk of negatives, is below 0, which no risk can be, the step raises it instead.
+    Without a prior: positives against unlabelled.
+    """
+    x = np.concatenate([positive, unlabelled])
+    hidden = np.tanh(x @ layers[0] + layers[1])
+    margin = hidden @ layers[2] + layers[3]
+    of_p, of_u = margin[: len(positive)], margin[len(positive) :]
+    # Losses log(1 + exp(-m)) as positive and log(1 + exp(m)) as negative, and their slopes.
+    loss_p, slope_p = np.logaddexp(0, -of_p).mean(), -_sigmoid(-of_p) / len(of_p)
+    turned, slope_turned = np.logaddexp(0, of_p).mean(), _sigmoid(of_p) / len(of_p)
+    loss_u, slope_u = np.logaddexp(0, of_u).mean(), _sigmoid(of_u) / len(of_u)
+    if prior is None:
+        value, slope = loss_p + loss_u, np.concatenate([slope_p, slope_u])
+    elif loss_u >= prior * turned:
+        value, slope = prior * loss_p + loss_u - prior * turned, np.concatenate([prior * (slope_p - slope_turned), slope_u])
+    else:
+        value, slope = prior * turned - loss_u, np.concatenate([prior * slope_turned, -slope_u])
+    back = np.outer(slope, layers[2]) * (1 - hidden**2)
+    return float(value), [x.T @ back, back.sum(0), hidden.T @ slope, np.array([slope.sum()])]
+
+
 def _train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, seed: int) -> tuple:
-    """Weights by Adam. With a prior: non-negative risk under the logistic loss; without: plain positives against unlabelled."""
+    """Weights that lower the risk, by Adam."""
     rng = np.random.default_rng(seed)
     width = positive.shape[1]
     layers = [rng.normal(0, 1 / np.sqrt(width), (width, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
@@ -116,23 +149,9 @@ def _train(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None, se
     for step in range(1, STEPS + 1):
         p = positive[rng.integers(0, len(positive), BATCH)]
         u = unlabelled[rng.integers(0, len(unlabelled), BATCH)]
-        x = np.concatenate([p, u])
-        hidden = np.tanh(x @ layers[0] + layers[1])
-        margin = hidden @ layers[2] + layers[3]
-        up, uu = margin[: len(p)], margin[len(p) :]
-        # Slopes of the losses log(1 + exp(-m)) as positive and log(1 + exp(m)) as negative.
-        as_positive, as_negative = -_sigmoid(-up) / len(p), _sigmoid(up) / len(p)
-        of_unlabelled = _sigmoid(uu) / len(u)
-        if prior is None:
-            slope = np.concatenate([as_positive, of_unlabelled])
-        else:
-            negative = np.logaddexp(0, uu).mean() - prior * np.logaddexp(0, up).mean()
-            if negative >= 0:
-                slope = np.concatenate([prior * (as_positive - as_negative), of_unlabelled])
-            else:  # step back from where the negative risk is below what it can be
-                slope = np.concatenate([prior * as_negative, -of_unlabelled])
-        back = np.outer(slope, layers[2]) * (1 - hidden**2)
-        gradients = [x.T @ back + DECAY * layers[0], back.sum(0), hidden.T @ slope + DECAY * layers[2], np.array([slope.sum()])]
+        _, gradients = risk(layers, p, u, prior)
+        gradients[0] += DECAY * layers[0]
+        gradients[2] += DECAY * layers[2]
         rate = RATE * (0.5 * (1 + np.cos(np.pi * step / STEPS)))
         for i, g in enumerate(gradients):
             first[i] = 0.9 * first[i] + 0.1 * g
@@ -155,18 +174,18 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", seed: int = 5) -> Model | None:
-    """The model of bounded samples, those with the smallest hash; None without positives or unlabelled rows.
+    """The model of bounded samples, those with the smallest hash; None without positives or without any other row.
 
-    Only labels of 1 on rows that are not held out are read as positives; labelled rows are never among the unlabelled.
+    Only labels of 1 on rows that are not held out are read, as positives. All other rows are unlabelled, so that labels on every
+    document still teach. The samples are put in one order, whatever order the rows came in.
     """
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label")).where("doc_id IS NOT NULL")
     trusted = (
-        known.where("label = 1").where(~held_out(F.col("doc_id"))).select("doc_id").distinct()
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(POSITIVES).withColumn("positive", F.lit(1))
+        labels.where(F.col(label) == 1).select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").where(~held_out(F.col("doc_id")))
+        .distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(POSITIVES).withColumn("positive", F.lit(1))
     )
     ids = documents.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id IS NOT NULL").distinct()
     free = (
-        ids.join(known.select("doc_id"), "doc_id", "left_anti")
+        ids.join(F.broadcast(trusted.select("doc_id")), "doc_id", "left_anti")  # at most POSITIVES ids
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(UNLABELLED).withColumn("positive", F.lit(0))
     )
 
@@ -182,7 +201,8 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", seed: i
     if not 0 < rows["positive"].sum() < len(rows):
         return None
     x = np.stack(rows["x"].to_numpy())
-    order = np.lexsort(x.T)  # whatever order the rows came in
+    # Equal texts may be in both samples: the label decides among them.
+    order = np.lexsort((rows["positive"].to_numpy(), *x.T))
     x, positive = x[order], rows["positive"].to_numpy()[order] == 1
     center, scale = x.mean(0), np.maximum(x.std(0), 1e-6)
     z = np.clip((x - center) / scale, -8, 8)
@@ -200,7 +220,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", seed: i
 def classify(documents: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: good quality likelier) and predicted per document.
 
-    Null text is scored as empty text. Without a positive or an unlabelled row to learn from every score is 0.5. Rows
+    Null text is scored as empty text. Without a positive, or without any other row, every score is 0.5. Rows
     that are repeated are scored each; other columns are not read.
     """
     model = fit(documents, labels)
