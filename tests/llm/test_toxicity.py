@@ -1,3 +1,4 @@
+import pickle
 from collections import Counter
 
 import numpy as np
@@ -9,20 +10,66 @@ from vigilmesh.llm.common import held_out
 from vigilmesh.llm.queries import QUERIES
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.integers(0, 10**6), st.integers(1, 300), st.integers(1, 20))
-def test_nearest_is_exact(seed, n, k):
+def index_of(rng, n, vocabulary, groups=4):
+    """An index of random examples; those of a group share most of their terms, some examples are copies. (index, dense weights)"""
+    counts = np.zeros((n, vocabulary), int)
+    for i in range(n):
+        own = rng.integers(0, groups) * (vocabulary // groups)
+        chosen = np.where(rng.random(rng.integers(1, 40)) < 0.9, own + rng.integers(0, vocabulary // groups, 1), rng.integers(0, vocabulary, 1))
+        np.add.at(counts[i], (chosen + rng.integers(0, vocabulary // groups, len(chosen))) % vocabulary, 1)
+    for i in range(0, n - 1, 5):
+        counts[i + 1] = counts[i]
+    counts = counts[:, counts.any(0)]
+    toxic = (rng.random(n) < 0.2).astype(float)
+    toxic[:2] = 0, 1
+    term, holder = np.nonzero(counts.T)
+    times, code = np.unique(counts.T[term, holder], return_inverse=True)
+    length = np.bincount(term)
+    frequency = length * 3
+    idf = toxicity._idf(frequency, 10 * n)
+    order, cuts, of = toxicity.arranged(length, holder, (1 + np.log(times)).astype(np.float32)[code], idf, toxic)
+    place = np.empty(n, np.uint16)
+    place[order] = np.arange(n)
+    packed = toxicity.Packed(np.arange(len(length), dtype=np.uint64), length, place[holder], code.astype(np.uint8), times, frequency, 10 * n, cuts, of, rng.permutation(n), toxic[order], 0.2)
+    rows = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0)[order] * idf
+    return pickle.loads(pickle.dumps(packed)), rows / np.sqrt((rows * rows).sum(1))[:, None]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 10**6), st.integers(3, 500), st.integers(1, 40))
+def test_nearest_through_the_index_equal_brute_force(seed, n, near):
     rng = np.random.default_rng(seed)
-    rows = (rng.random((n, 12)) * (rng.random((n, 12)) < 0.3)).astype(np.float32)
-    rows[:, 0] += 0.1
-    rows /= np.sqrt((rows * rows).sum(1))[:, None]
-    most = np.stack([rows[i : i + toxicity.BLOCK].max(0) for i in range(0, n, toxicity.BLOCK)])
-    index = toxicity.Index(np.arange(11, dtype=np.uint64), np.ones(11), rows, most, np.arange(n), np.zeros(n), 0.1, 0.1)
-    query = rows[int(rng.integers(0, n))]
-    found, cosines = toxicity.nearest(index, query, k)
-    every = np.sort(rows @ query)[::-1]
-    want = every[every > 0][:k]
-    assert np.allclose(cosines, want, atol=1e-5) and len(set(found)) == len(found)
+    index, weights = index_of(rng, n, 200)
+    queries = weights[rng.integers(0, n, 20)] * (rng.random((20, weights.shape[1])) < 0.8)
+    queries[0] = 0
+    queries[:, rng.integers(0, weights.shape[1], 5)] += 0.2
+    queries /= np.sqrt((queries * queries).sum(1))[:, None]
+    rows, known = np.nonzero(queries)
+    found, least = toxicity.cosines(index, rows, known, queries[rows, known].astype(np.float32), 20, near)
+    every = queries @ weights.T
+    assert np.allclose(found[found >= 0], every[found >= 0], atol=1e-5)
+    toxics = int(index.toxic.sum())
+    assert index.toxic[:toxics].all() and not index.toxic[toxics:].any()
+    for at, kind in enumerate((slice(0, toxics), slice(toxics, n))):
+        k = min(near, every[:, kind].shape[1])
+        top, close = toxicity._nearest(found[:, kind], least[:, at], index.before[kind], k)
+        assert np.allclose(close, np.take_along_axis(every[:, kind], top, 1), atol=1e-5)
+        for text in range(20):
+            want = sorted(range(every[:, kind].shape[1]), key=lambda e: (-round(every[text, kind][e] * 1e4), index.ids[kind][e]))[:k]
+            got = [every[text, kind][e] for e in top[text]]
+            assert np.allclose(got, [every[text, kind][e] for e in want], atol=1e-4)
+            # Copies tie exactly: the smaller id comes first.
+            ties = [(round(every[text, kind][e], 9), -index.ids[kind][e]) for e in top[text]]
+            assert all(a[1] > b[1] for a, b in zip(ties, ties[1:]) if a[0] == b[0])
+
+
+def test_blocks_are_left_out():
+    rng = np.random.default_rng(5)
+    index, weights = index_of(rng, 3000, 400)
+    queries = weights[:60]
+    rows, known = np.nonzero(queries)
+    found, _ = toxicity.cosines(index, rows, known, queries[rows, known].astype(np.float32), 60, 10)
+    assert (found < 0).mean() > 0.3
 
 
 def corpus(spark, n=900):
@@ -69,15 +116,6 @@ def test_edges(spark):
     assert toxicity.classify(docs, labels.selectExpr("doc_id", "CAST(NULL AS int) AS quality", "CAST(NULL AS int) AS toxic")).count() == 300
 
 
-def test_held_out_accuracy(spark):
-    folder = "/root/testdata/sf0.1"
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
-    rows = [r for r in QUERIES["op7_toxicity"](spark, folder).collect() if r.held_out and r.doc_id in labels]
-    hit = sum(r.predicted and labels[r.doc_id] for r in rows)
-    assert hit >= 0.75 * sum(labels[r.doc_id] for r in rows)
-    assert hit >= 0.95 * sum(r.predicted for r in rows)
-
-
 def test_every_example_is_searched_over_all_its_terms(spark):
     docs, labels = corpus(spark, 300)
     index = toxicity.fit(docs, labels)
@@ -101,8 +139,8 @@ def test_every_example_is_searched_over_all_its_terms(spark):
     for i in list(texts)[:60]:
         cosine = {e: sum(w * vectors[e].get(t, 0) for t, w in vectors[i].items()) for e in examples}
         assert len(found[i]) == toxicity.NEIGHBOURS
-        want = sorted(cosine.values(), reverse=True)[: toxicity.NEIGHBOURS]
-        assert np.allclose([cosine[e] for e in found[i]], want, atol=1e-5)
+        want = sorted(cosine, key=lambda e: (-round(cosine[e], 5), e))[: toxicity.NEIGHBOURS]
+        assert np.allclose([cosine[e] for e in found[i]], [cosine[e] for e in want], atol=2e-5)
 
 
 def test_scores_are_probabilities_of_held_out_texts(spark):
@@ -110,7 +148,16 @@ def test_scores_are_probabilities_of_held_out_texts(spark):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
     rows = [r for r in QUERIES["op7_toxicity"](spark, folder).collect() if r.held_out and r.doc_id in labels]
     hit = sum(r.predicted and labels[r.doc_id] for r in rows)
-    assert hit >= 0.82 * sum(labels[r.doc_id] for r in rows)
-    assert hit >= 0.95 * sum(r.predicted for r in rows)
+    assert hit >= 0.854 * sum(labels[r.doc_id] for r in rows)
+    assert hit >= 0.98 * sum(r.predicted for r in rows)
     unsure = [r for r in rows if 0.35 <= r.score < 0.7]
     assert sum(labels[r.doc_id] for r in unsure) <= 0.7 * len(unsure) + 2
+
+
+def test_equal_neighbours_come_by_id_in_any_partitioning(spark):
+    docs = spark.createDataFrame([(i, f"alpha beta {'gamma' if i % 2 else 'delta'}", 1.0, "x") for i in range(200)], "doc_id long, text string, score double, evidence string")
+    labels = docs.selectExpr("doc_id", "1 AS quality", "CAST(doc_id % 2 AS int) AS toxic")
+    runs = [{r.doc_id: (round(r.score, 9), r.evidence) for r in toxicity.classify(d, labels).collect()} for d in (docs.coalesce(1), docs.repartition(7))]
+    assert runs[0] == runs[1]
+    for i, (_, evidence) in runs[0].items():
+        assert evidence == sorted(evidence) and {e % 2 for e in evidence} == {i % 2}

@@ -1,9 +1,12 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are words and the beginnings of words; all terms of all labelled examples of a bounded sample are the index,
-clean examples too. Terms that many examples hold are columns of a dense matrix, all others have inverted lists: both
-together give the cosine of a text to every example, so the neighbours are exact. Terms that no example holds have no
-weight: they would scale all cosines of a text alike. The votes of the nearest examples and the mean cosines to
+clean examples too. The index is inverted and block-max. Like examples are groups; a term that many of a group's
+examples hold is a column of the group's weights, any other term has a list of its holders there. Groups are cut into segments of one kind, and
+a block of a segment's examples knows the largest weight of each column: with the lists of the other terms these bound
+the cosine of each block. The best segments of a text are measured first, and of the others only the blocks that
+may still hold one of its nearest examples, so that the neighbours are exact. Terms that no example holds have no weight: they would
+scale all cosines of a text alike. The votes of the nearest examples and the mean cosines to
 the nearest ones of either kind become a probability by a logistic fit on the examples themselves, each
 without its own vote. A text without any known term has no neighbour and scores the rate of the label.
 """
@@ -25,40 +28,63 @@ from vigilmesh.llm.shingles import SLICE, word_places
 #: Bound of the labelled rows that a fit reads, those with the smallest hash.
 SAMPLE = 20_000
 #: First bytes of a longer word that are terms of their own.
-BEGINNINGS = (4, 5, 6, 7, 8)
-#: Share of the examples from which a term is a dense column: a product over all examples is then cheaper than its list.
-DENSE = 0.08
-#: Shares, a power of two, in which the driver gets the terms of the examples.
-SHARES = 8
-BLOCK = 64
+BEGINNINGS = (6, 7)
+#: Share of a group's examples from which a term is a column, and the holders a column has at least.
+DENSE, LEAST = 0.12, 8
+#: Groups of like examples, the commonest terms that tell them, and the most examples of a segment and of a block.
+GROUPS, TELLING, SEGMENT, BLOCK = 8, 512, 512, 64
+#: Shares, a power of two, in which the driver gets the terms of the examples; postings that a worker unpacks at once.
+SHARES, UNPACKED = 8, 1 << 18
 #: Neighbours that are the evidence of a score.
 NEIGHBOURS = 15
 #: Numbers of neighbours whose votes, and of nearest examples of either kind whose mean cosines, tell the score.
 VOTES, MEANS = (5, 15, 30, 60, 120), (1, 5, 15, 50, 150)
-#: Texts whose cosines to all examples are held at once.
-TEXTS = 64
+#: Texts that are measured together, and how many times the examples looked for are measured before any is left out.
+TEXTS, FIRST = 128, 10
+#: Cosines count to so many parts of one; rounding of the bounds stays below the slack.
+PARTS, SLACK = 1_000_000, 1e-5
 #: Penalty of the logistic fit.
 RIDGE = 0.3
+#: A term is the upper bits of its hash; the row of a slice takes the others, so that both sort as one number.
+ROW_BITS = 14
+TERM_BITS = 64 - ROW_BITS
+#: Bits of a term by which it is looked up.
+FIRST_BITS = 20
+
+
+class Segment(NamedTuple):
+    """Examples of one group and one kind, start to end."""
+
+    start: int
+    end: int
+    group: int
+    toxic: bool
+    rows: np.ndarray  # examples x columns: weights of unit vectors over all terms
+    most: np.ndarray  # blocks x columns: the largest weight of a block
 
 
 class Index(NamedTuple):
-    terms: np.ndarray  # hashes, ascending
+    terms: np.ndarray  # ascending
+    places: np.ndarray
     idf: np.ndarray
-    rows: np.ndarray  # examples x dense terms: weights of unit vectors over all terms; toxic examples first
-    most: np.ndarray  # blocks x dense terms: the largest weight of a block
-    ids: np.ndarray
+    common: np.ndarray  # number of each term among those that may be columns, -1 for all others
+    columns: list[np.ndarray]  # per group, of each common term, -1 if it has a list there
+    segments: list[Segment]
+    scale: np.ndarray  # of each example, to make it a unit vector
+    start: np.ndarray  # terms + 1: where the list of each term's holders that have it once begins
+    holder: np.ndarray
+    start_more: np.ndarray  # and the list of those that have it more often, with their term weights
+    holder_more: np.ndarray
+    weight_more: np.ndarray
+    single: np.ndarray  # terms that one example alone holds
+    ids: np.ndarray  # of the examples
+    before: np.ndarray  # place of each example among ties, by id
     toxic: np.ndarray
     rate: float  # toxic share among the examples
-    bare_rate: float  # the score of texts without a known term
-    column: np.ndarray | None = None  # of each term, -1 if it has a list
-    start: np.ndarray | None = None  # terms + 1: where the list of each term begins; empty for dense ones
-    holder: np.ndarray | None = None  # examples, by term
-    weight: np.ndarray | None = None
-    single: np.ndarray | None = None  # terms that one example alone holds
 
 
-def _terms(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of every term of a slice of texts, in any order, repeats included."""
+def _terms(flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Row and term of every occurrence of a slice of texts as one number each, ascending."""
     places = word_places(flat, offsets, letters_only=True)
     doc, start, length = places.doc, places.start, places.end - places.start
     base, down = places.total[start], places.down[start]
@@ -68,52 +94,58 @@ def _terms(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
         doc, start, length, base, down = doc[longer], start[longer], length[longer], base[longer], down[longer]
         rows.append(doc)
         hashes.append(mix((places.total[start + size] - base) * down + np.uint64(size)))
-    return np.concatenate(rows), np.concatenate(hashes)
+    keys = [(r.astype(np.uint64) << np.uint64(TERM_BITS)) | (h >> np.uint64(ROW_BITS)) for r, h in zip(rows, hashes)]
+    return np.sort(np.concatenate(keys))
 
 
 def _slices(column: pa.Array):
+    """(first row, last row, rows, terms, times): the distinct terms of each row, rows counted from the first."""
     flat, offsets = text_bytes(column)
-    for start, end in slices(np.diff(offsets), SLICE):
+    # The constant keeps the rows of a slice few enough for their bits.
+    for start, end in slices(np.diff(offsets) + SLICE // (1 << (ROW_BITS - 1)), SLICE):
         part = offsets[start : end + 1]
         with np.errstate(over="ignore"):
-            yield start, end, _terms(flat[part[0] : part[-1]], part - part[0])
-
-
-def _distinct(rows: np.ndarray, hashes: np.ndarray):
-    """Distinct (row, hash) with their counts, by row."""
-    order = np.lexsort((hashes, rows))
-    rows, hashes = rows[order], hashes[order]
-    if not len(rows):
-        return rows, hashes, rows
-    starts = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]) | (hashes[1:] != hashes[:-1])]))
-    return rows[starts], hashes[starts], np.diff(np.append(starts, len(rows)))
-
-
-def _known(terms: np.ndarray, rows: np.ndarray, hashes: np.ndarray):
-    """Only the terms of the index, by their number."""
-    at = np.minimum(np.searchsorted(terms, hashes), max(len(terms) - 1, 0))
-    known = terms[at] == hashes if len(terms) else np.zeros(len(hashes), bool)
-    return rows[known], at[known]
-
-
-def _examples(share: int):
-    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each example with its distinct terms of a share, by hash, and how often it has them."""
-        for batch in batches:
-            for start, end, (rows, hashes) in _slices(batch.column("text")):
-                mine = hashes // np.uint64((1 << 64) // SHARES) == np.uint64(share)
-                rows, hashes, times = _distinct(rows[mine], hashes[mine])
-                cut = np.searchsorted(rows, np.arange(end - start + 1))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(c).slice(start, end - start) for c in ("doc_id", "place")),
-                        pa.array([hashes[i:j].tobytes() for i, j in zip(cut, cut[1:])], pa.binary()),
-                        pa.array([times[i:j].astype(np.int32).tobytes() for i, j in zip(cut, cut[1:])], pa.binary()),
-                    ],
-                    names=["doc_id", "place", "terms", "times"],
-                )
-
-    return taken
+            keys = _terms(flat[part[0] : part[-1]], part - part[0])
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        times = np.diff(np.append(first, len(keys)))
+        keys = keys[first]
+        yield start, end, (keys >> np.uint64(TERM_BITS)).astype(np.int64), keys & np.uint64((1 << TERM_BITS) - 1), times
+
+
+def _places(terms: np.ndarray) -> np.ndarray:
+    """Where the terms of each first bits begin."""
+    return np.searchsorted(terms, np.arange(1 << FIRST_BITS, dtype=np.uint64) << np.uint64(TERM_BITS - FIRST_BITS))
+
+
+def _known(terms: np.ndarray, places: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the index, whether it is there) of each term. Terms are hashes: few begin with the same bits."""
+    last = len(terms) - 1
+    at = np.minimum(places[found >> np.uint64(TERM_BITS - FIRST_BITS)], last)
+    behind = np.flatnonzero((terms[at] < found) & (at < last))
+    while len(behind):
+        at[behind] += 1
+        behind = behind[(terms[at[behind]] < found[behind]) & (at[behind] < last)]
+    return at, terms[at] == found
+
+
+def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each example with its distinct terms of each share and how often it has them."""
+    ends = np.arange(1, SHARES + 1, dtype=np.uint64) * np.uint64((1 << TERM_BITS) // SHARES)
+    for batch in batches:
+        ids, places = (batch.column(c).to_numpy() for c in ("doc_id", "place"))
+        for start, end, rows, terms, times in _slices(batch.column("text")):
+            # Terms of a row ascend, so those of a share stand together.
+            cut = np.searchsorted(rows, np.arange(end - start + 1))
+            columns = ([], [], [], [], [])
+            for row, (i, j) in enumerate(zip(cut, cut[1:])):
+                inner = np.concatenate([[i], i + np.searchsorted(terms[i:j], ends)])
+                for share, (x, y) in enumerate(zip(inner, inner[1:])):
+                    if x < y:
+                        values = (ids[start + row], places[start + row], share, terms[x:y].tobytes(), times[x:y].astype(np.int32).tobytes())
+                        for column, value in zip(columns, values):
+                            column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "place", "share", "terms", "times"])
 
 
 def sample(documents: DataFrame, labels: DataFrame, label: str) -> DataFrame:
@@ -132,7 +164,7 @@ def sample(documents: DataFrame, labels: DataFrame, label: str) -> DataFrame:
 
 
 class Packed(NamedTuple):
-    """An index as the executors get it, a fourth of its size: unpickling gives the Index."""
+    """An index as the executors get it, three bytes a posting: unpickling gives the Index."""
 
     terms: np.ndarray
     length: np.ndarray  # holders of each term
@@ -141,6 +173,8 @@ class Packed(NamedTuple):
     times: np.ndarray
     frequency: np.ndarray  # of each term, in all documents
     documents: int
+    cuts: np.ndarray  # where segments begin
+    groups: np.ndarray  # of the segments
     ids: np.ndarray
     toxic: np.ndarray
     rate: float
@@ -149,23 +183,95 @@ class Packed(NamedTuple):
         return unpacked, tuple(self)
 
 
-def unpacked(terms, length, holder, code, times, frequency, documents, ids, toxic, rate) -> Index:
-    n = len(ids)
-    idf = np.log((1 + documents) / (1 + frequency.astype(np.float64)))
-    weight = (1 + np.log(times)).astype(np.float32)[code] * np.repeat(idf.astype(np.float32), length)
-    weight /= np.maximum(np.sqrt(np.bincount(holder, weight * weight, n)), 1e-12).astype(np.float32)[holder]
+def _idf(frequency: np.ndarray, documents: int) -> np.ndarray:
+    return np.log((1 + documents) / (1 + frequency.astype(np.float64))).astype(np.float32)
+
+
+def _postings(length: np.ndarray):
+    """(first term, last term, first posting, last posting) for runs of terms, so that work arrays stay small."""
+    begin = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
+    for a, b in slices(length, UNPACKED):
+        yield a, b, begin[a], begin[b]
+
+
+def unpacked(terms, length, holder, code, times, frequency, documents, cuts, groups, ids, toxic, rate) -> Index:
+    n, ends, many = len(ids), np.append(cuts[1:], len(ids)), int(groups.max()) + 1
+    idf, tf = _idf(frequency, documents), (1 + np.log(times)).astype(np.float32)
+    square = np.zeros(n)
+    for a, b, i, j in _postings(length):
+        weight = tf[code[i:j]] * np.repeat(idf[a:b], length[a:b])
+        square += np.bincount(holder[i:j], weight * weight, n)
+    scale = (1 / np.sqrt(np.maximum(square, 1e-24))).astype(np.float32)
+    common = np.full(len(terms), -1, np.int32)
+    may = np.flatnonzero(length >= LEAST)
+    common[may] = np.arange(len(may))
+    segment = np.repeat(np.arange(len(cuts), dtype=np.int32), ends - cuts)
+    group = groups[segment]
+    holders = np.zeros(len(may) * many, np.int32)
+    for a, b, i, j in _postings(length):
+        number = np.repeat(common[a:b], length[a:b])
+        at = number >= 0
+        key = number[at].astype(np.int64) * many + group[holder[i:j][at]]
+        holders += np.bincount(key, minlength=len(holders)).astype(np.int32)
+    dense = holders.reshape(-1, many).T >= np.maximum(LEAST, DENSE * np.bincount(group, minlength=many))[:, None]
+    column = np.where(dense, np.cumsum(dense, 1) - 1, -1).astype(np.int32)
+    width = dense.sum(1)[groups]
+    offset = np.concatenate([[0], np.cumsum((ends - cuts) * width)])
+    flat = np.zeros(offset[-1], np.float32)
+    left, more, left_holder, more_holder, more_weight = np.zeros(len(terms), np.int64), np.zeros(len(terms), np.int64), [], [], []
+    often = times > 1
+    for a, b, i, j in _postings(length):
+        term = np.repeat(np.arange(a, b), length[a:b])
+        of = holder[i:j]
+        weight = tf[code[i:j]] * idf[term] * scale[of]
+        place = np.full(j - i, -1, np.int32)
+        may = np.flatnonzero(common[term] >= 0)
+        place[may] = column[group[of[may]], common[term[may]]]
+        at = place >= 0
+        own = segment[of[at]]
+        flat[offset[own] + (of[at] - cuts[own]) * width[own] + place[at]] = weight[at]
+        many_times = often[code[i:j]]
+        for lists, of_list, count in ((left_holder, ~at & ~many_times, left), (more_holder, ~at & many_times, more)):
+            lists.append(of[of_list])
+            count[a:b] = np.bincount(term[of_list] - a, minlength=b - a)
+        more_weight.append(tf[code[i:j][~at & many_times]])
+    segments = []
+    for s, (start, end) in enumerate(zip(cuts, ends)):
+        rows = flat[offset[s] : offset[s + 1]].reshape(end - start, width[s])
+        most = np.maximum.reduceat(rows, np.arange(0, end - start, BLOCK), 0)
+        segments.append(Segment(int(start), int(end), int(groups[s]), bool(toxic[start]), rows, most))
+    begin, begin_more = (np.concatenate([[0], np.cumsum(x)]) for x in (left, more))
+    return Index(
+        terms, _places(terms), idf, common, list(column), segments, scale, begin, np.concatenate(left_holder),
+        begin_more, np.concatenate(more_holder), np.concatenate(more_weight), length == 1, ids, np.argsort(np.argsort(ids, kind="stable"), kind="stable"), toxic, rate,
+    )
+
+
+def arranged(length: np.ndarray, holder: np.ndarray, weight_of: np.ndarray, idf: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(examples in the order of the index, where segments begin, their groups): toxic ones first, like ones together, small ones first.
+
+    Like examples are found by a few rounds of spherical means over the commonest terms. The order decides how much is measured, never
+    what is found.
+    """
+    n = len(toxic)
     begin = np.cumsum(length, dtype=np.int64) - length
-    common = np.flatnonzero(length > DENSE * n)
-    column = np.full(len(terms), -1, np.int32)
-    column[common] = np.arange(len(common))
-    matrix = np.zeros((n, len(common)), np.float32)
-    for at, t in enumerate(common):
+    telling = np.argsort(-length, kind="stable")[:TELLING]
+    rows = np.zeros((n, len(telling)), np.float32)
+    for at, t in enumerate(telling):
         part = slice(begin[t], begin[t] + length[t])
-        matrix[holder[part], at] = weight[part]
-    listed = np.repeat(column < 0, length)
-    start = np.concatenate([[0], np.cumsum(np.where(column < 0, length, 0), dtype=np.int64)])
-    most = np.stack([matrix[i : i + BLOCK].max(0) for i in range(0, n, BLOCK)])
-    return Index(terms, idf, matrix, most, ids, toxic, rate, rate, column, start, holder[listed], weight[listed], length == 1)
+        rows[holder[part], at] = weight_of[part] * idf[t]
+    rows /= np.maximum(np.sqrt((rows * rows).sum(1)), 1e-12)[:, None]
+    centers = rows[np.random.default_rng(7).permutation(n)[:GROUPS]]
+    for _ in range(5):
+        group = (rows @ centers.T).argmax(1)
+        sums = np.stack([rows[group == g].sum(0) for g in range(len(centers))])
+        centers = sums / np.maximum(np.sqrt((sums * sums).sum(1)), 1e-12)[:, None]
+    size = np.bincount(holder, minlength=n)
+    order = np.lexsort((size, group, -toxic))
+    kind = group[order] + len(centers) * (toxic[order] > 0)
+    first = np.concatenate([[0], np.flatnonzero(kind[1:] != kind[:-1]) + 1, [n]])
+    cuts = np.concatenate([np.arange(a, b, SEGMENT) for a, b in zip(first, first[1:])])
+    return order, cuts, np.unique(group[order], return_inverse=True)[1][cuts]
 
 
 class Model(NamedTuple):
@@ -179,8 +285,8 @@ class Model(NamedTuple):
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     """The index of the labelled sample; document frequencies are those of all documents.
 
-    What reaches the driver is bounded by SAMPLE: its texts as terms. Without both kinds of labels there is no index and
-    every text scores the rate of the label.
+    What reaches the driver is bounded by SAMPLE and the length of its texts: their terms. Without both kinds of labels there is no
+    index and every text scores the rate of the label.
     """
     context = documents.sparkSession.sparkContext
     rows = sample(documents, labels, label).withColumnRenamed(label, "toxic").withColumn("place", F.xxhash64("text")).dropDuplicates(["doc_id", "text"])
@@ -188,47 +294,51 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     keys = rows.select("toxic", "doc_id", "place").toArrow()
     toxic, ids, place = (keys[c].to_numpy().astype(np.int64) for c in ("toxic", "doc_id", "place"))
     n, rate = len(ids), float((toxic.sum() + 0.5) / (len(ids) + 1))
-    first = np.lexsort((place, ids, -toxic))
+    first = np.lexsort((place, ids))
     number_of = {key: i for i, key in enumerate(zip(ids[first].tolist(), place[first].tolist()))}
     ids, toxic = ids[first], toxic[first].astype(np.float64)
     if not 0 < toxic.sum() < n:
         return Model(ids, toxic, rate)
     kind = np.uint16 if n <= 1 << 16 else np.int32
-    terms, length, holder, counts = [], [], [], []
-    # A share of all terms at a time, so that the driver never holds the hashes of all examples.
+    terms, length, holder, code, times = [], [], [], [], {}
+    # A share of all terms at a time, so that the driver never holds the terms of all examples as they come.
+    found_terms = stored(rows.mapInArrow(_examples, "doc_id long, place long, share int, terms binary, times binary"))
     for share in range(SHARES):
-        held = [(number_of[r.doc_id, r.place], np.frombuffer(r.terms, np.uint64), np.frombuffer(r.times, np.int32)) for r in rows.mapInArrow(_examples(share), "doc_id long, place long, terms binary, times binary").toLocalIterator()]
+        part = found_terms.where(F.col("share") == share)
+        held = [(number_of[r.doc_id, r.place], np.frombuffer(r.terms, np.uint64), np.frombuffer(r.times, np.int32)) for r in part.toLocalIterator()]
+        if not held:
+            continue
         held.sort(key=lambda x: x[0])
         hashes = np.concatenate([x[1] for x in held])
         number = np.repeat(np.array([x[0] for x in held], kind), [len(x[1]) for x in held])
-        many = np.concatenate([x[2] for x in held])
+        many, place = np.unique(np.concatenate([x[2] for x in held]), return_inverse=True)
         del held
+        codes = np.array([times.setdefault(m, len(times)) for m in many.tolist()], np.uint16)[place]
         order = np.argsort(hashes, kind="stable")
         found, size = np.unique(hashes, return_counts=True)
         terms.append(found)
         length.append(size.astype(np.int32))
         holder.append(number[order])
-        counts.append(many[order])
-        del hashes, number, many, order
-    terms, length, holder, counts = (np.concatenate(x) for x in (terms, length, holder, counts))
+        code.append(codes[order])
+        del hashes, number, place, codes, order
     del number_of
-    if not len(terms):
+    if not terms:
         return Model(ids, toxic, rate)
-    times = np.flatnonzero(np.bincount(counts))
-    code = np.zeros(len(counts), np.uint8 if len(times) <= 256 else np.int32)
-    for i in range(0, len(counts), 1 << 20):
-        code[i : i + (1 << 20)] = np.searchsorted(times, counts[i : i + (1 << 20)])
-    del counts
+    terms, length, holder, code = (np.concatenate(x) for x in (terms, length, holder, code))
+    times = np.array(list(times))
+    if len(times) <= 256:
+        code = code.astype(np.uint8)
     known_terms = context.broadcast(terms)
 
     def frequencies(batches):
         terms = known_terms.value
+        places = _places(terms)
         total, texts = np.zeros(len(terms), np.int64), 0
         for batch in batches:
             texts += batch.num_rows
-            for _, _, (at, hashes) in _slices(batch.column("text")):
-                at, hashes, _ = _distinct(at, hashes)
-                np.add.at(total, _known(terms, at, hashes)[1], 1)
+            for _, _, _, found, _ in _slices(batch.column("text")):
+                at, use = _known(terms, places, found)
+                np.add.at(total, at[use], 1)
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(hit, -1)), pa.array(np.append(total[hit], texts))], names=["term", "documents"])
 
@@ -241,7 +351,12 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     del counted, term, documents_with
     if of_all < 1 << 31:
         frequency = frequency.astype(np.int32)
-    shared = context.broadcast(Packed(terms, length, holder, code, times, frequency, of_all, ids, toxic, rate))
+    order, cuts, groups = arranged(length, holder, (1 + np.log(times)).astype(np.float32)[code], _idf(frequency, of_all), toxic)
+    place = np.empty(n, kind)
+    place[order] = np.arange(n)
+    holder, ids, toxic = place[holder], ids[order], toxic[order]
+    shared = context.broadcast(Packed(terms, length, holder, code, times, frequency, of_all, cuts, groups, ids, toxic, rate))
+    del terms, length, holder, code, frequency
 
     def alone(batches):
         for batch in batches:
@@ -250,8 +365,11 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
 
     seen = rows.mapInArrow(alone, "toxic int, features array<double>").toArrow()
     if not len(seen):
+        shared.destroy()
         return Model(ids, toxic, rate)
-    return Model(ids, toxic, rate, shared, logistic(np.array(seen["features"].to_pylist()), seen["toxic"].to_numpy().astype(np.float64)))
+    features, of_kind = np.array(seen["features"].to_pylist()), seen["toxic"].to_numpy().astype(np.float64)
+    in_order = np.lexsort((of_kind, *features.T))  # whatever order the rows came in
+    return Model(ids, toxic, rate, shared, logistic(features[in_order], of_kind[in_order]))
 
 
 def logistic(features: np.ndarray, toxic: np.ndarray) -> np.ndarray:
@@ -277,40 +395,111 @@ def logistic(features: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     return np.append(at[:-1] / spread, at[-1] - (at[:-1] * mean / spread).sum())
 
 
-def cosines(index: Index, rows: np.ndarray, known: np.ndarray, weight: np.ndarray, texts: int) -> np.ndarray:
-    """texts x examples: cosines of unit vectors, given as (row, term, weight) by row, to every example."""
-    column = index.column[known]
-    dense = np.zeros((texts, index.rows.shape[1]), np.float32)
-    is_dense = column >= 0
-    dense[rows[is_dense], column[is_dense]] = weight[is_dense]
-    out = dense @ index.rows.T
-    rows, known, weight = rows[~is_dense], known[~is_dense], weight[~is_dense]
-    first, size = index.start[known], index.start[known + 1] - index.start[known]
-    cut = np.searchsorted(rows, np.arange(texts + 1))
-    for text in range(texts):
-        a, b = cut[text], cut[text + 1]
-        if a < b:
-            length = size[a:b]
-            ends = np.cumsum(length)
-            at = np.repeat(first[a:b] - ends + length, length) + np.arange(ends[-1])
-            out[text] += np.bincount(index.holder[at], index.weight[at] * np.repeat(weight[a:b], length), out.shape[1])
-    return out
+def _measured(segment: Segment, query: np.ndarray, out: np.ndarray, texts: np.ndarray, blocks: np.ndarray | None = None) -> None:
+    """Adds what the columns give to the cosines of some texts to a segment's examples, or to those of some blocks."""
+    if blocks is None:
+        out[texts, segment.start : segment.end] += query[texts] @ segment.rows.T
+        return
+    at = np.flatnonzero(np.repeat(blocks, BLOCK)[: segment.end - segment.start])
+    out[np.ix_(texts, segment.start + at)] += query[texts] @ segment.rows[at].T
 
 
-def _nearest(cosines: np.ndarray, k: int) -> np.ndarray:
-    """Per row, the columns of the k largest cosines, from the largest down."""
-    k = min(k, cosines.shape[1])
-    top = np.sort(np.argpartition(cosines, cosines.shape[1] - k, 1)[:, cosines.shape[1] - k :], 1)
-    return np.take_along_axis(top, np.argsort(-np.take_along_axis(cosines, top, 1), 1, kind="stable"), 1)
+def _listed(start: np.ndarray, terms: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, shares) of all entries of some terms' lists."""
+    first, length = start[terms], start[terms + 1] - start[terms]
+    ends = np.cumsum(length)
+    return np.repeat(first - ends + length, length) + np.arange(ends[-1]), np.repeat(share, length)
 
 
-def _features(index: Index, texts: pa.Array, ids: np.ndarray | None = None):
-    """(rows, features, nearest examples) for the texts that hold a known term. ids: examples of the same id do not count."""
+def cosines(index: Index, rows: np.ndarray, known: np.ndarray, weight: np.ndarray, texts: int, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """(texts x examples, texts x 2): cosines of unit vectors, given as (row, term, weight) by row, and what the `near` nearest toxic and clean examples have at least.
+
+    Examples proven to be below have -1.
+    """
+    n = len(index.ids)
+    out = np.zeros((texts, n), np.float32)
+    # Lists: what the terms that are no column of a group give there, exactly.
+    cut = np.searchsorted(rows, np.arange(texts + 1))
+    share = weight * index.idf[known]
+    for text in range(texts):
+        part = slice(cut[text], cut[text + 1])
+        if part.start < part.stop:
+            at, given = _listed(index.start, known[part], share[part])
+            once = np.bincount(index.holder[at], given, n)
+            at, given = _listed(index.start_more, known[part], share[part])
+            out[text] = (once + np.bincount(index.holder_more[at], index.weight_more[at] * given, n)) * index.scale
+    # Bounds: what the columns give at most in a block, and the most that lists give there.
+    number = index.common[known]
+    use = number >= 0
+    number, of, share = number[use], rows[use], weight[use]
+    queries = []
+    for columns in index.columns:
+        column = columns[number]
+        use = np.flatnonzero(column >= 0)
+        query = np.zeros((texts, int(columns.max(initial=-1)) + 1), np.float32)
+        query[of[use], column[use]] = share[use]
+        queries.append(query)
+    bounds = []
+    for s in index.segments:
+        bounds.append(queries[s.group] @ s.most.T + np.maximum.reduceat(out[:, s.start : s.end], np.arange(0, s.end - s.start, BLOCK), 1))
+    best = np.stack([b.max(1) for b in bounds], 1)
+    is_measured = np.zeros(best.shape, bool)
+    least_of = np.full((texts, 2), -1, np.float32)
+    for at, kind in enumerate((True, False)):
+        of_kind = np.flatnonzero([s.toxic == kind for s in index.segments])
+        order = of_kind[np.argsort(-best[:, of_kind], 1, kind="stable")]
+        sizes = np.array([s.end - s.start for s in index.segments])[order]
+        # The best segments of each text, so many that they hold more examples than are looked for.
+        np.put_along_axis(is_measured, order, np.cumsum(sizes, 1) - sizes < FIRST * near, 1)
+        for s in of_kind:
+            if len(some := np.flatnonzero(is_measured[:, s])):
+                _measured(index.segments[s], queries[index.segments[s].group], out, some)
+        # What one of the nearest has at least: the measured examples hold as many that have it.
+        least = least_of[:, at]
+        patterns, pattern = np.unique(is_measured[:, of_kind], axis=0, return_inverse=True)
+        for p, some in enumerate(patterns):
+            seen = np.concatenate([np.arange(index.segments[s].start, index.segments[s].end) for s in of_kind[some]])
+            if len(seen) > near:
+                same = np.flatnonzero(pattern.ravel() == p)
+                least[same] = np.partition(out[np.ix_(same, seen)], len(seen) - near, 1)[:, len(seen) - near] - SLACK
+        for s in of_kind:
+            segment, rest = index.segments[s], np.flatnonzero(~is_measured[:, s])
+            wanted = bounds[s][rest] >= least[rest, None]
+            if len(some := rest[wanted.any(1)]):
+                blocks = wanted.any(0)
+                _measured(segment, queries[index.segments[s].group], out, some, blocks)
+                out[np.ix_(some, segment.start + np.flatnonzero(np.repeat(~blocks, BLOCK)[: segment.end - segment.start]))] = -1
+            if len(some := rest[~wanted.any(1)]):
+                out[some, segment.start : segment.end] = -1
+    return out, least_of
+
+
+def _nearest(cosine: np.ndarray, least: np.ndarray, before: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row, (columns, cosines) of the k largest cosines, from the largest down; equal ones, to a part of PARTS, by id.
+
+    least: what those have at least. A cosine below 0 counts as 0; rows with fewer columns than k have them all.
+    """
+    k = min(k, cosine.shape[1])
+    top, close = np.empty((len(cosine), k), np.int64), np.empty((len(cosine), k))
+    for row, values in enumerate(cosine):
+        some = np.flatnonzero(values >= least[row])
+        if len(some) > 2 * k:
+            some = some[values[some] >= np.partition(values[some], len(some) - k)[len(some) - k] - SLACK]
+        elif len(some) < k:
+            some = np.arange(len(values))
+        parts = np.rint(np.maximum(values[some], 0) * PARTS).astype(np.int64)
+        first = np.argsort(before[some] - (parts << 32))[:k]
+        top[row], close[row] = some[first], parts[first] / PARTS
+    return top, close
+
+
+def _features(index: Index, texts: pa.Array, ids: np.ndarray | None = None, keep: int = NEIGHBOURS):
+    """(rows, features, `keep` nearest examples, VOTES[-1] at most) for the texts that hold a known term. ids: examples of the same id do not count."""
     toxics = int(index.toxic.sum())
-    for start, end, found in _slices(texts):
-        rows, hashes, times = _distinct(*found)
-        at = np.minimum(np.searchsorted(index.terms, hashes), len(index.terms) - 1)
-        use = index.terms[at] == hashes
+    # An example may be its own neighbour: so many more are looked for.
+    near = MEANS[-1] + (0 if ids is None else int(np.unique(index.ids, return_counts=True)[1].max()))
+    for start, end, rows, terms, times in _slices(texts):
+        at, use = _known(index.terms, index.places, terms)
         if ids is not None:
             # Another text would have no use of a term that only this one holds.
             use &= ~index.single[at]
@@ -323,14 +512,14 @@ def _features(index: Index, texts: pa.Array, ids: np.ndarray | None = None):
             here, place = np.unique(rows[a:b], return_inverse=True)
             if not len(here):
                 continue
-            cosine = cosines(index, place, known[a:b], weight[a:b], len(here))
+            cosine, least = cosines(index, place, known[a:b], weight[a:b], len(here), near)
             if ids is not None:
                 cosine[ids[start + here][:, None] == index.ids[None, :]] = 0
-            top = [_nearest(cosine[:, :toxics], MEANS[-1]), _nearest(cosine[:, toxics:], MEANS[-1]) + toxics]
-            near = [np.take_along_axis(cosine, t, 1).astype(np.float64) for t in top]
-            means = [c[:, :k].mean(1) for c in near for k in MEANS]
-            both, c = np.concatenate(top, 1), np.concatenate(near, 1)
-            order = np.argsort(-c, 1, kind="stable")[:, : VOTES[-1]]
+            found = [_nearest(cosine[:, kind], least[:, at], index.before[kind], MEANS[-1]) for at, kind in enumerate((slice(0, toxics), slice(toxics, None)))]
+            top, close = [found[0][0], found[1][0] + toxics], [c for _, c in found]
+            means = [c[:, :k].mean(1) for c in close for k in MEANS]
+            both, c = np.concatenate(top, 1), np.concatenate(close, 1)
+            order = np.argsort(index.before[both] - np.rint(c * PARTS).astype(np.int64) * (1 << 32), 1, kind="stable")[:, : VOTES[-1]]
             both, c = np.take_along_axis(both, order, 1), np.take_along_axis(c, order, 1)
             is_toxic = index.toxic[both]
             votes = []
@@ -339,42 +528,24 @@ def _features(index: Index, texts: pa.Array, ids: np.ndarray | None = None):
                 half = 0.5 * c[:, :k].mean(1) + 1e-9
                 p = np.clip(((c * is_toxic)[:, :k].sum(1) + index.rate * half) / (c[:, :k].sum(1) + half), 1e-4, 1 - 1e-4)
                 votes.append(np.log(p / (1 - p)))
-            yield here + start, np.stack(means + votes, 1), [b_[c_ > 0] for b_, c_ in zip(both, c)]
-
-
-def nearest(index: Index, query: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-    """(example, cosine) of the k nearest examples to a unit vector, ties to the earlier example; only those with a cosine above 0."""
-    used = np.flatnonzero(query)
-    weight = query[used]
-    bound = index.most[:, used] @ weight
-    best, cosines = np.zeros(0, np.int64), np.zeros(0)
-    for block in np.argsort(-bound, kind="stable"):
-        if bound[block] <= 0 or len(best) == k and bound[block] < cosines[-1] - 1e-6:
-            break
-        start = block * BLOCK
-        found = index.rows[start : start + BLOCK][:, used] @ weight
-        hit = np.flatnonzero(found > 0)
-        best, cosines = np.concatenate([best, hit + start]), np.concatenate([cosines, found[hit]])
-        top = np.lexsort((best, -np.round(cosines, 9)))[:k]
-        best, cosines = best[top], cosines[top]
-    return best, cosines
+            yield here + start, np.stack(means + votes, 1), [b_[c_ > 0] for b_, c_ in zip(both[:, :keep], c[:, :keep])]
 
 
 def score(documents: DataFrame, model: Model, k: int = NEIGHBOURS) -> DataFrame:
     """The documents with score (the probability of the label) and evidence, the ids of the k nearest examples.
 
     Null, empty and wordless texts, like all without a known term, score the rate of the examples and have no
-    evidence. All columns and rows stay; columns named score or evidence are replaced.
+    evidence. Equal neighbours come in the order of their ids. All columns and rows stay; columns named score or evidence are replaced.
     """
     shared, fitted, rate = model.shared, model.fitted, model.rate
 
     def scored(texts: pa.Array) -> pa.Array:
         scores, evidence = np.full(len(texts), rate), [[] for _ in range(len(texts))]
         if fitted is not None:
-            for rows, features, near in _features(shared.value, texts):
+            for rows, features, near in _features(shared.value, texts, keep=k):
                 scores[rows] = 1 / (1 + np.exp(-np.clip(features @ fitted[:-1] + fitted[-1], -500, 500)))
                 for row, examples in zip(rows, near):
-                    evidence[row] = shared.value.ids[examples[:k]].tolist()
+                    evidence[row] = shared.value.ids[examples].tolist()
         return pa.StructArray.from_arrays([pa.array(scores), pa.array(evidence, pa.list_(pa.int64()))], names=["score", "evidence"])
 
     udf = F.arrow_udf(scored, "score double, evidence array<bigint>")
