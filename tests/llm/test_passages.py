@@ -69,6 +69,18 @@ def test_edges(spark):
     assert left.columns == ["doc_id", "text", "times"] and left.count() == len(rows)
 
 
+def test_two_texts_of_an_id_are_two_documents(spark):
+    rng = np.random.default_rng(6)
+    shared, clean, other = prose(rng, 120, "s"), " ".join(prose(rng, 600, "c")), prose(rng, 300, "o")
+    rows = [(1, " ".join(shared)), (5, clean), (5, " ".join(other + shared)), (5, " ".join(other + shared))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = passages.repeated_passages(frame)
+    assert [(r.doc_id, r.first_doc_id) for r in found.collect()] == [(5, 1)]
+    left = sorted(r.text for r in passages.without(frame, found).collect())
+    assert left[:2] != left[1:3] and clean in left and rows[0][1] in left
+    assert [len(t.split()) < 320 for t in left if t.startswith("o")] == [True, True]
+
+
 def test_query_misses_no_long_passage(spark):
     folder = "/root/testdata/sf0.001"
     docs = {r.doc_id: (r.text or "").split() for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}

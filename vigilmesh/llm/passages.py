@@ -30,6 +30,8 @@ REACH = 5
 LONGEST = 64
 #: Bands of ROWS hashes: at a similarity of 0.8 a pair shares a band with a probability of 1 - (1 - 0.8^2)^4 = 0.98.
 BANDS, ROWS = 4, 2
+#: Bits of a band's key. Paragraphs that share a key by chance are candidates that verification drops.
+KEY_BITS = 48
 PERCENT = 80
 #: Words that the repeated paragraphs of a passage hold together. A passage of 50 words loses part of a paragraph at either end.
 LEAST = 20
@@ -111,7 +113,10 @@ def _slices(column: pa.Array):
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, print): bands of each paragraph, equal paragraphs of a slice once, or twice to tell that there are several."""
+    """(print, key): bands of each paragraph, equal paragraphs of a slice once, or twice to tell that there are several.
+
+    A key has KEY_BITS bits and comes last: its zeros and the head of the next row compress as one.
+    """
     for batch in batches:
         for _, p in _slices(batch.column("text")):
             prints, first, times = np.unique(p["print"], return_index=True, return_counts=True)
@@ -121,10 +126,10 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with np.errstate(over="ignore"):
                 keys = bands(p, chosen)
             several = np.minimum(times[by_place], 2)
-            keys, prints = np.repeat(keys, several, axis=0).ravel(), np.repeat(prints[by_place], several * BANDS)
+            keys, prints = np.repeat(keys >> np.uint64(64 - KEY_BITS), several, axis=0).ravel(), np.repeat(prints[by_place], several * BANDS)
             for i in range(0, len(keys), 1 << 16):
                 part = slice(i, i + (1 << 16))
-                yield pa.RecordBatch.from_arrays([long_array(keys[part]), long_array(prints[part])], names=["key", "print"])
+                yield pa.RecordBatch.from_arrays([long_array(prints[part]), long_array(keys[part])], names=["print", "key"])
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,8 +148,9 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ("index", "word", "words", "start", "end")
     for batch in batches:
         for start, p in _slices(batch.column("text")):
-            ids = batch.column("doc_id").take(pa.array(p["doc"] + start))
-            whole = pa.RecordBatch.from_arrays([ids, *(pa.array(p[c].astype(np.int32)) for c in names), long_array(p["print"])], names=["doc_id", *names, "print"])
+            of = pa.array(p["doc"] + start)
+            ids, texts = batch.column("doc_id").take(of), batch.column("text_print").take(of)
+            whole = pa.RecordBatch.from_arrays([ids, texts, *(pa.array(p[c].astype(np.int32)) for c in names), long_array(p["print"])], names=["doc_id", "text_print", *names, "print"])
             for i in range(0, len(whole), 1 << 16):
                 yield whole.slice(i, 1 << 16)
 
@@ -187,16 +193,18 @@ def _thinned(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def repeated_passages(documents: DataFrame, least_words: int = LEAST, id_column="doc_id", text_column="text") -> DataFrame:
-    """One row per repeated passage: doc_id, first_word, n_words, first_byte, last_byte, first_doc_id and n_documents.
+    """One row per repeated passage: doc_id, text_print, first_word, n_words, first_byte, last_byte, first_doc_id and n_documents.
 
     The words, counted from 0, and the UTF-8 bytes [first_byte, last_byte) lie in the document's text; first_doc_id is the
     document whose occurrence stays (the smallest, if the passage's paragraphs stay in several) and n_documents the
-    occurrences of its most frequent paragraph. What a document repeats of itself alone is not reported. Null, empty and blank texts and rows without an id have no passages; rows that repeat an
+    occurrences of its most frequent paragraph. text_print, a hash of the text, tells the texts of one id apart. What an id repeats of itself alone is not reported. Null, empty and blank texts and rows without an id have no passages; rows that repeat an
     id and a text are one document. An empty table gives an empty result. Other columns are not read.
     """
-    docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).where("doc_id IS NOT NULL")
+    docs = documents.select(
+        F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), F.xxhash64(text_column).alias("text_print")
+    ).where("doc_id IS NOT NULL")
     # One shuffle of the entries serves both the buckets and their members.
-    entries = docs.mapInArrow(_entries, "key long, print long")
+    entries = docs.mapInArrow(_entries, "print long, key long")
     # Said outright, else it would be inferred for one of the two uses only and part them.
     entries = entries.where("key IS NOT NULL AND print IS NOT NULL").repartition("key")
     buckets = entries.groupBy("key").agg(F.min("print").alias("a"), F.max("print").alias("b"), F.count("*").alias("times"))
@@ -208,7 +216,7 @@ def repeated_passages(documents: DataFrame, least_words: int = LEAST, id_column=
     cells = meet_in_cells(mixed, ["key"], "print", BLOCK, sets)
     group = cut_lineage(components(cut_lineage(cells.mapInArrow(_verify, "u long, v long"))))
 
-    kind = "doc_id long, index int, word int, words int, start int, end int, print long"
+    kind = "doc_id long, text_print long, index int, word int, words int, start int, end int, print long"
     seen = _thinned(docs.mapInArrow(_occurrences, kind), members.select("print"))
     per_print = seen.groupBy("print").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "index")).alias("first"))
     # What passed the filter by chance goes here.
@@ -223,13 +231,13 @@ def repeated_passages(documents: DataFrame, least_words: int = LEAST, id_column=
         seen.join(stays, "print")
         .where(F.col("first.doc_id") != F.col("doc_id"))
         .select(*kind.replace(" long", "").replace(" int", "").split(", "), "times", F.col("first.doc_id").alias("first_doc_id"))
-        .dropDuplicates(["doc_id", "index"])
+        .dropDuplicates(["doc_id", "text_print", "index"])
     )
     # Neighbours form a passage: their number less their rank is the same.
-    run = F.col("index") - F.row_number().over(Window.partitionBy("doc_id").orderBy("index"))
+    run = F.col("index") - F.row_number().over(Window.partitionBy("doc_id", "text_print").orderBy("index"))
     return (
         marked.withColumn("run", run)
-        .groupBy("doc_id", "run")
+        .groupBy("doc_id", "text_print", "run")
         .agg(
             F.min("word").cast("long").alias("first_word"), F.sum("words").alias("n_words"), F.min("start").cast("long").alias("first_byte"),
             F.max("end").cast("long").alias("last_byte"), F.min("first_doc_id").alias("first_doc_id"), F.max("times").alias("n_documents"),
@@ -240,7 +248,10 @@ def repeated_passages(documents: DataFrame, least_words: int = LEAST, id_column=
 
 
 def without(documents: DataFrame, passages: DataFrame) -> DataFrame:
-    """The documents, all columns, with the passages cut out of their texts; other documents as they are."""
+    """The documents, all columns, with the passages cut out of their texts; other documents as they are.
+
+    A passage is cut from the text that it was found in: two texts of one id are two documents.
+    """
     kept = documents.columns
 
     @F.pandas_udf("string")
@@ -258,7 +269,8 @@ def without(documents: DataFrame, passages: DataFrame) -> DataFrame:
 
         return pd.Series(out, dtype=object)
 
-    spans = passages.groupBy(F.col("doc_id").alias("span_doc_id")).agg(F.sort_array(F.collect_list(F.struct("first_byte", "last_byte"))).alias("spans_to_cut"))
-    joined = documents.join(spans, documents["doc_id"] == spans["span_doc_id"], "left")
+    spans = passages.groupBy(F.col("doc_id").alias("span_doc_id"), F.col("text_print").alias("span_text_print")).agg(F.sort_array(F.collect_list(F.struct("first_byte", "last_byte"))).alias("spans_to_cut"))
+    own = (documents["doc_id"] == spans["span_doc_id"]) & (F.xxhash64(documents["text"]) == spans["span_text_print"])
+    joined = documents.join(spans, own, "left")
     touched = F.when(F.col("spans_to_cut").isNull(), F.col("text")).otherwise(cut("text", "spans_to_cut"))
     return joined.withColumn("text", touched).select(*kept)
