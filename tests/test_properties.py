@@ -147,3 +147,39 @@ def test_greedy_matching_equals_one_by_one(spark):
     pairs = selection.overlap_pairs(spark.createDataFrame(truth, schema), spark.createDataFrame(found, schema), "g", 300)
     got = {(r.truth_id, r.detected_id) for r in selection.greedy_match(pairs).collect()}
     assert got == brute_match(truth, found, 300)
+
+
+def test_matching_by_clusters_equals_one_by_one(spark):
+    """Composite keys, clusters settled at once or in rounds, delays and unseen recoveries against plain Python."""
+    rng = random.Random(12)
+    names = selection.COMPATIBLE
+
+    def episode(letter, i):
+        start = rng.randrange(0, 40000)
+        key = (f"g{rng.randrange(2)}", "SMS", rng.choice("ab"), rng.choice("xy"))
+        return (*key, f"{letter}{i}", float(start), float(start + rng.randrange(60, 5000)))
+
+    truth = [(*e, e[5] + 60, e[6] + 10) for e in (episode("t", i) for i in range(120))]
+    found = [(*e, e[5] + 30, None if i % 4 == 0 else e[6] + 20) for i, e in enumerate(episode("d", i) for i in range(150))]
+    fields = ", ".join(f"`{n}` string" for n in names) + ", id string, start_s double, end_s double"
+    t = spark.createDataFrame(truth + [(None, "SMS", "a", "x", "tn", 0.0, 100.0, 60.0, 110.0)], fields + ", first_finalized_s double, recovered_s double")
+    d = spark.createDataFrame(found + [(None, "SMS", "a", "x", "dn", 0.0, 100.0, 30.0, 110.0)], fields + ", detected_s double, recovered_s double")
+    offers = sorted(
+        (-max(min(a[6], b[6]) - max(a[5], b[5]), 0), b[7], b[4], a[4], a, b)
+        for a in truth for b in found if a[:4] == b[:4] and min(a[6], b[6]) - max(a[5], b[5]) > -300)
+    taken, want = set(), set()
+    for _, _, did, tid, a, b in offers:
+        if tid not in taken and did not in taken:
+            taken |= {tid, did}
+            want.add((tid, did, b[7] - a[5], b[7] - a[7], None if b[8] is None else b[8] - a[8], b[8] is None))
+    pairs = selection.candidate_pairs(t, d, 300)
+    assert pairs.count() == len(offers)
+    for at_once in (5000, 3, 0):
+        matched = selection.match_episodes(pairs, at_once=at_once)
+        got = {(r.truth_id, r.detected_id, r.detection_delay, r.finalized_delay, r.recovery_delay, r.recovery_unobserved) for r in matched.collect()}
+        assert got == want, at_once
+    report = selection.matching_report(t, d, pairs, selection.match_episodes(pairs), ["domain"]).first()
+    unmatched = {b[4] for *_, b in offers} - taken
+    assert (report.tp, report.fp, report.fn, report.duplicates) == (len(want), 151 - len(want), 121 - len(want), len(unmatched))
+    assert report.recovery_unobserved == sum(w[5] for w in want)
+    assert selection.match_episodes(selection.candidate_pairs(t.limit(0), d, 300)).count() == 0
