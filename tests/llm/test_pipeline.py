@@ -78,8 +78,22 @@ def test_run_and_edges(spark, tmp_path):
     spark.createDataFrame(odd, kind).write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     out = corpus_pipeline.run(spark, folder).collect()
-    assert {r.doc_id for r in out} <= {1, 2, 3, 4} and 4 in {r.doc_id for r in out}
+    assert {r.doc_id for r in out} <= {1, 2, 3, 4, None} and 4 in {r.doc_id for r in out}
     empty = tmp_path / "empty"
     spark.createDataFrame([], kind).write.parquet(f"{empty}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{empty}/labels.parquet")
     assert corpus_pipeline.run(spark, str(empty)).count() == 0
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    """Two texts of an id are two documents, a row without an id is one, and equal rows are one."""
+    text = lambda tag: " ".join(f"{tag}{i}" for i in range(40))
+    rows = [(7, text("a")), (7, text("b")), (None, text("c")), (None, text("d")), (None, text("a")), (9, text("b") + " more"), (3, text("e")), (3, text("e"))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    single = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert sorted(((r.doc_id or 0, r.text) for r in single)) == sorted([(7, text("a")), (7, text("b")), (0, text("c")), (0, text("d")), (3, text("e"))])
+    mixed = corpus_pipeline.mix_sources(spark, docs.dropDuplicates(["doc_id", "text"]), "").collect()
+    sizes = {t: len(t.split()) for _, t in rows}
+    total = sum(sizes[t] for _, t in set(rows))
+    assert abs(sum(len(r.text.split()) for r in mixed) - 1.5 * total) <= 2 * max(sizes.values())
+    assert {(r.doc_id, r.text) for r in mixed} <= set(rows)

@@ -13,6 +13,7 @@ without its own vote. A text without any known term has no neighbour and scores
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -194,7 +195,15 @@ def _postings(length: np.ndarray):
         yield a, b, begin[a], begin[b]
 
 
+def _give_back() -> None:
+    """Memory of freed work arrays goes back to the system, where the C library can: a worker serves many stages beside others."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def unpacked(terms, length, holder, code, times, frequency, documents, cuts, groups, ids, toxic, rate) -> Index:
+    _give_back()
     n, ends, many = len(ids), np.append(cuts[1:], len(ids)), int(groups.max()) + 1
     idf, tf = _idf(frequency, documents), (1 + np.log(times)).astype(np.float32)
     square = np.zeros(n)
@@ -241,10 +250,13 @@ def unpacked(terms, length, holder, code, times, frequency, documents, cuts, gro
         most = np.maximum.reduceat(rows, np.arange(0, end - start, BLOCK), 0)
         segments.append(Segment(int(start), int(end), int(groups[s]), bool(toxic[start]), rows, most))
     begin, begin_more = (np.concatenate([[0], np.cumsum(x)]) for x in (left, more))
-    return Index(
+    index = Index(
         terms, _places(terms), idf, common, list(column), segments, scale, begin, np.concatenate(left_holder),
         begin_more, np.concatenate(more_holder), np.concatenate(more_weight), length == 1, ids, np.argsort(np.argsort(ids, kind="stable"), kind="stable"), toxic, rate,
     )
+    del flat, holders, left_holder, more_holder, more_weight, square
+    _give_back()
+    return index
 
 
 def arranged(length: np.ndarray, holder: np.ndarray, weight_of: np.ndarray, idf: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
