@@ -183,3 +183,28 @@ def test_matching_by_clusters_equals_one_by_one(spark):
     assert (report.tp, report.fp, report.fn, report.duplicates) == (len(want), 151 - len(want), 121 - len(want), len(unmatched))
     assert report.recovery_unobserved == sum(w[5] for w in want)
     assert selection.match_episodes(selection.candidate_pairs(t.limit(0), d, 300)).count() == 0
+
+
+def test_pairs_of_few_and_of_crowded_clusters_are_the_same(spark):
+    """Episodes that meet cluster by cluster or cell by cell against plain Python, also ones that end before they start; pairs are found once."""
+    rng = random.Random(31)
+
+    def episode(letter, i):
+        start = rng.randrange(0, 60000)
+        return (f"g{rng.randrange(3)}", "SMS", "a", "x", f"{letter}{i}", float(start), float(start + rng.randrange(-250, 9000)))
+
+    truth = [(*e, e[5] + 60, e[6] + 10) for e in (episode("t", i) for i in range(90))]
+    found = [(*e, e[5] + 30, e[6] + 20) for e in (episode("d", i) for i in range(90))]
+    truth += [("g0", None, "a", "x", "tn", 0.0, 100.0, 60.0, 110.0), ("g0", "SMS", "a", "x", "te", None, 100.0, 60.0, 110.0)]
+    fields = ", ".join(f"`{n}` string" for n in selection.COMPATIBLE) + ", id string, start_s double, end_s double"
+    t = spark.createDataFrame(truth, fields + ", first_finalized_s double, recovered_s double")
+    d = spark.createDataFrame(found, fields + ", detected_s double, recovered_s double")
+    want = {(a[4], b[4]) for a in truth[:90] for b in found if a[:4] == b[:4] and min(a[6], b[6]) - max(a[5], b[5]) > -300}
+    clusters = []
+    for at_once in (10**9, 40, 0):
+        pairs = selection.candidate_pairs(t, d, 300, at_once=at_once)
+        rows = pairs.collect()
+        assert len(rows) == len(want) and {(r.truth_id, r.detected_id) for r in rows} == want
+        clusters.append({(r.truth_id, r.cluster) for r in rows})
+        assert "Join" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert clusters[0] == clusters[1] == clusters[2]

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilmesh.session import cut_lineage, shared_folder
+from vigilmesh.session import cut_lineage, stored
 
 #: White space that separates words, as listed by the contracts.
 SPACE = r"\x20\x09-\x0D"
@@ -20,7 +19,7 @@ PLAIN_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-__all__ = ["cut_lineage"]
+__all__ = ["cut_lineage", "stored"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -77,14 +76,6 @@ def long_array(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64) if values.dtype == np.uint64 else values.astype(np.int64))
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The frame written once, as a table in the shared folder, and read back: columnar, and safe from lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def meet_in_cells(rows: DataFrame, key: list[str], id_column: str, block: int, payload: DataFrame | None = None) -> DataFrame:
     """Rows of keys with two or more of them, dealt so that each two rows of a key share exactly one or, within a block, one cell.
 

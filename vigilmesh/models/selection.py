@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilmesh.functions.arithmetic import divide
 from vigilmesh.operators.evaluation import rates
-from vigilmesh.session import cut_lineage
+from vigilmesh.session import cut_lineage, stored
 
 
 def threshold_counts(scored: DataFrame, keys: list[str], thresholds: list[float]) -> DataFrame:
@@ -135,39 +138,52 @@ def match_summary(truth: DataFrame, detected: DataFrame, pairs: DataFrame, match
     return j.withColumn("fp", F.col("detected_episodes") - F.col("tp")).withColumn("fn", F.col("truth_episodes") - F.col("tp"))
 
 
-#: What two episodes must agree on, seconds of a cell of time, and the pairs of a cluster that are settled in one pass.
+#: What two episodes must agree on, seconds of a cell of time, and the pairs of a cluster that are found or settled in one pass.
 COMPATIBLE = ["group", "domain", "scope", "family"]
 CELL, SETTLED = 3600, 5000
 
 
-def candidate_pairs(truth: DataFrame, detected: DataFrame, tolerance: float, keys: list[str] = COMPATIBLE) -> DataFrame:
+def candidate_pairs(truth: DataFrame, detected: DataFrame, tolerance: float, keys: list[str] = COMPATIBLE, at_once: int = SETTLED) -> DataFrame:
     """Pairs of compatible episodes that overlap, or miss each other by less than the tolerance, with the ``cluster`` they are in.
 
     Episodes: id, start_s, end_s and the keys; truth also first_finalized_s and recovered_s, detections detected_s and recovered_s, which
-    may be null. Episodes are cut into cells of time and a pair is found in the first cell both are in. Neighbouring cells that an
-    episode spans are one cluster: pairs of different clusters share no episode. Clusters come from one row per key and cell, as many as the
-    calendar has. A null key is compatible with nothing.
+    may be null. An episode spans cells of time. Neighbouring cells that episodes span are one cluster: pairs of different clusters share no
+    episode. Clusters come from one row per key and first cell, as many as the calendar has. The episodes of a cluster meet at once if they are few;
+    those of a cluster with more than ``at_once`` combinations are cut into cells and a pair is found in the first cell both are in. A null key is compatible with nothing.
+    The pairs are stored, as matching and its report read them several times.
     """
 
-    def cut(df: DataFrame, pad: float) -> DataFrame:
+    def placed(df: DataFrame, pad: float, side: str) -> DataFrame:
         low, high = F.floor((F.col("start_s") - pad) / CELL), F.floor((F.col("end_s") + pad) / CELL)
-        return df.withColumns({"low": low, "high": high}).withColumn("cell", F.explode(F.sequence("low", "high")))
-
-    t = cut(truth.select(*keys, F.col("id").alias("truth_id"), F.col("start_s").alias("t_start"), F.col("end_s").alias("t_end"), "first_finalized_s",
-                         F.col("recovered_s").alias("t_recovered"), "start_s", "end_s"), tolerance).drop("start_s", "end_s")
-    d = cut(detected.select(*keys, F.col("id").alias("detected_id"), "start_s", "end_s", "detected_s", F.col("recovered_s").alias("d_recovered")), 0.0)
-    spans = t.select(*keys, "cell", "high").unionByName(d.select(*keys, "cell", "high")).groupBy(*keys, "cell").agg(F.max("high").alias("high"))
-    order = Window.partitionBy(*keys).orderBy("cell")
+        known = [F.col(c).isNotNull() for c in ("low", "high", *keys)]
+        spanned = df.withColumns({"low": low, "high": high, "side": F.lit(side)}).where(reduce(and_, known))
+        return spanned.withColumn("high", F.greatest("low", "high"))
+
+    t = placed(truth.select(*keys, F.col("id").alias("truth_id"), "start_s", "end_s", "first_finalized_s", F.col("recovered_s").alias("t_recovered")), tolerance, "t")
+    d = placed(detected.select(*keys, F.col("id").alias("detected_id"), "start_s", "end_s", "detected_s", F.col("recovered_s").alias("d_recovered")), 0.0, "d")
+    spans = t.select(*keys, "low", "high", "side").unionByName(d.select(*keys, "low", "high", "side")).groupBy(*keys, "low").agg(
+        F.max("high").alias("high"), F.count_if(F.col("side") == "t").alias("n_t"), F.count_if(F.col("side") == "d").alias("n_d"))
+    order = Window.partitionBy(*keys).orderBy("low")
     reached = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    runs = spans.withColumn("first", F.when(reached.isNull() | (reached < F.col("cell")), F.col("cell"))).select(
-        *keys, "cell", F.last("first", ignorenulls=True).over(order).alias("cluster"))
+    runs = spans.withColumn("first", F.when(reached.isNull() | (reached < F.col("low")), F.col("low")))
+    runs = runs.withColumn("cluster", F.last("first", ignorenulls=True).over(order))
+    whole = Window.partitionBy(*keys, "cluster")
+    runs = runs.withColumns({"n_t": F.sum("n_t").over(whole), "n_d": F.sum("n_d").over(whole)}).where("n_t > 0 AND n_d > 0").select(
+        *keys, "low", "cluster", (F.col("n_t").cast("double") * F.col("n_d") > at_once).alias("cut"))
+
+    def met(df: DataFrame) -> DataFrame:
+        cells = F.when(F.col("cut"), F.sequence("low", "high")).otherwise(F.array("cluster"))
+        return df.drop("side").join(runs, [*keys, "low"]).withColumn("cell", F.explode(cells))
+
+    left = met(t).withColumnsRenamed({"start_s": "t_start", "end_s": "t_end", "low": "t_low", "high": "t_high"})
+    right = met(d).drop("cut")
     overlap = F.least("t_end", "end_s") - F.greatest("t_start", "start_s")
-    found = t.join(d.withColumnsRenamed({"low": "d_low", "high": "d_high"}), [*keys, "cell"])
-    found = found.where((F.col("cell") == F.greatest("low", "d_low")) & (overlap > -tolerance))
-    return found.join(runs, [*keys, "cell"]).select(
+    first = F.greatest("t_low", "low")
+    found = left.join(right, [*keys, "cluster", "cell"]).where(F.when(F.col("cut"), F.col("cell") == first).otherwise(first <= F.least("t_high", "high")) & (overlap > -tolerance))
+    return stored(found.select(
         *keys, "cluster", "truth_id", "detected_id", F.greatest(overlap, F.lit(0.0)).alias("overlap"), "detected_s",
         (F.col("detected_s") - F.col("t_start")).alias("detection_delay"), (F.col("detected_s") - F.col("first_finalized_s")).alias("finalized_delay"),
-        (F.col("d_recovered") - F.col("t_recovered")).alias("recovery_delay"), F.col("d_recovered").isNull().alias("recovery_unobserved"))
+        (F.col("d_recovered") - F.col("t_recovered")).alias("recovery_delay"), F.col("d_recovered").isNull().alias("recovery_unobserved")))
 
 
 def match_episodes(pairs: DataFrame, keys: list[str] = COMPATIBLE, at_once: int = SETTLED) -> DataFrame:
@@ -177,9 +193,10 @@ def match_episodes(pairs: DataFrame, keys: list[str] = COMPATIBLE, at_once: int
     Larger ones, such as a key with a third of all episodes without a pause, go through rounds in which no cluster meets in
     one task.
     """
-    sizes = pairs.groupBy(*keys, "cluster").agg(F.count("*").alias("pairs"))
-    sized = cut_lineage(pairs.join(sizes, [*keys, "cluster"]))
-    small, large = sized.where(F.col("pairs") <= at_once).drop("pairs"), sized.where(F.col("pairs") > at_once).drop("pairs")
+    cluster = [*keys, "cluster"]
+    crowded = cut_lineage(pairs.groupBy(*cluster).agg(F.count("*").alias("pairs")).where(F.col("pairs") > at_once).drop("pairs"))
+    has_crowded = not crowded.isEmpty()
+    small = pairs.join(crowded, cluster, "left_anti") if has_crowded else pairs
 
     def settle(frames):
         here, taken = None, set()
@@ -193,11 +210,11 @@ def match_episodes(pairs: DataFrame, keys: list[str] = COMPATIBLE, at_once: int
                     taken |= {("t", t), ("d", d)}
             yield frame[won]
 
-    order = [*keys, "cluster", F.desc("overlap"), "detected_s", "detected_id", "truth_id"]
-    matched = small.repartition(*keys, "cluster").sortWithinPartitions(*order).mapInPandas(settle, small.schema)
-    if large.isEmpty():
+    order = [*cluster, F.desc("overlap"), "detected_s", "detected_id", "truth_id"]
+    matched = small.repartition(*cluster).sortWithinPartitions(*order).mapInPandas(settle, small.schema)
+    if not has_crowded:
         return matched
-    rounds = greedy_match(large.withColumn("match_key", F.struct(*keys)))
+    rounds = greedy_match(pairs.join(crowded, cluster, "left_semi").withColumn("match_key", F.struct(*keys)))
     return matched.unionByName(rounds.select(*small.columns))
 
 
