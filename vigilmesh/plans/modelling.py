@@ -13,6 +13,7 @@ from vigilmesh.plans.aggregates import _COUNTS, _RATES, RATE_COLUMNS
 from vigilmesh.plans.common import num, num_sql, when, when_sql
 from vigilmesh.plans.detection import kpi_sql, measured, _VECTOR_SQL
 from vigilmesh.registry import query
+from vigilmesh.session import stored
 
 FEATURES = ["f0", "f1", "f2", "f3", "f4", "f5"]
 TREES, SAMPLE = 40, 128
@@ -309,7 +310,8 @@ LEFT JOIN (SELECT domain, count(DISTINCT detected_id) AS duplicates FROM pairs W
 def matching_report(t: Tables):
     truth, detected = matching_sets(t)
     pairs = selection.candidate_pairs(truth, detected, TOLERANCE)
-    report = selection.matching_report(truth, detected, pairs, selection.match_episodes(pairs), ["domain"])
+    matched = stored(selection.match_episodes(pairs))  # the report reads it twice
+    report = selection.matching_report(truth, detected, pairs, matched, ["domain"])
     return report.select("domain", "truth_episodes", "detected_episodes", "tp", "fp", "fn", num("precision"), num("recall"), "duplicates", "recovery_unobserved",
                          *[num(c) for c in ("mean_detection_delay", "mean_finalized_delay", "mean_recovery_delay")])
 
