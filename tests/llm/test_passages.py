@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from vigilmesh.llm import passages
 from vigilmesh.llm.queries import QUERIES
@@ -92,3 +93,21 @@ def test_query_misses_no_long_passage(spark):
     must = {i for ids in holders.values() if len(ids) > 1 for i in sorted(ids)[1:]}
     found = {r.doc_id for r in QUERIES["op6_substring_dedup"](spark, folder).collect()}
     assert len(must) > 5 and len(must - found) <= 0.02 * len(must)
+
+
+def test_shingles_are_made_only_where_they_are_used():
+    rng = np.random.default_rng(12)
+    texts = ["a b c", "one", "same " * 300, "", " ".join(prose(rng, 400, "z")) + "\n" + " ".join(prose(rng, 3, "y")), "r s t u v r s t u v r s t u v"]
+    flat, offsets = passages.text_bytes(pa.array(texts))
+    with np.errstate(over="ignore"):
+        plain, whole = passages.paragraphs(flat, offsets, shingles=False), passages.paragraphs(flat, offsets)
+    assert "shingle" not in plain and all((plain[c] == whole[c]).all() for c in plain)
+    assert whole["words"].max() <= passages.LONGEST and whole["words"].sum() == sum(len(t.split()) for t in texts)
+    # A paragraph has as many shingles as places, one if it is short; those of the text that repeats a word are all alike.
+    held = np.bincount(whole["owner"], minlength=len(whole["words"]))
+    assert (held == np.maximum(whole["words"] - passages.WORDS + 1, 1)).all()
+    (batch,) = passages._contents(iter([pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])]))
+    sets = {p: np.frombuffer(x, np.uint64) for p, x in zip(batch.column("print").to_pylist(), batch.column("shingles").to_pylist())}
+    for i, p in enumerate(passages.long_array(whole["print"]).to_pylist()):
+        assert (sets[p] == whole["shingle"][whole["owner"] == i]).all()
+    assert len(sets) == batch.num_rows

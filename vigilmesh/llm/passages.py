@@ -59,35 +59,41 @@ def cuts(hashes: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
         least[step:] &= ahead & (pair[step:] < pair[:-step])
     begin = np.flatnonzero(new | least)
     lengths = np.diff(np.append(begin, n))
-    if (lengths > LONGEST).any():
-        begin = np.concatenate([np.arange(b, b + k, LONGEST) for b, k in zip(begin, lengths)])
+    long = np.flatnonzero(lengths > LONGEST)
+    if len(long):
+        begin = np.sort(np.concatenate([begin, *(np.arange(begin[i] + LONGEST, begin[i] + lengths[i], LONGEST) for i in long)]))
     return begin
 
 
-def paragraphs(flat: np.ndarray, offsets: np.ndarray):
-    """Of a slice of texts: document row, number within it, bytes and words of each paragraph, and its fingerprint and shingles."""
+def paragraphs(flat: np.ndarray, offsets: np.ndarray, shingles: bool = True):
+    """Of a slice of texts: document row, number within it, bytes and words of each paragraph, and its fingerprint and, if wanted, shingles."""
     w = words(flat, offsets)
-    breaks = np.cumsum(np.concatenate([[0], flat == 10]))
-    begin = cuts(w.hash, w.doc, breaks[w.start] if len(w.start) else w.start)
+    begin = cuts(w.hash, w.doc, np.searchsorted(np.flatnonzero(flat == 10), w.start))
     size = np.diff(np.append(begin, len(w.hash)))
     owner = np.repeat(np.arange(len(begin)), size)
     n = len(w.hash)
     ordinal = np.arange(n) - begin[owner] if n else np.zeros(0, np.int64)
-    value = np.zeros(n, np.uint64)
-    for k in range(WORDS):
-        inside = np.zeros(n, bool)
-        inside[: n - k] = owner[k:] == owner[: n - k] if k < n else False
-        value[: n - k] = np.where(inside[: n - k], value[: n - k] * _Q + w.hash[k:], value[: n - k])
-    # Places too near the end of a paragraph hold part of a shingle: they count only in paragraphs without a whole one.
-    kept = (ordinal + WORDS <= size[owner]) | ((size[owner] < WORDS) & (ordinal == 0))
     content = np.add.reduceat(mix(w.hash + mix(ordinal.astype(np.uint64) + np.uint64(1))), begin) if n else np.zeros(0, np.uint64)
     first = np.searchsorted(w.doc[begin], np.arange(len(offsets)))
     doc = w.doc[begin]
-    return {
+    found = {
         "doc": doc, "index": np.arange(len(begin)) - first[doc], "word": begin - np.searchsorted(w.doc, doc), "words": size,
         "start": w.start[begin] - offsets[doc], "end": w.end[begin + size - 1] - offsets[doc],
-        "print": mix(content + size.astype(np.uint64)), "owner": owner[kept], "shingle": mix(value[kept]),
+        "print": mix(content + size.astype(np.uint64)),
     }
+    if shingles:
+        value, few = w.hash.copy(), size < WORDS
+        of_few = np.zeros(int(few.sum()), np.uint64)
+        for k in range(1, WORDS):
+            ended = size[few] == k
+            of_few[ended] = value[begin[few][ended]]
+            if k < n:
+                value[: n - k] = value[: n - k] * _Q + w.hash[k:]
+        value[begin[few]] = of_few
+        # Places too near the end of a paragraph hold part of a shingle: they count only in paragraphs without a whole one.
+        kept = np.flatnonzero((ordinal + WORDS <= size[owner]) | ((ordinal == 0) & few[owner]))
+        found |= {"owner": owner[kept], "shingle": mix(value[kept])}
+    return found
 
 
 def bands(p, chosen: np.ndarray) -> np.ndarray:
@@ -104,12 +110,12 @@ def bands(p, chosen: np.ndarray) -> np.ndarray:
     return out
 
 
-def _slices(column: pa.Array):
+def _slices(column: pa.Array, shingles: bool = True):
     flat, offsets = text_bytes(column)
     for start, end in slices(np.diff(offsets), SLICE):
         part = offsets[start : end + 1]
         with np.errstate(over="ignore"):
-            yield start, paragraphs(flat[part[0] : part[-1]], part - part[0])
+            yield start, paragraphs(flat[part[0] : part[-1]], part - part[0], shingles)
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,21 +139,24 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(print, shingles) of each paragraph, equal paragraphs of a slice once."""
+    """(print, shingles) of each paragraph, equal paragraphs of a slice once. Shingles come as often as the paragraph has them."""
     for batch in batches:
         for _, p in _slices(batch.column("text")):
-            prints, first = np.unique(p["print"], return_index=True)
-            cut = np.searchsorted(p["owner"], np.arange(len(p["print"]) + 1))
-            sets = [np.unique(p["shingle"][cut[i] : cut[i + 1]]).tobytes() for i in first]
-            for i in range(0, len(prints), 1 << 14):
-                part = slice(i, i + (1 << 14))
-                yield pa.RecordBatch.from_arrays([long_array(prints[part]), pa.array(sets[part], pa.binary())], names=["print", "shingles"])
+            chosen = np.zeros(len(p["print"]), bool)
+            chosen[np.unique(p["print"], return_index=True)[1]] = True
+            take = chosen[p["owner"]]
+            sizes = np.bincount(p["owner"][take], minlength=len(chosen))[chosen]
+            ends = np.concatenate([[0], 8 * np.cumsum(sizes)]).astype(np.int32)
+            sets = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(p["shingle"][take])])
+            whole = pa.RecordBatch.from_arrays([long_array(p["print"][chosen]), sets], names=["print", "shingles"])
+            for i in range(0, len(sizes), 1 << 14):
+                yield whole.slice(i, 1 << 14)
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ("index", "word", "words", "start", "end")
     for batch in batches:
-        for start, p in _slices(batch.column("text")):
+        for start, p in _slices(batch.column("text"), shingles=False):
             of = pa.array(p["doc"] + start)
             ids, texts = batch.column("doc_id").take(of), batch.column("text_print").take(of)
             whole = pa.RecordBatch.from_arrays([ids, texts, *(pa.array(p[c].astype(np.int32)) for c in names), long_array(p["print"])], names=["doc_id", "text_print", *names, "print"])
@@ -161,12 +170,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints = run.column("print").to_numpy()
         blocks = run.column("sub").to_numpy() if run.column("lo")[0].as_py() != run.column("hi")[0].as_py() else None
         sets = [np.frombuffer(x, np.uint64) for x in run.column("shingles").to_pylist()]
-        size = np.array([len(x) for x in sets])
-        owner = np.repeat(np.arange(len(sets)), size)
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
         # Shared shingles by a sparse product: rows that hold the same shingle.
         _, column = np.unique(np.concatenate(sets), return_inverse=True)
         held = np.zeros((len(sets), int(column.max()) + 1), np.float32)
         held[owner, column] = 1
+        size = held.sum(1)
         both = held @ held.T
         near = np.triu(both * (100 + PERCENT) >= PERCENT * (size[:, None] + size[None, :]), 1)
         if blocks is not None:
