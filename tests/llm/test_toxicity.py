@@ -72,6 +72,16 @@ def test_blocks_are_left_out():
     assert (found < 0).mean() > 0.3
 
 
+def test_runs_of_blocks_are_their_rows():
+    segment = toxicity.Segment(0, 5 * toxicity.BLOCK - 7, 0, True, None, None)
+    for bits in range(32):
+        blocks = np.array([bits >> i & 1 for i in range(5)], bool)
+        want = np.flatnonzero(np.repeat(blocks, toxicity.BLOCK)[: segment.end])
+        got = [np.arange(a, b) for a, b in toxicity._runs(segment, blocks)]
+        assert (np.concatenate([*got, np.zeros(0, int)]) == want).all()
+        assert len(got) == (np.diff(blocks.astype(int), prepend=0) == 1).sum()
+
+
 def corpus(spark, n=900):
     rng = np.random.default_rng(0)
     docs, labels = [], []

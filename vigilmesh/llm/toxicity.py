@@ -35,7 +35,7 @@ DENSE, LEAST = 0.12, 8
 #: Groups of like examples, the commonest terms that tell them, and the most examples of a segment and of a block.
 GROUPS, TELLING, SEGMENT, BLOCK = 8, 512, 512, 64
 #: Shares, a power of two, in which the driver gets the terms of the examples; postings that a worker unpacks at once.
-SHARES, UNPACKED = 8, 1 << 18
+SHARES, UNPACKED = 8, 1 << 16
 #: Neighbours that are the evidence of a score.
 NEIGHBOURS = 15
 #: Numbers of neighbours whose votes, and of nearest examples of either kind whose mean cosines, tell the score.
@@ -227,7 +227,8 @@ def unpacked(terms, length, holder, code, times, frequency, documents, cuts, gro
     width = dense.sum(1)[groups]
     offset = np.concatenate([[0], np.cumsum((ends - cuts) * width)])
     flat = np.zeros(offset[-1], np.float32)
-    left, more, left_holder, more_holder, more_weight = np.zeros(len(terms), np.int64), np.zeros(len(terms), np.int64), [], [], []
+    left, more = np.zeros(len(terms), np.int32), np.zeros(len(terms), np.int32)
+    left_holder, more_holder, more_weight, n_left = np.empty(len(holder), holder.dtype), [], [], 0
     often = times > 1
     for a, b, i, j in _postings(length):
         term = np.repeat(np.arange(a, b), length[a:b])
@@ -240,21 +241,27 @@ def unpacked(terms, length, holder, code, times, frequency, documents, cuts, gro
         own = segment[of[at]]
         flat[offset[own] + (of[at] - cuts[own]) * width[own] + place[at]] = weight[at]
         many_times = often[code[i:j]]
-        for lists, of_list, count in ((left_holder, ~at & ~many_times, left), (more_holder, ~at & many_times, more)):
-            lists.append(of[of_list])
+        once, several = ~at & ~many_times, ~at & many_times
+        held = of[once]
+        left_holder[n_left : n_left + len(held)] = held
+        n_left += len(held)
+        more_holder.append(of[several])
+        more_weight.append(tf[code[i:j][several]])
+        for of_list, count in ((once, left), (several, more)):
             count[a:b] = np.bincount(term[of_list] - a, minlength=b - a)
-        more_weight.append(tf[code[i:j][~at & many_times]])
     segments = []
     for s, (start, end) in enumerate(zip(cuts, ends)):
         rows = flat[offset[s] : offset[s + 1]].reshape(end - start, width[s])
         most = np.maximum.reduceat(rows, np.arange(0, end - start, BLOCK), 0)
         segments.append(Segment(int(start), int(end), int(groups[s]), bool(toxic[start]), rows, most))
-    begin, begin_more = (np.concatenate([[0], np.cumsum(x)]) for x in (left, more))
+    # The untouched end of a list costs no memory. Starts need 64 bits only with very many postings.
+    kind = np.int32 if len(holder) < 1 << 31 else np.int64
+    begin, begin_more = (np.concatenate([np.zeros(1, kind), np.cumsum(x, dtype=kind)]) for x in (left, more))
     index = Index(
-        terms, _places(terms), idf, common, list(column), segments, scale, begin, np.concatenate(left_holder),
+        terms, _places(terms), idf, common, list(column), segments, scale, begin, left_holder[:n_left],
         begin_more, np.concatenate(more_holder), np.concatenate(more_weight), length == 1, ids, np.argsort(np.argsort(ids, kind="stable"), kind="stable"), toxic, rate,
     )
-    del flat, holders, left_holder, more_holder, more_weight, square
+    del flat, holders, left, more, more_holder, more_weight, square
     _give_back()
     return index
 
@@ -412,15 +419,23 @@ def _measured(segment: Segment, query: np.ndarray, out: np.ndarray, texts: np.nd
     if blocks is None:
         out[texts, segment.start : segment.end] += query[texts] @ segment.rows.T
         return
-    at = np.flatnonzero(np.repeat(blocks, BLOCK)[: segment.end - segment.start])
-    out[np.ix_(texts, segment.start + at)] += query[texts] @ segment.rows[at].T
+    for a, b in _runs(segment, blocks):
+        out[texts, segment.start + a : segment.start + b] += query[texts] @ segment.rows[a:b].T
+
+
+def _runs(segment: Segment, blocks: np.ndarray) -> list[tuple[int, int]]:
+    """(first, last) rows of a segment for runs of some of its blocks: stretches are far cheaper to read and write than single places."""
+    turn = np.flatnonzero(np.diff(blocks.astype(np.int8), prepend=0, append=0)) * BLOCK
+    return [(int(a), min(int(b), segment.end - segment.start)) for a, b in zip(turn[::2], turn[1::2])]
 
 
 def _listed(start: np.ndarray, terms: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places, shares) of all entries of some terms' lists."""
     first, length = start[terms], start[terms + 1] - start[terms]
-    ends = np.cumsum(length)
-    return np.repeat(first - ends + length, length) + np.arange(ends[-1]), np.repeat(share, length)
+    ends = np.cumsum(length, dtype=np.int64)
+    places = np.arange(ends[-1])
+    places += np.repeat(first - ends + length, length)
+    return places, np.repeat(share, length)
 
 
 def cosines(index: Index, rows: np.ndarray, known: np.ndarray, weight: np.ndarray, texts: int, near: int) -> tuple[np.ndarray, np.ndarray]:
@@ -437,9 +452,10 @@ def cosines(index: Index, rows: np.ndarray, known: np.ndarray, weight: np.ndarra
         part = slice(cut[text], cut[text + 1])
         if part.start < part.stop:
             at, given = _listed(index.start, known[part], share[part])
-            once = np.bincount(index.holder[at], given, n)
+            once = np.bincount(index.holder.take(at), given, n)
             at, given = _listed(index.start_more, known[part], share[part])
-            out[text] = (once + np.bincount(index.holder_more[at], index.weight_more[at] * given, n)) * index.scale
+            once += np.bincount(index.holder_more.take(at), index.weight_more.take(at) * given, n)
+            out[text] = once * index.scale
     # Bounds: what the columns give at most in a block, and the most that lists give there.
     number = index.common[known]
     use = number >= 0
@@ -480,7 +496,8 @@ def cosines(index: Index, rows: np.ndarray, known: np.ndarray, weight: np.ndarra
             if len(some := rest[wanted.any(1)]):
                 blocks = wanted.any(0)
                 _measured(segment, queries[index.segments[s].group], out, some, blocks)
-                out[np.ix_(some, segment.start + np.flatnonzero(np.repeat(~blocks, BLOCK)[: segment.end - segment.start]))] = -1
+                for a, b in _runs(segment, ~blocks):
+                    out[some, segment.start + a : segment.start + b] = -1
             if len(some := rest[~wanted.any(1)]):
                 out[some, segment.start : segment.end] = -1
     return out, least_of
