@@ -82,6 +82,17 @@ def test_runs_of_blocks_are_their_rows():
         assert len(got) == (np.diff(blocks.astype(int), prepend=0) == 1).sum()
 
 
+def test_texts_without_entries_in_the_lists():
+    """Their terms are columns in every group, so that no list has an entry of them."""
+    rng = np.random.default_rng(3)
+    index, weights = index_of(rng, 400, 60, groups=1)
+    chosen = np.flatnonzero((np.diff(index.start) == 0))[:5]
+    assert len(chosen)
+    weight = np.full(len(chosen), len(chosen) ** -0.5, np.float32)
+    found, _ = toxicity.cosines(index, np.zeros(len(chosen), int), chosen, weight, 1, 400)
+    assert np.allclose(found[0], weight @ weights.T[chosen], atol=1e-5)
+
+
 def corpus(spark, n=900):
     rng = np.random.default_rng(0)
     docs, labels = [], []

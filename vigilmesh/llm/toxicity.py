@@ -454,8 +454,8 @@ def cosines(index: Index, rows: np.ndarray, known: np.ndarray, weight: np.ndarra
             at, given = _listed(index.start, known[part], share[part])
             once = np.bincount(index.holder.take(at), given, n)
             at, given = _listed(index.start_more, known[part], share[part])
-            once += np.bincount(index.holder_more.take(at), index.weight_more.take(at) * given, n)
-            out[text] = once * index.scale
+            # Not in place: without entries np.bincount counts in integers.
+            out[text] = (once + np.bincount(index.holder_more.take(at), index.weight_more.take(at) * given, n)) * index.scale
     # Bounds: what the columns give at most in a block, and the most that lists give there.
     number = index.common[known]
     use = number >= 0
