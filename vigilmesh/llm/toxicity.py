@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
 Terms are words and the beginnings of words; all terms of all labelled examples of a bounded sample are the index,
-clean examples too. The index is inverted and block-max. Like examples are groups; a term that many of a group's
+clean examples too. The index is inverted and block-max. Like examples are groups; a term that many texts and many of a group's
 examples hold is a column of the group's weights, any other term has a list of its holders there. Groups are cut into segments of one kind, and
 a block of a segment's examples knows the largest weight of each column: with the lists of the other terms these bound
 the cosine of each block. The best segments of a text are measured first, and of the others only the blocks that
@@ -30,8 +30,9 @@ from vigilmesh.llm.shingles import SLICE, word_places
 SAMPLE = 20_000
 #: First bytes of a longer word that are terms of their own.
 BEGINNINGS = (6, 7)
-#: Share of a group's examples from which a term is a column, and the holders a column has at least.
-DENSE, LEAST = 0.12, 8
+#: A term is a column of a group if its share of the group's examples times its share of all texts is so large: then columns, which
+#: all texts read, cost less than the lists that the texts with the term read. The holders a column has at least.
+DENSE, LEAST = 0.0063, 8
 #: Groups of like examples, the commonest terms that tell them, and the most examples of a segment and of a block.
 GROUPS, TELLING, SEGMENT, BLOCK = 8, 512, 512, 64
 #: Shares, a power of two, in which the driver gets the terms of the examples; postings that a worker unpacks at once.
@@ -44,6 +45,8 @@ VOTES, MEANS = (5, 15, 30, 60, 120), (1, 5, 15, 50, 150)
 TEXTS, FIRST = 128, 10
 #: Cosines count to so many parts of one; rounding of the bounds stays below the slack.
 PARTS, SLACK = 1_000_000, 1e-5
+#: Entries of lists that are read together.
+LISTED = 1 << 18
 #: Penalty of the logistic fit.
 RIDGE = 0.3
 #: A term is the upper bits of its hash; the row of a slice takes the others, so that both sort as one number.
@@ -72,11 +75,10 @@ class Index(NamedTuple):
     columns: list[np.ndarray]  # per group, of each common term, -1 if it has a list there
     segments: list[Segment]
     scale: np.ndarray  # of each example, to make it a unit vector
-    start: np.ndarray  # terms + 1: where the list of each term's holders that have it once begins
+    start: np.ndarray  # terms + 1: the byte at which the list of each term's holders that have it once begins
     holder: np.ndarray
-    start_more: np.ndarray  # and the list of those that have it more often, with their term weights
-    holder_more: np.ndarray
-    weight_more: np.ndarray
+    start_more: np.ndarray  # and the list of those that have it more often: (holder, weight of the term there)
+    more: np.ndarray
     single: np.ndarray  # terms that one example alone holds
     ids: np.ndarray  # of the examples
     before: np.ndarray  # place of each example among ties, by id
@@ -115,7 +117,7 @@ def _slices(column: pa.Array):
 
 def _places(terms: np.ndarray) -> np.ndarray:
     """Where the terms of each first bits begin."""
-    return np.searchsorted(terms, np.arange(1 << FIRST_BITS, dtype=np.uint64) << np.uint64(TERM_BITS - FIRST_BITS))
+    return np.searchsorted(terms, np.arange(1 << FIRST_BITS, dtype=np.uint64) << np.uint64(TERM_BITS - FIRST_BITS)).astype(np.int32 if len(terms) < 1 << 31 else np.int64)
 
 
 def _known(terms: np.ndarray, places: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,6 +149,7 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "place", "share", "terms", "times"])
+    _give_back()
 
 
 def sample(documents: DataFrame, labels: DataFrame, label: str) -> DataFrame:
@@ -196,7 +199,8 @@ def _postings(length: np.ndarray):
 
 
 def _give_back() -> None:
-    """Memory of freed work arrays goes back to the system, where the C library can: a worker serves many stages beside others."""
+    """Memory of freed work arrays and batches goes back to the system, where the libraries can: a worker serves many stages beside others."""
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
@@ -222,13 +226,15 @@ def unpacked(terms, length, holder, code, times, frequency, documents, cuts, gro
         at = number >= 0
         key = number[at].astype(np.int64) * many + group[holder[i:j][at]]
         holders += np.bincount(key, minlength=len(holders)).astype(np.int32)
-    dense = holders.reshape(-1, many).T >= np.maximum(LEAST, DENSE * np.bincount(group, minlength=many))[:, None]
+    holders = holders.reshape(-1, many).T
+    dense = (holders >= LEAST) & (holders * (frequency[may] / documents) >= DENSE * np.bincount(group, minlength=many)[:, None])
     column = np.where(dense, np.cumsum(dense, 1) - 1, -1).astype(np.int32)
     width = dense.sum(1)[groups]
     offset = np.concatenate([[0], np.cumsum((ends - cuts) * width)])
     flat = np.zeros(offset[-1], np.float32)
     left, more = np.zeros(len(terms), np.int32), np.zeros(len(terms), np.int32)
-    left_holder, more_holder, more_weight, n_left = np.empty(len(holder), holder.dtype), [], [], 0
+    left_holder, more_entries, n_left = np.empty(len(holder), holder.dtype), [], 0
+    entry = np.dtype([("holder", holder.dtype), ("weight", np.float32)])
     often = times > 1
     for a, b, i, j in _postings(length):
         term = np.repeat(np.arange(a, b), length[a:b])
@@ -245,8 +251,9 @@ def unpacked(terms, length, holder, code, times, frequency, documents, cuts, gro
         held = of[once]
         left_holder[n_left : n_left + len(held)] = held
         n_left += len(held)
-        more_holder.append(of[several])
-        more_weight.append(tf[code[i:j][several]])
+        entries = np.empty(int(several.sum()), entry)
+        entries["holder"], entries["weight"] = of[several], tf[code[i:j][several]]
+        more_entries.append(entries)
         for of_list, count in ((once, left), (several, more)):
             count[a:b] = np.bincount(term[of_list] - a, minlength=b - a)
     segments = []
@@ -255,13 +262,13 @@ def unpacked(terms, length, holder, code, times, frequency, documents, cuts, gro
         most = np.maximum.reduceat(rows, np.arange(0, end - start, BLOCK), 0)
         segments.append(Segment(int(start), int(end), int(groups[s]), bool(toxic[start]), rows, most))
     # The untouched end of a list costs no memory. Starts need 64 bits only with very many postings.
-    kind = np.int32 if len(holder) < 1 << 31 else np.int64
-    begin, begin_more = (np.concatenate([np.zeros(1, kind), np.cumsum(x, dtype=kind)]) for x in (left, more))
+    kind = np.int32 if len(holder) * entry.itemsize < 1 << 31 else np.int64
+    begin, begin_more = (np.concatenate([np.zeros(1, kind), np.cumsum(x, dtype=kind)]) * kind(size) for x, size in ((left, holder.itemsize), (more, entry.itemsize)))
     index = Index(
         terms, _places(terms), idf, common, list(column), segments, scale, begin, left_holder[:n_left],
-        begin_more, np.concatenate(more_holder), np.concatenate(more_weight), length == 1, ids, np.argsort(np.argsort(ids, kind="stable"), kind="stable"), toxic, rate,
+        begin_more, np.concatenate(more_entries), length == 1, ids, np.argsort(np.argsort(ids, kind="stable"), kind="stable"), toxic, rate,
     )
-    del flat, holders, left, more, more_holder, more_weight, square
+    del flat, holders, left, more, more_entries, square
     _give_back()
     return index
 
@@ -360,6 +367,8 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
                 np.add.at(total, at[use], 1)
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(hit, -1)), pa.array(np.append(total[hit], texts))], names=["term", "documents"])
+        del places, total, hit
+        _give_back()
 
     counted = documents.select("text").mapInArrow(frequencies, "term long, documents long").groupBy("term").agg(F.sum("documents").alias("documents")).toArrow()
     known_terms.destroy()
@@ -381,6 +390,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
         for batch in batches:
             for at, values, _ in _features(shared.value, batch.column("text"), batch.column("doc_id").to_numpy()):
                 yield pa.RecordBatch.from_arrays([batch.column("toxic").take(pa.array(at)), pa.array(list(values), pa.list_(pa.float64()))], names=["toxic", "features"])
+            _give_back()
 
     seen = rows.mapInArrow(alone, "toxic int, features array<double>").toArrow()
     if not len(seen):
@@ -429,13 +439,15 @@ def _runs(segment: Segment, blocks: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), min(int(b), segment.end - segment.start)) for a, b in zip(turn[::2], turn[1::2])]
 
 
-def _listed(start: np.ndarray, terms: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, shares) of all entries of some terms' lists."""
-    first, length = start[terms], start[terms + 1] - start[terms]
-    ends = np.cumsum(length, dtype=np.int64)
-    places = np.arange(ends[-1])
-    places += np.repeat(first - ends + length, length)
-    return places, np.repeat(share, length)
+def _lists(start: np.ndarray, entries: np.ndarray) -> pa.Array:
+    """The lists of all terms, each as one value of bytes: Arrow copies them as stretches, and no entry is looked up by its place."""
+    return pa.Array.from_buffers(pa.binary() if start.dtype == np.int32 else pa.large_binary(), len(start) - 1, [None, pa.py_buffer(start), pa.py_buffer(entries)])
+
+
+def _listed(lists: pa.Array, terms: pa.Array, kind: np.dtype) -> np.ndarray:
+    """All entries of some terms' lists, end to end."""
+    entries = lists.take(terms).buffers()[2]
+    return np.frombuffer(entries, kind) if entries is not None and entries.size else np.zeros(0, kind)
 
 
 def cosines(index: Index, rows: np.ndarray, known: np.ndarray, weight: np.ndarray, texts: int, near: int) -> tuple[np.ndarray, np.ndarray]:
@@ -448,14 +460,23 @@ def cosines(index: Index, rows: np.ndarray, known: np.ndarray, weight: np.ndarra
     # Lists: what the terms that are no column of a group give there, exactly.
     cut = np.searchsorted(rows, np.arange(texts + 1))
     share = weight * index.idf[known]
-    for text in range(texts):
-        part = slice(cut[text], cut[text + 1])
-        if part.start < part.stop:
-            at, given = _listed(index.start, known[part], share[part])
-            once = np.bincount(index.holder.take(at), given, n)
-            at, given = _listed(index.start_more, known[part], share[part])
-            # Not in place: without entries np.bincount counts in integers.
-            out[text] = (once + np.bincount(index.holder_more.take(at), index.weight_more.take(at) * given, n)) * index.scale
+    lists, lists_more = _lists(index.start, index.holder), _lists(index.start_more, index.more)
+    length, length_more = ((x[known + 1] - x[known]) // y.dtype.itemsize for x, y in ((index.start, index.holder), (index.start_more, index.more)))
+    ends, ends_more = (np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[cut] for x in (length, length_more))
+    scale = index.scale.astype(np.float64)
+    for first, last in slices(np.diff(ends + ends_more), LISTED):
+        part = slice(cut[first], cut[last])
+        terms = pa.array(known[part])
+        held, held_more = _listed(lists, terms, index.holder.dtype), _listed(lists_more, terms, index.more.dtype)
+        given = np.repeat(share[part].astype(np.float64), length[part])
+        given_more = (np.repeat(share[part], length_more[part]) * held_more["weight"]).astype(np.float64)
+        held_more = held_more["holder"].astype(np.intp)
+        for text in range(first, last):
+            of, of_more = (slice(x[text] - x[first], x[text + 1] - x[first]) for x in (ends, ends_more))
+            # Without entries np.bincount counts in integers.
+            sums = np.bincount(held[of], given[of], n).astype(np.float64, copy=False)
+            np.add.at(sums, held_more[of_more], given_more[of_more])
+            out[text] = np.multiply(sums, scale, out=sums)
     # Bounds: what the columns give at most in a block, and the most that lists give there.
     number = index.common[known]
     use = number >= 0
@@ -526,6 +547,8 @@ def _features(index: Index, texts: pa.Array, ids: np.ndarray | None = None, keep
     """(rows, features, `keep` nearest examples, VOTES[-1] at most) for the texts that hold a known term. ids: examples of the same id do not count."""
     toxics = int(index.toxic.sum())
     # An example may be its own neighbour: so many more are looked for.
+    by_id = np.argsort(index.ids, kind="stable")
+    sorted_ids = index.ids[by_id]
     near = MEANS[-1] + (0 if ids is None else int(np.unique(index.ids, return_counts=True)[1].max()))
     for start, end, rows, terms, times in _slices(texts):
         at, use = _known(index.terms, index.places, terms)
@@ -543,7 +566,8 @@ def _features(index: Index, texts: pa.Array, ids: np.ndarray | None = None, keep
                 continue
             cosine, least = cosines(index, place, known[a:b], weight[a:b], len(here), near)
             if ids is not None:
-                cosine[ids[start + here][:, None] == index.ids[None, :]] = 0
+                for row, own in enumerate(ids[start + here]):
+                    cosine[row, by_id[np.searchsorted(sorted_ids, own) : np.searchsorted(sorted_ids, own, "right")]] = 0
             found = [_nearest(cosine[:, kind], least[:, at], index.before[kind], MEANS[-1]) for at, kind in enumerate((slice(0, toxics), slice(toxics, None)))]
             top, close = [found[0][0], found[1][0] + toxics], [c for _, c in found]
             means = [c[:, :k].mean(1) for c in close for k in MEANS]
@@ -575,6 +599,7 @@ def score(documents: DataFrame, model: Model, k: int = NEIGHBOURS) -> DataFrame:
                 scores[rows] = 1 / (1 + np.exp(-np.clip(features @ fitted[:-1] + fitted[-1], -500, 500)))
                 for row, examples in zip(rows, near):
                     evidence[row] = shared.value.ids[examples].tolist()
+            _give_back()
         return pa.StructArray.from_arrays([pa.array(scores), pa.array(evidence, pa.list_(pa.int64()))], names=["score", "evidence"])
 
     udf = F.arrow_udf(scored, "score double, evidence array<bigint>")
