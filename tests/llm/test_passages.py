@@ -1,5 +1,6 @@
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from vigilmesh.llm import passages
 from vigilmesh.llm.queries import QUERIES
@@ -82,6 +83,16 @@ def test_two_texts_of_an_id_are_two_documents(spark):
     assert [len(t.split()) < 320 for t in left if t.startswith("o")] == [True, True]
 
 
+def test_a_filter_on_what_is_left_cuts_no_second_time(spark, capsys):
+    """A second pass of Python in a task is a second worker, which stays and holds what later stages broadcast."""
+    frame = spark.createDataFrame([(1, "one two three"), (2, "one two three four"), (3, None)], "doc_id long, text string")
+    spans = frame.where("doc_id < 3").select("doc_id", F.xxhash64("text").alias("text_print"), F.lit(0).cast("long").alias("first_byte"), F.lit(8).cast("long").alias("last_byte"))
+    left = passages.without(frame, spans).where(F.length("text") > 5).withColumn("n", F.length("text"))
+    left.explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython [") == 1
+    assert [tuple(r) for r in left.collect()] == [(2, "three four", 10)]
+
+
 def test_query_misses_no_long_passage(spark):
     folder = "/root/testdata/sf0.001"
     docs = {r.doc_id: (r.text or "").split() for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}

@@ -281,5 +281,8 @@ def without(documents: DataFrame, passages: DataFrame) -> DataFrame:
     spans = passages.groupBy(F.col("doc_id").alias("span_doc_id"), F.col("text_print").alias("span_text_print")).agg(F.sort_array(F.collect_list(F.struct("first_byte", "last_byte"))).alias("spans_to_cut"))
     own = (documents["doc_id"] == spans["span_doc_id"]) & (F.xxhash64(documents["text"]) == spans["span_text_print"])
     joined = documents.join(spans, own, "left")
-    touched = F.when(F.col("spans_to_cut").isNull(), F.col("text")).otherwise(cut("text", "spans_to_cut"))
+    # Else a filter on the text left would cut a second time, in a second worker of each task: with two tasks at a time
+    # four workers stay for what comes later, and each holds whatever is broadcast there.
+    once = cut.asNondeterministic()
+    touched = F.when(F.col("spans_to_cut").isNull(), F.col("text")).otherwise(once("text", "spans_to_cut"))
     return joined.withColumn("text", touched).select(*kept)
