@@ -1,3 +1,4 @@
+import bisect
 import hashlib
 import random
 import re
@@ -100,6 +101,31 @@ def test_repeated_and_null_ids(spark, stretch):
         assert there <= here or (here == -1 and r.next.text == "top of all")
 
 
+def test_many_stretches(spark):
+    """The plan grows with the number of stretches and not with a power of it; ids and texts still follow each other as sorted."""
+
+    def made(n):
+        return fingerprints.with_next(spark.createDataFrame([(i * 7919 % 5003, f"text {i}") for i in range(n)], "doc_id long, text string"), ["doc_id"], stretch=1)
+
+    few, many = (len(made(n)._jdf.queryExecution().analyzed().toString()) for n in (24, 240))
+    assert many < 10 * few
+    got = {r.doc_id: r.next.doc_id for r in made(1500).collect()}
+    ids = sorted((i * 7919 % 5003 for i in range(1500)), reverse=True)
+    assert got == dict(zip(ids, ids[1:] + ids[:1]))
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 7, 8, 100])
+def test_bounds_are_counted(spark, n):
+    """As in plain Python, with bounds that repeat, and at the ends of 64 bits."""
+    rng = random.Random(n)
+    bounds = sorted(rng.choice([-(1 << 63), (1 << 63) - 1, *range(-20, 20)]) for _ in range(n))
+    values = [-(1 << 63), (1 << 63) - 1, *range(-22, 22)]
+    under = fingerprints._count_of(bounds, lambda b: b < F.col("x")).alias("under")
+    upto = fingerprints._count_of(bounds, lambda b: b <= F.col("x")).alias("upto")
+    got = spark.createDataFrame([(v,) for v in values], "x long").select("x", under, upto).collect()
+    assert [(r.x, r.under, r.upto) for r in got] == [(v, bisect.bisect_left(bounds, v), bisect.bisect_right(bounds, v)) for v in values]
+
+
 def test_order_and_repeats_count(spark):
     """Moved halves keep all k-mers but few tuples; a repeat is another occurrence; equal texts are equal."""
     rng = random.Random(8)

@@ -10,8 +10,6 @@ Arrays of k-mers are arrays of 64-bit integers that hold a hash and a place, so
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -110,10 +108,14 @@ def _numbers(values) -> Column:
 
 
 def _count_of(bounds: list[int], below) -> Column:
-    """How many of the ascending bounds satisfy `below`, which holds for the first ones only: a binary search."""
-    steps = [1 << p for p in reversed(range(len(bounds).bit_length()))]
-    array = _numbers(bounds)
-    return reduce(lambda at, step: F.when(below(F.get(array, at + (step - 1))), at + step).otherwise(at), steps, F.lit(0)) if bounds else F.lit(0)
+    """How many of the ascending bounds satisfy `below`, which holds for the first ones only: a binary search.
+
+    It folds over its steps. Written out, the count so far stands three times in each step, so that the expression would grow with a power of
+    the number of bounds.
+    """
+    steps, array = (1 << p for p in reversed(range(len(bounds).bit_length()))), _numbers(bounds)
+    step = lambda at, by: F.when(below(F.get(array, at + by - 1)), at + by).otherwise(at)
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step) if bounds else F.lit(0)
 
 
 def with_next(documents: DataFrame, payload: list[str], id_column: str = "doc_id", text_column: str = "text", stretch: int = STRETCH) -> DataFrame:
